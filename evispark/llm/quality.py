@@ -18,14 +18,14 @@ WHITE = " \t\n\x0b\f\r"
 
 #: Name -> the least spread (standard deviation) a group is taken to have in it. Most clean texts have no
 #: symbol and no repeated line at all; without a floor their covariance is singular and any symbol an outlier.
-FEATURES = {"symbol_rate": 0.10, "word_length": 0.25, "dup_line_share": 0.08, "repeat_share": 0.08, "capital_share": 0.04}
+FEATURES = {"symbol_rate": 0.05, "word_length": 0.25, "dup_line_share": 0.08, "repeat_share": 0.08, "capital_share": 0.04}
 #: Statistics are fixed-point numbers, so that their sums don't depend on the order of adding.
 UNIT = 1e-4
 #: Share of a group that the estimates rest on, and the number of concentration steps.
 CORE, STEPS = 0.75, 4
 #: Squared Mahalanobis distance beyond which a vector is rejected: far beyond chi-square(5) quantiles, since
 #: short texts scatter more than a normal law has it (0.999999 would be 36).
-CUTOFF = 60.0
+CUTOFF = 45.0
 #: Groups with fewer rows use their language's estimates, then those of all rows; fewer rows than that: no verdict.
 LEAST_GROUP = 200
 #: Bins of the histogram of distances for each doubling of 1 + distance.
@@ -99,18 +99,8 @@ def _vector() -> dict[str, Column]:
     return {k: F.round(x[k] / UNIT).cast("long") for k in FEATURES}
 
 
-def _distance(x: list[Column], mean: list[Column], chol: list[list[Column]]) -> Column:
-    """Squared Mahalanobis distance: forward substitution in the Cholesky factor, as nested SQL expressions."""
-    z: list[Column] = []
-    for i in range(len(x)):
-        rest = x[i] * UNIT - mean[i]
-        for j in range(i):
-            rest = rest - chol[i][j] * z[j]
-        z.append(rest / chol[i][i])
-    return sum((v * v for v in z[1:]), z[0] * z[0])
-
-
 def _with_distance(vectors: DataFrame, params: DataFrame, keep: list[str]) -> DataFrame:
+    """Squared Mahalanobis distances ``d2``: forward substitution in the Cholesky factor, a column a step."""
     d = len(FEATURES)
     chol = [[F.col(f"l{i}{j}") for j in range(i + 1)] for i in range(d)]
     joined = vectors.join(params, "g")
@@ -189,8 +179,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     so one group with a third of all rows is as cheap as any other. With fewer rows in all there is no
     verdict: distance2 is null and the base rules decide alone.
 
-    Defined results: null text has no words and fails the base; null language or source is the group ''
-    ; repeated rows each have a row; an empty table gives no rows; other columns are ignored.
+    Defined results: null text has no words and fails the base; null language or source is the
+    group ''; repeated rows each have a row; an empty table gives no rows; other columns are ignored.
     """
     stats = materialise(text_statistics(docs, id_col, text_col, (lang_col, source_col)))
     vectors = stats.select("row_no", "g0", "g1", *(v.alias(k) for k, v in _vector().items()))
