@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, pii, quality, simhash, token_counts
+from . import exact_dedup, mixing, packing, pii, quality, simhash, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,11 +27,19 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_documents(spark, sf_dir)).drop("row_no", "first")
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_documents(spark, sf_dir)).drop("row_no")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(_documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_quality_rules, op5_token_counts, op6_simhash_near_dedup, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_quality_rules, op5_token_counts, op6_simhash_near_dedup, op7_best_fit_packing, op9_mixing, op10_pii)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
