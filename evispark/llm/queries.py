@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, pii, quality, simhash, token_counts, toxicity
+from . import exact_dedup, mixing, packing, pii, quality, simhash, substring_dedup, suffix_dedup, token_counts, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_documents(spark, sf_dir)).drop("row_no")
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.suffix_dedup(_documents(spark, sf_dir)))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_documents(spark, sf_dir))
 
@@ -39,6 +43,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.substring_dedup(_documents(spark, sf_dir)))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir)).drop("row_no")
 
@@ -47,7 +55,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(_documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_quality_rules, op5_token_counts, op6_simhash_near_dedup, op7_best_fit_packing, op9_mixing, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_quality_rules, op4_suffix_array_dedup, op5_token_counts, op6_simhash_near_dedup, op7_best_fit_packing, op8_substring_dedup, op9_mixing, op10_pii)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
