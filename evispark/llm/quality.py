@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import checked_broadcast, materialise
 
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SYMBOLS = "#*$%&|<>"
@@ -28,6 +28,8 @@ CORE, STEPS = 0.75, 4
 CUTOFF = 45.0
 #: Groups with fewer rows use their language's estimates, then those of all rows; fewer rows than that: no verdict.
 LEAST_GROUP = 200
+#: Estimates of at most so many groups (of two dozen numbers each) are broadcast; those of more are joined by shuffle.
+MOST_GROUPS = 50_000
 #: Bins of the histogram of distances for each doubling of 1 + distance.
 BINS = 16
 
@@ -188,13 +190,13 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = vectors.select(F.explode(levels).alias("g"), *FEATURES)
     params = materialise(_medians(members))
     for _ in range(STEPS):
-        placed = _with_distance(members, params, ["g", *FEATURES])
+        placed = _with_distance(members, checked_broadcast(params, MOST_GROUPS), ["g", *FEATURES])
         placed = placed.withColumn("bin", F.floor(F.log2(1 + F.col("d2")) * BINS).cast("int"))
         params = materialise(_params(_core_moments(placed)))
-    good = params.where(F.col("size") >= LEAST_GROUP)
+    good = checked_broadcast(params, MOST_GROUPS).where(F.col("size") >= LEAST_GROUP)
     by_level = vectors.withColumn("levels", levels)
     # which level a row is held against: a group's size decides, so this is a join of the small table of groups
-    sizes = good.select(F.col("g").alias("has"))
+    sizes = good.select(F.col("g").alias("has"))  # keeps the mark for broadcast
     two, one, all_rows = (sizes.where(F.col("has").startswith(k)).withColumnRenamed("has", f"has{k}") for k in "210")
     chosen = (
         by_level.join(two, F.col("levels")[0] == F.col("has2"), "left")
@@ -215,3 +217,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             (~failed & (F.coalesce("d2", F.lit(0.0)) <= cutoff)).alias("kept"),
         )
     )
+
+
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """``docs`` without the rows that ``quality_rules`` rejects; all columns stay."""
+    gone = quality_rules(docs, id_col, text_col, lang_col, source_col).where("NOT kept").select(F.col("row_no").alias("__row_no"))
+    gone = checked_broadcast(materialise(gone), 1_000_000)
+    return docs.withColumn("__row_no", F.monotonically_increasing_id()).join(gone, "__row_no", "left_anti").drop("__row_no")
