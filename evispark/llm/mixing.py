@@ -9,7 +9,7 @@ from math import gcd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, rank_within
+from .common import checked_broadcast, materialise, rank_within
 
 #: Documents of a source that are scheduled together, and the parts that target weights are given in.
 BLOCK, PARTS = 16, 1000
@@ -110,4 +110,5 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLO
 def mixed(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLOCK, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """``docs`` in the mixed order (range-partitioned and sorted by ``position``); all columns stay."""
     place = materialise(mix(docs, weights, block, id_col, source_col).select(F.col("row_no").alias("__row_no"), F.col("position").alias("__position")))
+    place = checked_broadcast(place, 1_000_000)
     return docs.withColumn("__row_no", F.monotonically_increasing_id()).join(place, "__row_no").orderBy("__position").drop("__row_no", "__position")
