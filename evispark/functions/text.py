@@ -73,7 +73,12 @@ def is_web_address(x: Column) -> Column:
     return F.coalesce(scheme.isin("http", "https") & (F.call_function("try_parse_url", x, F.lit("HOST")) != ""), F.lit(False))
 
 
+#: Where Windows-1252 has other characters than Latin-1.
+_LATIN = "".join(map(chr, range(128, 160)))
+_WINDOWS = "".join(bytes([b]).decode("cp1252", "replace").replace("\ufffd", chr(b)) for b in range(128, 160))
+
+
 def read_text(content: Column) -> Column:
     """Bytes as text: UTF-8, else Windows-1252."""
     as_is = content.cast("string")
-    return F.when(F.is_valid_utf8(as_is), as_is).otherwise(F.decode(content, "windows-1252"))
+    return F.when(F.is_valid_utf8(as_is), as_is).otherwise(F.translate(F.decode(content, "ISO-8859-1"), _LATIN, _WINDOWS))

@@ -29,7 +29,7 @@ def nations(t: Tables) -> DataFrame:
     n = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     n = n.join(cust, F.col("n_nationkey") == F.col("c_nationkey"), "left").join(orders, F.col("n_nationkey") == F.col("o_nation"), "left")
     n = n.join(supp, F.col("n_nationkey") == F.col("s_nationkey"), "left")
-    return n.select(F.col("n_name").alias("Country"), F.col("r_name").alias("Region"), *COLUMNS)
+    return n.select(F.col("n_name").alias("Country"), F.col("r_name").alias("Region"), *COLUMNS).persist()  # a row per nation, used several times
 
 
 IND = """
