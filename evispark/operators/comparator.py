@@ -155,6 +155,16 @@ def comparator_index(
     return pick(nearest(scored, k, name)), pick(aspirational(scored, t, aspirational_k, name=name), "better_count")
 
 
+def similarity_index(
+    df: DataFrame, target: str, indicators: Iterable[str] = INDICATORS, peer_columns: Iterable[str] = (), weights: str | None = None, name: str = "Country"
+) -> DataFrame:
+    """All entities by ``similarity_distance`` from the target, nearest first; peers only where peer columns are given."""
+    df = normalise_columns(df)
+    columns = numeric_columns(df, indicators)
+    scored, _ = score(drop_sparse(coerce(df, columns), columns), target, columns, peer_columns, weights, name)
+    return scored.withColumnRenamed("distance", "similarity_distance").orderBy("similarity_distance", name)
+
+
 def phase_weighted_score(scores: DataFrame, key: str, phase: str, value: str, weights: Mapping[str, float]) -> DataFrame:
     """Extension: per entity the weighted sum of its phases' mean scores."""
     by_phase = scores.groupBy(key, phase).agg(F.avg(value).alias("__mean"))

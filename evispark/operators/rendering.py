@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip, unix_lines
 
-_CITATION = "struct<source_title:string,locator:string,source_id:string,source_type:string,source_url:string,source_reference:string,doi:string,isbn:string,publisher:string,published_date:string,quote:string>"
+_CITATION = "struct<source_title:string,locator:string,source_id:string,source_type:string,source_url:string,reference:string,authors:string,doi:string,isbn:string,publisher:string,published_date:string,quote:string>"
 _EVIDENCE = f"struct<quality:string,rationale:string,citations:array<{_CITATION}>>"
 _SCORE = f"struct<score:string,evidence:{_EVIDENCE}>"
 _HEAD = "job_id:string,spec_id:string,generated_at:string,country:struct<name:string,iso3:string>"

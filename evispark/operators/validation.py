@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.text import blank, is_iso_date, is_web_address, strip
 
 #: Fixed: the fields that can identify a source, and the optional ones that are cleaned when blank.
-IDENTIFIERS = ("source_id", "source_url", "source_reference", "doi", "isbn")
-OPTIONAL = ("source_id", "source_url", "source_reference", "doi", "isbn", "publisher", "quote", "source_type")
+IDENTIFIERS = ("source_id", "source_url", "reference", "doi", "isbn")
+OPTIONAL = ("source_url", "doi", "isbn", "reference", "authors", "publisher", "source_type", "quote")
 QUALITIES = ("none", "low", "medium", "high")
 
 
@@ -72,10 +72,7 @@ def violations(df: DataFrame, rules: Mapping[str, Column], key: list[str]) -> Da
 
 def clean_citation(c: Column) -> Column:
     """A citation struct with blank optional fields, malformed dates and useless addresses as null."""
-    fields = {}
-    names = [f for f in OPTIONAL]
-    for f in names:
-        fields[f] = F.when(~blank(c[f].cast("string")), c[f])
+    fields = {f: F.when(~blank(c[f]), c[f]) for f in OPTIONAL}
     url = fields["source_url"]
     fields["source_url"] = F.when(url.startswith("http") & ~url.contains("example.com"), url)
     out = c
@@ -91,7 +88,7 @@ def clean_citations(citations: Column) -> Column:
 def identified(c: Mapping[str, Column] | Column) -> Column:
     """The strict rule: an id, a web address, a reference, a DOI or an ISBN that isn't blank."""
     return (
-        ~blank(c["source_id"]) | is_web_address(strip(c["source_url"])) | ~blank(c["source_reference"]) | ~blank(c["doi"]) | ~blank(c["isbn"])
+        ~blank(c["source_id"]) | is_web_address(strip(c["source_url"])) | ~blank(c["reference"]) | ~blank(c["doi"]) | ~blank(c["isbn"])
     )
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chunking, rendering, stubs
+from ..operators import chunking, merging, rendering, selection, stubs, validation
 from ..sources import files, sinks
+from . import generation, prompts
 
 
 def scan_sources(spark: SparkSession, folder: str, readers=None, max_chars: int = chunking.MAX_CHARS) -> DataFrame:
@@ -30,3 +33,68 @@ def render(outputs: DataFrame, job_id: str, out: str, form: str = "md") -> None:
         return
     for name, table in (rendering.flat_tables(outputs, job_id) if form == "csv" else {"text": rendering.narrative_rows(outputs, job_id)}).items():
         sinks.write_csv(table, f"{out}/{name}")
+
+
+def merge_outputs(outputs: DataFrame, job_id: str, batch: str = "batch") -> DataFrame:
+    """(json): partial outputs (batch, json) of one job as one. A single one comes back unchanged; none is an error."""
+    config = merging.merge_config(job_id)
+    n = outputs.limit(2).count()
+    if n == 0:
+        raise ValueError("no partial outputs to merge")
+    if n == 1:
+        return outputs.select("json")
+    rows = outputs.select(F.col(batch).alias("batch"), rendering.parse_output(F.col("json"), job_id).alias("p"))
+    items = rows.select("batch", F.posexplode(f"p.{config.array_key}").alias("pos", "x")).select("batch", "pos", "x.*")
+    arrays = tuple(c for c in merging.ARRAY_FIELDS if c in items.columns)
+    merged = merging.merge_items(items, config.id_key, config.text_keys, arrays, "evidence" if "evidence" in items.columns else None)
+    fields = [c for c in items.columns if c not in ("batch", "pos")]
+    listed = merged.agg(F.sort_array(F.collect_list(F.struct("item_order", F.struct(*fields).alias("v")))).alias("xs"))  # one output
+    head = rows.agg(F.min_by("p", "batch").alias("p"))
+    top = [F.col(f"p.{c}") for c in ("job_id", "spec_id", "generated_at", "country")]
+    return head.crossJoin(listed).select(F.to_json(F.struct(*top, F.transform("xs", lambda x: x["v"]).alias(config.array_key))).alias("json"))
+
+
+def clean_outputs(outputs: DataFrame, job_id: str) -> DataFrame:
+    """Outputs (…, json) with the citations of their items cleaned."""
+    config = merging.merge_config(job_id)
+    p = rendering.parse_output(F.col("json"), job_id)
+
+    def cleaned(e):
+        return e.withField("citations", validation.clean_citations(e["citations"]))
+
+    def item(x):
+        if job_id != "benchmark_country_scoring":
+            return x.withField("evidence", cleaned(x["evidence"]))
+        scored = lambda s: s.withField("evidence", cleaned(s["evidence"]))
+        dims = F.transform(x["dimensions"], lambda d: d.withField("score_note", scored(d["score_note"])))
+        return x.withField("overall_score", scored(x["overall_score"])).withField("dimensions", dims)
+
+    return outputs.withColumn("json", F.to_json(p.withField(config.array_key, F.transform(p[config.array_key], item))))
+
+
+def run_rag(
+    specs: DataFrame, job_id: str, index: DataFrame, template: str, provider: Callable[[str], str], embedder: Callable[[list[str]], list[list[float]]], k: int = 40
+) -> DataFrame:
+    """(json): per item its best snippets, a prompt and an answer; answers cleaned and merged in item order."""
+    queries = generation.embed(prompts.rag_queries(specs, job_id), embedder, "query")
+    queries = queries.select(F.col("pos").alias("query_id"), F.col("embedding").alias("query"), F.struct(F.col("query").alias("item")).alias("inputs"))
+    answers = generation.generate_all(prompts.rag_prompts(queries, index, template, k), provider, "query_id")
+    return merge_outputs(clean_outputs(answers.select(F.col("query_id").cast("int").alias("batch"), "json"), job_id), job_id)
+
+
+def run_batches(
+    specs: DataFrame, job_id: str, sources: DataFrame, template: str, provider: Callable[[str], str], split: bool = True,
+    max_snippet_chars: int = selection.BUDGET, **country: str,
+) -> DataFrame:
+    """(json): one prompt per source with snippets (each with all sources without), or one for all; answers merged."""
+    batches = [r["source_id"] for r in sources.where(F.size("snippets") > 0).select("source_id", "pos").orderBy("pos").collect()] if split else []
+    if len(batches) < 2:
+        made = prompts.job_prompt(specs, template, job_id, sources=sources, max_snippet_chars=max_snippet_chars, **country)
+        return generation.generate_all(made, provider, "spec_id").select("json")
+    dealt, asked = selection.source_batches(sources), None
+    for i, b in enumerate(batches):  # as many as there are curated sources: each is a call to the provider
+        part = prompts.job_prompt(specs, template, job_id, sources=dealt.where(F.col("batch") == b).drop("batch"), max_snippet_chars=max_snippet_chars, **country)
+        part = part.select(F.lit(i).alias("batch"), "prompt")
+        asked = part if asked is None else asked.unionByName(part)
+    answers = generation.generate_all(asked, provider, "batch")
+    return merge_outputs(answers.withColumn("batch", F.col("batch").cast("int")), job_id)

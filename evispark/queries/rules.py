@@ -40,12 +40,12 @@ _DATE = "CASE WHEN page_id % 5 = 0 THEN '2024-1-1' ELSE '2024-13-45' END"
 
 def _citation():
     s = lambda e, n: F.expr(e).cast("string").alias(n)
-    fields = {"source_id": _BLANKED, "source_reference": "NULL", "doi": "CASE WHEN page_id % 7 = 0 THEN '10.1/x' END", "isbn": "''", "publisher": "' '", "quote": "'q'", "source_type": "'web'", "published_date": _DATE}
+    fields = {"source_id": _BLANKED, "reference": "NULL", "authors": "'A'", "doi": "CASE WHEN page_id % 7 = 0 THEN '10.1/x' END", "isbn": "''", "publisher": "' '", "quote": "'q'", "source_type": "'web'", "published_date": _DATE}
     return F.struct(F.col("url").alias("source_url"), *(s(v, k) for k, v in fields.items()))
 
 
 @query(f"""SELECT page_id, CASE WHEN url LIKE 'http%' AND url NOT LIKE '%example.com%' THEN url END AS source_url,
-CASE WHEN trim({_BLANKED}) <> '' THEN {_BLANKED} END AS source_id, CASE WHEN page_id % 7 = 0 THEN '10.1/x' END AS doi, NULL::VARCHAR AS publisher,
+{_BLANKED} AS source_id, CASE WHEN page_id % 7 = 0 THEN '10.1/x' END AS doi, NULL::VARCHAR AS publisher,
 CASE WHEN regexp_full_match({_DATE}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN {_DATE} END AS published_date FROM pages""")
 def citation_clean(t: Tables) -> DataFrame:
     c = t.pages.select("page_id", validation.clean_citations(F.array(_citation()))[0].alias("c"))

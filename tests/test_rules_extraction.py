@@ -69,11 +69,11 @@ def test_citation_lines(spark):
 
 
 def test_cleaning_and_gates(spark):
-    names = ("source_id", "source_url", "source_reference", "doi", "isbn", "publisher", "quote", "source_type", "published_date")
-    cases = [(" ", "http://example.com/a", None, "", None, "p", "", "web", "2024-1-1"), ("S", "https://a.b", None, None, None, None, None, None, "2024-13-45"), (None, "ftp://a", None, None, " ", None, None, None, None)]
+    names = ("source_id", "source_url", "reference", "doi", "isbn", "publisher", "quote", "source_type", "published_date", "authors")
+    cases = [(" ", "http://example.com/a", None, "", None, "p", "", "web", "2024-1-1", "a"), ("S", "https://a.b", None, None, None, None, None, None, "2024-13-45", None), (None, "ftp://a", None, None, " ", None, None, None, None, None)]
     df = spark.createDataFrame([(c,) for c in cases], "c struct<" + ",".join(f"{n}:string" for n in names) + ">")
     got = [r[0] for r in df.select(validation.clean_citation(F.col("c"))).collect()]
-    assert (got[0]["source_id"], got[0]["source_url"], got[0]["publisher"], got[0]["published_date"]) == (None, None, "p", None)
+    assert (got[0]["source_id"], got[0]["source_url"], got[0]["publisher"], got[0]["published_date"]) == (" ", None, "p", None)
     assert (got[1]["source_url"], got[1]["published_date"], got[2]["source_url"]) == ("https://a.b", "2024-13-45", None)
     assert [r[0] for r in df.select(validation.identified(F.col("c"))).collect()] == [True, True, False]
 
@@ -122,3 +122,65 @@ def test_embedding_batches(spark):
     df = spark.createDataFrame([(i, "x" * i) for i in range(1, 8)], "i int, text string").coalesce(1)
     got = generation.embed(df, lambda ts: [[float(len(t))] for t in ts], batch=3).orderBy("i").collect()
     assert [r["embedding"][0] for r in got] == [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0]
+
+
+COMMON = {"$defs": {"Text": {"type": "string", "minLength": 1}, "Cite": {"type": "object", "additionalProperties": False, "required": ["t"], "properties": {"t": {"$ref": "#/$defs/Text"}, "u": {"type": "string"}, "d": {"type": "string"}}, "anyOf": [{"required": ["u"]}, {"required": ["d"]}]}}}
+SCHEMA = {
+    "type": "object", "additionalProperties": False, "required": ["job", "when", "items"],
+    "properties": {"job": {"const": "x"}, "when": {"type": "string", "pattern": "^\\d{4}$"}, "n": {"type": "number", "minimum": 0, "maximum": 100}, "items": {"type": "array", "minItems": 1, "maxItems": 2, "items": {"$ref": "common.json#/$defs/Cite"}}},
+}
+
+
+def test_schema_documents(spark):
+    from evispark.plans.schema import Schema, schema_errors
+
+    s = Schema(SCHEMA, {"schemas/common.json": COMMON})
+    good = {"job": "x", "when": "2024", "n": 5, "items": [{"t": "a", "u": "b"}]}
+    assert s.errors(good) == []
+    bad = {"job": "y", "n": 101, "extra": 1, "items": [{"t": ""}, {"u": "b"}, {"t": "a", "d": "", "z": 1}]}
+    paths = [e.split(":")[0] for e in s.errors(bad)]
+    assert paths == sorted(paths) and set(paths) == {"$", "$.items", "$.items[0]", "$.items[0].t", "$.items[1]", "$.items[2]", "$.job", "$.n"}
+    df = spark.createDataFrame([(json.dumps(good),), ("{",), (json.dumps({**good, "when": "x"}),)], "json string").coalesce(1)
+    assert [r["n"] for r in schema_errors(df, SCHEMA, {"common.json": COMMON}).orderBy("n").collect()] == [1, 2]
+
+
+def output(job, key, *items):
+    return json.dumps({"job_id": job, "spec_id": "s", "generated_at": "2024-01-01", key: list(items)})
+
+
+def test_merge_outputs(spark):
+    from evispark.plans import jobs
+
+    ev = lambda q, *c: {"quality": q, "rationale": q, "citations": [{"source_title": "t", "locator": x, "source_url": "http://example.com"} for x in c]}
+    job = "phase1_discovery_qa"
+    a = output(job, "questions", {"question_id": "Q2", "answer": "A", "evidence": ev("low", "1")}, {"question_id": "Q1", "answer": "x", "evidence": ev("none")})
+    b = output(job, "questions", {"question_id": "Q1", "answer": "y", "evidence": ev("high", "2")}, {"question_id": "Q3", "answer": "z", "evidence": ev("none")}, {"question_id": "Q2", "answer": "A", "evidence": ev("high", "1", "3")})
+    df = spark.createDataFrame([(0, a), (1, b)], "batch int, json string")
+    got = json.loads(jobs.merge_outputs(df, job).first()["json"])
+    assert [(q["question_id"], q["answer"], q["evidence"]["quality"], len(q["evidence"]["citations"])) for q in got["questions"]] == [("Q2", "A", "high", 2), ("Q1", "x\n\ny", "high", 1), ("Q3", "z", "none", 0)]
+    assert jobs.merge_outputs(df.limit(1), job).first()["json"] == a
+    with pytest.raises(ValueError):
+        jobs.merge_outputs(df.where("batch > 5"), job)
+    with pytest.raises(KeyError):
+        jobs.merge_outputs(df, "unknown")
+    cleaned = json.loads(jobs.clean_outputs(df.where("batch = 0"), job).first()["json"])
+    assert "source_url" not in cleaned["questions"][0]["evidence"]["citations"][0]
+
+
+def test_runs_with_a_provider(spark):
+    from evispark.plans import jobs
+
+    job = "phase1_discovery_qa"
+    df = specs(spark, {"questions": [{"id": "a", "text": "One?"}, {"id": "b", "text": "Two?"}]})
+
+    def provider(prompt):
+        name = "a" if "One?" in prompt.split("MACHINE")[-1] else "b"
+        return json.dumps({"job_id": "phase1_discovery_qa", "spec_id": "s", "generated_at": "2024-01-01", "questions": [{"question_id": name, "answer": str(len(prompt) > 0), "evidence": {"quality": "none", "rationale": "r", "citations": []}}]})
+
+    index = spark.createDataFrame([(0, "SRC1", "t", "l", "x", "text", [1.0])], "pos int, source_id string, source_title string, locator string, text string, type string, embedding array<double>")
+    got = json.loads(jobs.run_rag(df, job, index, "T", provider, lambda ts: [[1.0] for _ in ts]).first()["json"])
+    assert [q["question_id"] for q in got["questions"]] == ["a", "b"]
+    kind = "source_id string, source_title string, pos int, snippets array<struct<text:string,type:string>>"
+    sources = spark.createDataFrame([("S1", "t", 0, [("x", "text")]), ("S2", "t", 1, [("y", "text")]), ("S3", "t", 2, [])], kind)
+    got = json.loads(jobs.run_batches(df, job, sources, "T", provider, country_name="Land").first()["json"])
+    assert len(got["questions"]) == 1 and got["questions"][0]["answer"] == "True"
