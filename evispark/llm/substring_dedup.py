@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .suffix_dedup import _with_runs
-from .windows import Words, covered, repeated_windows
+from .windows import Words, covered, repeated_windows, sliced
 
 LENGTH, GRAM, CHUNK = 50, 12, 5 << 19
 #: A failed match is tried again from so many words beyond the word it failed at, to skip the ends between.
@@ -176,11 +176,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     runs = repeated_windows(ordered, Words, lambda g, c, a, o: match_backward(g, c, a, o, length), length, gram, True, chunk, **more)
 
     def removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
-            for row, doc, t, found in zip(batch["row_no"], batch["id"], batch["t"], batch["runs"], strict=True):
+            for row, doc, t, first, last in zip(*(batch[c] for c in ("row_no", "id", "t", "first", "last")), strict=True):
                 w = t.encode("utf-8", "surrogatepass").split()
-                spans = covered(found, length) if found is not None else []
+                spans = covered(first, last, length) if first is not None else []
                 kept = [x for p, q in zip([0, *(e for _, e in spans)], [*(b for b, _ in spans), len(w)], strict=True) for x in w[p:q]]
                 out.append((row, doc, b" ".join(kept).decode("utf-8", "surrogatepass"), len(w), len(w) - len(kept)))
             yield pd.DataFrame(out, columns=["row_no", "id", "kept", "n_words", "n_removed"])

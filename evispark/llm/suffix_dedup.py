@@ -16,9 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .windows import _BASE, Bytes, covered, powers, prefix_hashes, repeated_windows
+from .windows import _BASE, Bytes, covered, powers, prefix_hashes, repeated_windows, sliced
 
-LENGTH, GRAM, CHUNK = 400, 64, 6 << 20
+LENGTH, GRAM, CHUNK = 400, 64, 2 << 20
 
 
 class Suffixes:
@@ -182,11 +182,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
     def removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
-            for row, doc, t, found in zip(batch["row_no"], batch["id"], batch["t"], batch["runs"], strict=True):
+            for row, doc, t, first, last in zip(*(batch[c] for c in ("row_no", "id", "t", "first", "last")), strict=True):
                 b = t.encode("utf-8", "surrogatepass")
-                spans = covered(found, length) if found is not None else []
+                spans = covered(first, last, length) if first is not None else []
                 kept = b"".join(b[x:y] for x, y in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(b)], strict=True))
                 out.append((row, doc, kept, len(b), len(b) - len(kept), [{"start": x, "end": y} for x, y in spans]))
             yield pd.DataFrame(out, columns=["row_no", "id", "kept", "n_bytes", "n_removed", "spans"])
@@ -203,7 +203,7 @@ def _with_runs(rows: DataFrame, runs: DataFrame) -> DataFrame:
     if not small_enough(runs.select("row_no"), 5 * BROADCAST_ROWS):
         return rows.join(runs, "row_no", "left")
     some = F.broadcast(runs.select("row_no"))  # at most 5 * BROADCAST_ROWS numbers
-    none = rows.join(some, "row_no", "left_anti").withColumn("runs", F.lit(None).cast(runs.schema["runs"].dataType))
+    none = rows.join(some, "row_no", "left_anti").withColumns({c: F.lit(None).cast(runs.schema[c].dataType) for c in ("first", "last")})
     return none.unionByName(rows.join(some, "row_no", "left_semi").join(runs, "row_no"))
 
 

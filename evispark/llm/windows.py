@@ -136,6 +136,13 @@ class Words:
         return b" ".join(units)
 
 
+def sliced(batches: Iterator[pd.DataFrame], rows: int = 200) -> Iterator[pd.DataFrame]:
+    """Batches in slices, so that what is made of one stays small."""
+    for b in batches:
+        for i in range(0, len(b), rows):
+            yield b.iloc[i : i + rows]
+
+
 #: (group of each context, contexts, their anchors' places, their orders) -> (context, first window, last window)
 Matcher = Callable[[np.ndarray, list[bytes], np.ndarray, np.ndarray], Iterator[tuple[int, int, int]]]
 
@@ -152,7 +159,7 @@ def _sharded(batches: Iterator[pd.DataFrame], matcher: Matcher, chunk: int) -> I
 
     held: list[pd.DataFrame] = []
     size = 0
-    for batch in batches:
+    for batch in (b.iloc[i : i + 1000] for b in batches for i in range(0, len(b), 1000)):
         held.append(batch)
         size += int(batch["ctx"].str.len().sum())
         if size < chunk:
@@ -216,36 +223,35 @@ def _runs(items: DataFrame, units, matcher: Matcher, length: int, earlier: bool,
 def repeated_windows(
     docs: DataFrame, units_type, matcher: Matcher, length: int, gram: int, earlier: bool, chunk: int, large: int = LARGE
 ) -> DataFrame:
-    """(row_no, runs): per row with any, the runs (first, last) of windows that occur again.
+    """(row_no, first, last): per row with any, arrays of the runs of windows that occur again.
 
     docs: row_no, ord (long; with ``earlier`` only occurrences in rows of a smaller ord count), t (text).
     """
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         units = units_type()
-        for batch in batches:
-            out = []
+        for batch in sliced(batches):
+            found, n, rows, orders = [], [], [], []
             for row, ord_, t in zip(batch["row_no"], batch["ord"], batch["t"], strict=True):
                 u = units.split(t.encode("utf-8", "surrogatepass"))
-                if len(u) < length:
-                    continue
-                key, a, first, last = anchors(units.hashes(u), length, gram)
-                out.append(pd.DataFrame({"row_no": row, "ord": ord_, "key": key, "a": a, "first": first, "last": last}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
+                if len(u) >= length:
+                    found.append(anchors(units.hashes(u), length, gram))
+                    n.append(len(found[-1][0]))
+                    rows.append(row)
+                    orders.append(ord_)
+            if found:
+                key, a, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pd.DataFrame({"row_no": np.repeat(rows, n), "ord": np.repeat(orders, n), "key": key, "a": a, "first": first, "last": last})
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         units = units_type()
-        for batch in batches:
-            for at in range(0, len(batch), 200):
-                out = []
-                part = batch.iloc[at : at + 200]
-                for row, ord_, t, found in zip(part["row_no"], part["ord"], part["t"], part["found"], strict=True):
-                    u = units.split(t.encode("utf-8", "surrogatepass"))
-                    for x in found:
-                        first, last = x["first"], x["last"]
-                        out.append((f"{row} {first}", ord_, x["key"], units.join(u[first : last + length]), x["a"] - first, last - first + 1))
-                yield pd.DataFrame(out, columns=["pid", "ord", "key", "ctx", "a", "n_windows"])
+        for batch in sliced(batches):
+            out = []
+            for row, ord_, t, *found in zip(*(batch[c] for c in ("row_no", "ord", "t", "key", "a", "first", "last")), strict=True):
+                u = units.split(t.encode("utf-8", "surrogatepass"))
+                for key, a, first, last in zip(*(x.tolist() for x in found), strict=True):
+                    out.append((f"{row} {first}", ord_, key, units.join(u[first : last + length]), a - first, last - first + 1))
+            yield pd.DataFrame(out, columns=["pid", "ord", "key", "ctx", "a", "n_windows"])
 
     rows = docs.select("row_no", "ord", "t")
     listing = materialise(rows.mapInPandas(listed, "row_no long, ord long, key long, a int, first int, last int"))
@@ -254,6 +260,7 @@ def repeated_windows(
     found = listing.join(again, "key").groupBy("row_no").agg(F.collect_list(F.struct("key", "a", "first", "last")).alias("found"))
     found = materialise(found)
     some = rows.join(checked_broadcast(found.select("row_no"), 1_000_000), "row_no", "left_semi")
+    found = found.select("row_no", *(F.col(f"found.{c}").alias(c) for c in ("key", "a", "first", "last")))
     items = some.join(found, "row_no").mapInPandas(contexts, "pid string, ord long, key long, ctx binary, a int, n_windows int")
     runs = _runs(items, units_type(), matcher, length, earlier, chunk, large)
     at = F.split("pid", " ")[1].cast("long")
@@ -261,15 +268,16 @@ def repeated_windows(
         runs.select(F.split("pid", " ")[0].cast("long").alias("row_no"), F.struct((F.col("first") + at).alias("first"), (F.col("last") + at).alias("last")).alias("run"))
         .groupBy("row_no")
         .agg(F.collect_set("run").alias("runs"))
+        .select("row_no", F.col("runs.first").alias("first"), F.col("runs.last").alias("last"))
     )
 
 
-def covered(runs, length: int) -> list[tuple[int, int]]:
-    """Maximal stretches (start, end) of units that the windows of ``runs`` cover."""
+def covered(first, last, length: int) -> list[tuple[int, int]]:
+    """Maximal stretches (start, end) of units that runs of windows cover."""
     out: list[list[int]] = []
-    for first, last in sorted((r["first"], r["last"]) for r in runs):
-        if out and first <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], last + length)
+    for a, b in sorted(zip(first, last, strict=True)):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b + length)
         else:
-            out.append([first, last + length])
+            out.append([int(a), int(b) + length])
     return [(a, b) for a, b in out]

@@ -86,5 +86,4 @@ def test_empty_and_null_ids(spark):
 
 
 def test_covered():
-    runs = [{"first": 0, "last": 2}, {"first": 12, "last": 12}, {"first": 30, "last": 31}]
-    assert covered(runs, 10) == [(0, 22), (30, 41)]
+    assert covered([30, 0, 12], [31, 2, 12], 10) == [(0, 22), (30, 41)]
