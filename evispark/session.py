@@ -23,3 +23,16 @@ def get_session(app: str = "evispark", master: str | None = None, **conf: str) -
     for k, v in settings.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def make_importable(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import the package, wherever the driver was started from.
+
+    On a cluster the package is installed on the executors or shipped with ``addPyFile``.
+    """
+    import os
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, (root, env.get("PYTHONPATH", ""))))
