@@ -10,44 +10,75 @@ capacity and not by the corpus. Documents themselves are only ranked within thei
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from struct import pack as pack_ids
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, rank_within
+from .token_counts import byte_alphabet
 
 CAPACITY = 2048
 #: White-space-separated chunks whose ids a worker remembers before it forgets them all.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
+#: Fixed patterns: how the tokenizer file splits lower-cased text, and the chunks for which that is all it does
+#: (printable ASCII and the composed letters of Latin-1, which its normalization leaves alone).
+SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 
 
 class ChunkTokenizer:
-    """A tokenizer that drops white space and never joins across it: ids of a text, chunk by chunk, remembered."""
+    """A tokenizer that drops white space and never joins across it: ids of a text, chunk by chunk, remembered.
+
+    New plain chunks without the marks of special tokens are split into words, remembered too, that go straight
+    to the tokenizer's model; other chunks pass the whole tokenizer.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.alphabet = byte_alphabet()
+
+    def _word(self, w: str) -> bytes:
+        shown = w if w.isascii() else "".join([self.alphabet[b] for b in w.encode()])
+        ids = [t.id for t in self.model.tokenize(shown)]
+        found = self.words[w] = pack_ids(f"<{len(ids)}I", *ids)
+        return found
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        rest, known, words, plain, split, word = [], self.known, self.words, PLAIN.fullmatch, SPLIT.findall, self._word
+        for c in chunks:
+            w = c.decode()
+            if plain(w) and "<|" not in w:
+                parts = split(w.lower())
+                known[c] = b"".join([words.get(p) or word(p) for p in parts]) if len(parts) > 1 else words.get(parts[0]) or word(parts[0])
+            else:
+                rest.append(c)
+        for at in range(0, len(rest), 20_000):
+            part = rest[at : at + 20_000]
+            for c, e in zip(part, self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False), strict=True):
+                known[c] = pack_ids(f"<{len(e.ids)}I", *e.ids)
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         known = self.known
-        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        new = list({w for words in split for w in words if w not in known})
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        split = [t.encode("utf-8").split() for t in texts]
+        self._learn(list({w for words in split for w in words if w not in known}))
         for words in split:
             yield b"".join(map(known.__getitem__, words))
         if len(known) > REMEMBERED:
             known.clear()
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -60,8 +91,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         made = ChunkTokenizer(tokenizer)
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.iloc[at : at + 1000]
+            for at in range(0, len(batch), 500):
+                part = batch.iloc[at : at + 500]
                 out = []
                 for row, doc, ids in zip(part["row_no"], part["id"], made.ids(part["t"].tolist()), strict=True):
                     ids += b"\0\0\0\0"

@@ -21,7 +21,7 @@ def test_pieces_are_the_tokenizers(spark):
     from tokenizers import Tokenizer
 
     r = random.Random(4)
-    chars = ["a", "B", "'s", "9", "!", "é", "ß", "İ", "Σ", "😀", " ", "\n", "\t", "<|endoftext|>", "…", " ", "́"]
+    chars = ["a", "B", "'s", "9", "!", "é", "ß", "É", "ÿ", "×", "ª", "İ", "Σ", "😀", " ", "\n", "\t", "<|endoftext|>", "…", " ", "́"]
     texts = ["".join(r.choice(chars) for _ in range(r.randrange(0, 60))) for _ in range(150)] + [None, "", "word " * 3000]
     path = public_tokenizers.path("word_bpe_49k.json")
     made = packing.pieces(docs_of(spark, texts), path).collect()
