@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import sys
 from datetime import date
 
@@ -25,6 +26,24 @@ def _invalid(outputs, job_id):
     return validation.violations(outputs, head, [])
 
 
+def _callable(name):
+    """``module:function``: a provider of texts or vectors."""
+    module, _, function = (name or "").partition(":")
+    if not function:
+        raise ValueError("give a provider as module:function")
+    return getattr(importlib.import_module(module), function)
+
+
+def _generated(spark, a, j, who):
+    template = files.read_templates(spark, j.prompt_template).first()["template"]
+    specs = _specs(spark, j.spec_file)
+    if a.index:
+        return jobs.run_rag(specs, a.job, spark.read.parquet(a.index), template, _callable(a.provider), _callable(a.embedder), a.topk)
+    snippets = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("pos", "part", "locator", "text", "type"))))
+    sources = spark.read.parquet(a.sources).groupBy("source_id", "source_title").agg(snippets.alias("snippets"))
+    return jobs.run_batches(specs, a.job, sources.withColumn("pos", F.regexp_extract("source_id", "[0-9]+", 0).try_cast("int")), template, _callable(a.provider), not a.no_split, **who)
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="evispark")
     sub = p.add_subparsers(dest="command", required=True)
@@ -33,12 +52,15 @@ def main(argv: list[str] | None = None) -> int:
     reg, job, out = opt("--registry", required=True), opt("--job", required=True), opt("--out", required=True)
     country = (opt("--country-name"), opt("--country-iso3"), opt("--generated-at", default=date.today().isoformat()))
     add("validate", job, opt("--payload", required=True))
-    add("run", reg, job, out, *country)
+    llm = (opt("--mode", choices=("stub", "llm"), default="stub"), opt("--provider"), opt("--embedder"), opt("--sources"), opt("--index"), opt("--no-split", action="store_true"), opt("--topk", type=int, default=40))
+    add("run", reg, job, out, *country, *llm)
     add("run-all", reg, out, *country)
     add("render-all", reg, out, opt("--mode", default="stub"))
-    add("render", job, opt("--payload", required=True), out, opt("--form", choices=("md", "csv", "text"), default="md"))
+    add("render", job, opt("--payload", required=True), out, opt("--form", choices=("md", "csv", "xlsx", "docx"), default="md"))
     add("prompt", reg, job, out, *country)
     add("sources-scan", opt("--folder", required=True), out)
+    add("sources-index", opt("--sources", required=True), opt("--embedder", required=True), opt("--model", default="custom"), out)
+    add("similarity", opt("--table", required=True), opt("--target", required=True), out, opt("--weights"), opt("--sheet"), opt("--peer-filter", action="store_true"))
     add("comparator", opt("--table", required=True), opt("--target", required=True), out, opt("--topk", type=int, default=20), opt("--aspirational-k", type=int, default=20), opt("--weights"), opt("--sheet"))
     a = p.parse_args(argv)
     spark = get_session()
@@ -55,6 +77,13 @@ def main(argv: list[str] | None = None) -> int:
             sinks.write_csv(similar, f"{a.out}/similar")
             sinks.write_csv(aspirational, f"{a.out}/aspirational")
             return 0
+        if a.command == "sources-index":
+            jobs.index_sources(spark.read.parquet(a.sources), _callable(a.embedder), a.out, a.model)
+            return 0
+        if a.command == "similarity":
+            found = comparator.similarity_index(files.read_table(spark, a.table, a.sheet), a.target, peer_columns=comparator.PEER_COLUMNS if a.peer_filter else (), weights=a.weights)
+            sinks.write_csv(found, a.out)
+            return 0
         if a.command == "render":
             jobs.render(files.read_json_strict(spark, a.payload), a.job, a.out, a.form)
             return 0
@@ -67,7 +96,11 @@ def main(argv: list[str] | None = None) -> int:
         who = {"country_name": getattr(a, "country_name", None), "country_iso3": getattr(a, "country_iso3", None)}
         if a.command == "run":
             j = registry.job(listed, a.job)
-            made = jobs.run_stub(_specs(spark, j.spec_file), a.job, a.out, a.generated_at, **who)
+            if a.mode == "stub":
+                made = jobs.run_stub(_specs(spark, j.spec_file), a.job, a.out, a.generated_at, **who)
+            else:
+                made = _generated(spark, a, j, who)
+                sinks.write_json(made, a.out)
             return 3 if _invalid(made, a.job).take(1) else 0
         failed = False
         for j in listed.collect():  # the registry: a few rows

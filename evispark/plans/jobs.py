@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.vectors import norm
 from ..operators import chunking, merging, rendering, selection, stubs, validation
 from ..sources import files, sinks
 from . import generation, prompts
@@ -27,12 +28,25 @@ def run_stub(specs: DataFrame, job_id: str, out: str, generated_at: str, **count
 
 
 def render(outputs: DataFrame, job_id: str, out: str, form: str = "md") -> None:
-    """Markdown text, or the flat tables as CSV folders."""
+    """Markdown text, the flat tables as CSV folders or a workbook, or the narrative as a document."""
     if form == "md":
         sinks.write_text(rendering.markdown(outputs, job_id), "markdown", out)
-        return
-    for name, table in (rendering.flat_tables(outputs, job_id) if form == "csv" else {"text": rendering.narrative_rows(outputs, job_id)}).items():
-        sinks.write_csv(table, f"{out}/{name}")
+    elif form == "csv":
+        for name, table in rendering.flat_tables(outputs, job_id).items():
+            sinks.write_csv(table, f"{out}/{name}")
+    elif form == "xlsx":
+        sinks.write_xlsx(rendering.flat_tables(outputs, job_id), out)
+    else:
+        sinks.write_docx(job_id, rendering.narrative_rows(outputs, job_id), out)
+
+
+def index_sources(sources: DataFrame, embedder: Callable[[list[str]], list[list[float]]], out: str, model: str) -> None:
+    """Snippets of scanned sources with their vectors and lengths, as Parquet. An error if there is no text."""
+    rows = sources.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    if not rows.take(1):
+        raise ValueError("no snippet has text")
+    made = generation.embed(rows, embedder).withColumn("norm", norm(F.col("embedding")))
+    sinks.write_index(made, out, model)
 
 
 def merge_outputs(outputs: DataFrame, job_id: str, batch: str = "batch") -> DataFrame:

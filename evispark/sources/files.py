@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import read_text, strip
+from .office import read_xlsx
 
 #: (position, kind 'text' or 'table', text, rows of a table)
 Block = tuple[int, str, str, list[list[str]]]
@@ -37,10 +38,13 @@ def read_templates(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """A table from Parquet or CSV; spreadsheets where a reader for them is installed (they are small by nature)."""
-    if path.endswith((".xlsx", ".xls")):
-        frame = pd.read_excel(path, sheet_name=sheet or 0, dtype=str)  # needs an optional library
-        return spark.createDataFrame(frame.where(frame.notna(), None))
+    """A table from Parquet, CSV or a spreadsheet (the named or first sheet, all columns as strings)."""
+    if path.endswith(".xlsx"):
+        content = spark.read.format("binaryFile").load(path).first()["content"]  # spreadsheets are small by nature
+        head, *rows = read_xlsx(bytes(content), sheet)
+        names = [h or f"_{i}" for i, h in enumerate(head)]
+        rows = [(*r, *[None] * (len(names) - len(r)))[: len(names)] for r in rows]
+        return spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names))
     if path.endswith(".csv"):
         return spark.read.csv(path, header=True)
     return spark.read.parquet(path)

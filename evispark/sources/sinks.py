@@ -32,6 +32,29 @@ def write_text(df: DataFrame, column: str, path: str) -> None:
     df.select(column).write.mode("overwrite").option("lineSep", "\n").text(path)
 
 
+def write_xlsx(tables: dict[str, DataFrame], path: str) -> None:
+    """Small tables as the sheets of a workbook; columns as wide as their longest value, within limits."""
+    from ..operators.rendering import column_widths
+    from .office import xlsx
+
+    sheets = {n: (t.columns, [tuple(r) for r in t.collect()]) for n, t in tables.items()}
+    widths = {n: [r["width"] for r in column_widths(t, t.columns).collect()] for n, t in tables.items()}
+    with open(path, "wb") as f:
+        f.write(xlsx(sheets, widths))
+
+
+def write_docx(title: str, rows: DataFrame, path: str) -> None:
+    """Narrative rows (pos, heading, body, quality, rationale, citations) as a document."""
+    from .office import docx
+
+    blocks = [("Title", title)]
+    for r in rows.orderBy("pos").collect():
+        blocks += [("Heading1", r["heading"] or ""), ("Normal", r["body"] or ""), ("Normal", f"Evidence quality: {r['quality'] or ''}"), ("Normal", f"Rationale: {r['rationale'] or ''}")]
+        blocks += [("Normal", r["citations"])] if r["citations"] else []
+    with open(path, "wb") as f:
+        f.write(docx(blocks))
+
+
 def run_folder(base: str, job_id: str, country: str | None = None, now: datetime | None = None) -> str:
     """``{base}/{job}/{country}_YYYYMMDD_HHMMSS``; a base that ends in a time already is used as it is."""
     if re.search(r"_\d{8}_\d{6}/?$", base):

@@ -101,3 +101,20 @@ def test_arrivals(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("arrived").count() == 2
+
+
+def test_office_files(spark, tmp_path):
+    from evispark.sources import office
+
+    df = spark.createDataFrame([("a <b>", "x\ny", 1.5), (None, "z", 2.0)], "p string, q string, n double")
+    path = str(tmp_path / "t.xlsx")
+    sinks.write_xlsx({"one": df, "two": df.select("q")}, path)
+    content = (tmp_path / "t.xlsx").read_bytes()
+    assert office.read_xlsx(content) == [["p", "q", "n"], ["a <b>", "x\ny", "1.5"], ["", "z", "2.0"]]
+    assert [r["q"] for r in files.read_table(spark, path, "two").collect()] == ["x\ny", "z"]
+    with pytest.raises(ValueError):
+        office.read_xlsx(content, "three")
+    assert [office.column_name(i) for i in (0, 25, 26, 701, 702)] == ["A", "Z", "AA", "ZZ", "AAA"]
+    rows = spark.createDataFrame([(0, "H", "B", "low", "r", "c")], "pos int, heading string, body string, quality string, rationale string, citations string")
+    sinks.write_docx("T", rows, str(tmp_path / "d.docx"))
+    assert [t for _, _, t, _ in files.docx_blocks((tmp_path / "d.docx").read_bytes())][:3] == ["T", "H", "B"]
