@@ -65,6 +65,12 @@ COUNTRIES = Extractor(
 )
 
 
+#: Fixed: what the stub of benchmarks reads instead: no list by its looks, and nested criteria only with an id.
+STUB_DIMENSIONS = Extractor(("dimensions", "scoring_dimensions", "criteria"), (), {"dimension_id": ("dimension_id", "id"), "label": ("label", "name", "title")}, "d")
+STUB_CRITERIA = Extractor((), (), {"dimension_id": ("criterion_id", "id"), "label": ("name", "label")}, "")
+STUB_COUNTRIES = Extractor(COUNTRIES.lists, (), COUNTRIES.fields, "")
+
+
 def _list(text: Column) -> Column:
     return F.when(F.startswith(F.ltrim(text), F.lit("[")), F.from_json(text, _LIST))
 
@@ -78,13 +84,20 @@ def _no_list() -> Column:
 
 
 def _candidates(top: Column, e: Extractor) -> Column:
-    named = F.coalesce(*(_list(F.try_element_at(top, F.lit(k))) for k in e.lists), _no_list())
+    named = F.coalesce(_no_list()) if not e.lists else F.coalesce(*(_list(F.try_element_at(top, F.lit(k))) for k in e.lists), _no_list())
     lists = F.transform(F.map_values(top), lambda v: F.coalesce(_list(v), _no_list()))
+    if not e.hints:
+        return named
     has_hint = lambda x: F.size(F.array_intersect(F.coalesce(F.json_object_keys(x), _no_list()), F.array(*(F.lit(h) for h in e.hints)))) > 0
     looks = F.filter(lists, lambda v: (F.size(v) > 0) & F.forall(v, _is_object) & F.exists(v, has_hint))
     return F.when(F.size(named) > 0, named).otherwise(F.coalesce(F.get(looks, F.lit(0)), _no_list()))
 
 
+def _nested_criteria(top: Column) -> Column:
+    """The criteria of all objects at the top, in order."""
+    return F.flatten(F.transform(F.map_values(top), lambda v: F.when(_is_object(v), F.coalesce(_list(F.try_element_at(F.from_json(v, _MAP), F.lit("criteria"))), _no_list())).otherwise(_no_list())))
+
+
 def _items(specs: DataFrame, e: Extractor, listed: Column) -> DataFrame:
     rows = specs.select("spec_id", F.posexplode(listed).alias("pos", "x")).where(_is_object(F.col("x")))
     rows = rows.select("spec_id", (F.col("pos") + 1).alias("pos"), F.from_json("x", _MAP).alias("m"))
@@ -137,7 +150,7 @@ def extract(specs: DataFrame, job_id: str) -> DataFrame:
             F.concat(F.lit("Interventions in the "), name, F.lit(" domain targeting: "), F.col("g")).alias("mechanism"),
         ))
     elif job_id == "benchmark_country_scoring":
-        nested = F.flatten(F.transform(F.map_values(top), lambda v: F.when(_is_object(v), F.coalesce(_list(F.try_element_at(F.from_json(v, _MAP), F.lit("criteria"))), _no_list())).otherwise(_no_list())))
+        nested = _nested_criteria(top)
         found = _items(rows, e, F.when(bare, nested).otherwise(F.col("c")))
         found = _or_placeholder(specs, found, {"dimension_id": "d1", "label": "placeholder_dimension"})
     return found
@@ -149,6 +162,20 @@ def extract_countries(specs: DataFrame) -> DataFrame:
     return _or_placeholder(specs, found.withColumn("iso3", F.upper("iso3")), {"country_name": "placeholder_country", "iso3": "XXX"})
 
 
+def stub_benchmark(specs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(dimensions, countries) as the stub of benchmarks reads them."""
+    top = F.col("top")
+    listed = _top(specs).withColumn("c", _candidates(top, STUB_DIMENSIONS))
+    dims = _items(listed, STUB_DIMENSIONS, F.col("c"))
+    bare = _top(specs).join(dims.select("spec_id").distinct(), "spec_id", "left_anti")
+    dims = dims.unionByName(_items(bare.withColumn("c", _nested_criteria(top)), STUB_CRITERIA, F.col("c")))
+    who = _items(_top(specs).withColumn("c", _candidates(top, STUB_COUNTRIES)), STUB_COUNTRIES, F.col("c")).withColumn("iso3", F.upper("iso3"))
+    return (
+        _or_placeholder(specs, dims, {"dimension_id": "d1", "label": "placeholder_dimension"}),
+        _or_placeholder(specs, who, {"country_name": "placeholder_country", "iso3": "XXX"}),
+    )
+
+
 def _or_placeholder(specs: DataFrame, found: DataFrame, values: dict[str, str]) -> DataFrame:
     none = specs.select("spec_id").join(found.select("spec_id").distinct(), "spec_id", "left_anti")
     return found.unionByName(none.select("spec_id", F.lit(1).alias("pos"), *(F.lit(v).alias(k) for k, v in values.items())))

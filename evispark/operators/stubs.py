@@ -49,15 +49,15 @@ _KEYS = {
 
 def stub_outputs(specs: DataFrame, job_id: str, generated_at: str, country_name: str | None = None, country_iso3: str | None = None) -> DataFrame:
     """(spec_id, json): one output per specification. The date is an argument, so runs repeat."""
-    rows = extraction.extract(specs, job_id)
     if job_id == "benchmark_country_scoring":
+        rows, who = extraction.stub_benchmark(specs)
         score = F.struct(F.lit(0).alias("score"), no_evidence().alias("evidence"))
         dims = rows.groupBy("spec_id").agg(F.array_sort(F.collect_list(F.struct("pos", "dimension_id", "label"))).alias("d"))
         dims = dims.select("spec_id", F.transform("d", lambda d: F.struct(d["dimension_id"].alias("dimension_id"), d["label"].alias("label"), score.alias("score_note"))).alias("dimensions"))
-        who = extraction.extract_countries(specs).join(dims, "spec_id")
+        who = who.join(dims, "spec_id")
         item, key, rows = F.struct("country_name", "iso3", score.alias("overall_score"), "dimensions"), "countries", who
     else:
-        item, key = _item(job_id), _KEYS[job_id]
+        item, key, rows = _item(job_id), _KEYS[job_id], extraction.extract(specs, job_id)
     grouped = rows.select("spec_id", F.struct("pos", item.alias("v")).alias("x")).groupBy("spec_id").agg(F.sort_array(F.collect_list("x")).alias("xs"))
     country = F.struct(F.lit(country_name).alias("name"), F.lit(country_iso3).alias("iso3"))
     head = [F.lit(job_id).alias("job_id"), "spec_id", F.lit(generated_at).alias("generated_at")]

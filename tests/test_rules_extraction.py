@@ -34,6 +34,13 @@ def test_fallbacks(spark):
     assert rows(extraction.extract_countries(specs(spark, {"countries": [{"name": "A", "ISO3": "abc"}]}, {})), "country_name", "iso3") == [("A", "ABC"), ("placeholder_country", "XXX")]
 
 
+def test_stub_reads_benchmarks_its_own_way(spark):
+    bench = {"phase2": {"criteria": [{"criterion_id": "P2", "label": "L", "name": "N"}, {"name": "no id"}]}, "others": [{"label": "by its looks"}]}
+    dims, who = extraction.stub_benchmark(specs(spark, bench, {"dimensions": [{"title": "T"}], "candidates": [{"name": "A", "iso3": "abc"}]}))
+    assert rows(dims, "dimension_id", "label") == [("P2", "N"), ("d1", "T")]
+    assert rows(who, "country_name", "iso3") == [("placeholder_country", "XXX"), ("A", "ABC")]
+
+
 def test_nothing_found(spark):
     with pytest.raises(ValueError):
         extraction.require_items(extraction.extract(specs(spark, {"a": 1}), "country_learning_briefs"), "country_learning_briefs")
