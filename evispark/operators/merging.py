@@ -123,7 +123,10 @@ def merge_items(
 
 
 def latest_per_group(df: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
-    """The row with the latest time of each key; of equal times that with the greatest ``tie``. Combined before the shuffle."""
+    """The row with the latest time of each key; of equal times that with the greatest ``tie``.
+
+    Combined before the shuffle. Every column of ``df`` travels: select what is needed first.
+    """
     value = F.struct(*(c for c in df.columns if c not in keys))
     best = df.groupBy(*keys).agg(F.max_by(value, F.struct(time, tie)).alias("__v"))
     return best.select(*keys, "__v.*")

@@ -73,5 +73,5 @@ def dedup_citations(t: Tables) -> DataFrame:
 
 @query("SELECT user_id, event_id, event_type, round(value, 4) AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def latest_per_group(t: Tables) -> DataFrame:
-    found = merging.latest_per_group(t.events, ["user_id"], "ts", "event_id")
+    found = merging.latest_per_group(t.events.select("user_id", "ts", "event_id", "event_type", "value"), ["user_id"], "ts", "event_id")
     return found.select("user_id", "event_id", "event_type", F.round("value", 4).alias("value"))
