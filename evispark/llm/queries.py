@@ -57,7 +57,36 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_quality_rules, op4_suffix_array_dedup, op5_token_counts, op6_simhash_near_dedup, op7_best_fit_packing, op8_substring_dedup, op9_mixing, op10_pii)}
 
+#: kind -> (pattern, confirmed, score, context words, threshold), as in ``pii.KINDS``. Matches ``m`` come with the text ``g`` since the one before.
+_PII_SQL = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true", 0.8, "mail|contact|write|kontakt|correo|courriel", 0),
+    "ip": (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", r"regexp_full_match(m, '0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}')", 0.6, "ip|host|server|address|addr", 0),
+    "card": (r"[0-9](?:[\x20-]?[0-9])+", "length(d) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 0 THEN d[i]::INT WHEN d[i]::INT > 4 THEN d[i]::INT * 2 - 9 ELSE d[i]::INT * 2 END)) % 10 = 0", 0.7, "card|visa|credit|karte|carte|tarjeta", 0),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "length(d) BETWEEN 10 AND 15", 0.6, "phone|call|tel|mobile|fax", 0),
+    "iban": (r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b", "length(s) BETWEEN 15 AND 34 AND list_reduce([0] || list_transform(string_split(s[5:] || s[:4], ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c::INT ELSE ascii(c) - 55 END), lambda a, x: CASE WHEN x > 9 THEN a * 100 + x ELSE a * 10 + x END % 97) = 1", 0.8, "iban|account|bank|konto|compte|cuenta", 0.6),
+    "national_id": (r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "NOT regexp_matches(m, '^(?:000|666|9[0-9]{2})|-00-|-0000$')", 0.45, "ssn|social|security|id", 0.6),
+}
+
+
+def _pii_sql() -> str:
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, {rank} AS rank, '{kind}' AS kind, start, e, score FROM (SELECT *, round({score} + CASE WHEN regexp_matches(lower(right(g, 60)), '(^|[^a-z])(?:{words})') THEN 0.2 ELSE 0.0 END, 2) AS score, "
+        "regexp_replace(m, '[^0-9]', '', 'g') AS d, replace(m, ' ', '') AS s, start + length(m) AS e FROM ("
+        "SELECT doc_id, ms[i] AS m, gs[i] AS g, list_sum(list_transform(gs[:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(ms[:i - 1], lambda x: length(x))), 0)::BIGINT AS start "
+        f"FROM (SELECT doc_id, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gs FROM docs)))) WHERE ({good}) AND score >= {least}"
+        for rank, (kind, (pattern, good, score, words, least)) in enumerate(_PII_SQL.items())
+    )
+    counts = ", ".join(f"count(*) FILTER (rank = {i}) AS n_{k}" for i, k in enumerate(list(_PII_SQL)[:4]))
+    joined = "string_agg(kind || ':' || start || ':' || e, ',' ORDER BY start, rank)"
+    return (
+        f"WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), found AS ({found}) "
+        f"SELECT doc_id, {counts}, sha256(coalesce({joined} FILTER (rank < 4), '')) AS base_sha256, coalesce({joined}, '') AS spans, "
+        "coalesce(string_agg(score::DOUBLE::VARCHAR, ',' ORDER BY start, rank), '') AS scores FROM docs LEFT JOIN found USING (doc_id) GROUP BY doc_id"
+    )
+
+
 ORACLE_SQL = {
+    "op10_pii": _pii_sql(),
     "op1_exact_dedup": r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
