@@ -51,12 +51,11 @@ def _key(x: Column) -> Column:
 
 
 def target_row(df: DataFrame, target: str, name: str = "Country") -> DataFrame:
-    """The one row whose trimmed, lower-cased name is the target's; an error otherwise."""
-    found = df.where(_key(F.col(f"`{name}`")) == target.strip().lower())
-    n = len(found.limit(2).collect())
-    if n != 1:
+    """The one row whose trimmed, lower-cased name is the target's, as a local table; an error otherwise."""
+    found = df.where(_key(F.col(f"`{name}`")) == target.strip().lower()).limit(2).collect()
+    if len(found) != 1:
         raise ValueError(f"target {target!r} must match exactly one row")
-    return found
+    return df.sparkSession.createDataFrame(found, df.schema)
 
 
 def peers(df: DataFrame, target: DataFrame, columns: Iterable[str], name: str = "Country") -> DataFrame:
@@ -70,15 +69,24 @@ def peers(df: DataFrame, target: DataFrame, columns: Iterable[str], name: str =
     return df.crossJoin(F.broadcast(t)).where(agree).drop("__t", *(f"__t{i}" for i in range(len(have))))  # one row
 
 
-def zscores(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds ``z_<column>``: population z-scores that skip nulls; 0 for all rows where there is no spread."""
-    stats = df.agg(*(f(F.col(f"`{c}`")).alias(f"__{k}{i}") for i, c in enumerate(columns) for k, f in (("m", F.avg), ("s", F.stddev_pop))))
-    out = df.crossJoin(F.broadcast(stats))  # one row
+def column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: mean and population deviation of each column, nulls skipped."""
+    return df.agg(*(f(F.col(f"`{c}`")).alias(f"__{k}{i}") for i, c in enumerate(columns) for k, f in (("m", F.avg), ("s", F.stddev_pop))))
+
+
+def standardise(df: DataFrame, stats: DataFrame, columns: list[str]) -> DataFrame:
+    """Adds ``z_<column>``; 0 for all rows where there is no spread."""
+    z = {}
     for i, c in enumerate(columns):
         s = F.col(f"__s{i}")
         flat = s.isNull() | F.isnan(s) | (s == 0)
-        out = out.withColumn(f"z_{c}", F.when(flat, 0.0).otherwise((F.col(f"`{c}`") - F.col(f"__m{i}")) / s))
-    return out.drop(*(f"__{k}{i}" for i in range(len(columns)) for k in "ms"))
+        z[f"z_{c}"] = F.when(flat, 0.0).otherwise((F.col(f"`{c}`") - F.col(f"__m{i}")) / s)
+    return df.crossJoin(F.broadcast(stats)).withColumns(z).drop(*(f"__{k}{i}" for i in range(len(columns)) for k in "ms"))  # one row
+
+
+def zscores(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Adds ``z_<column>``: population z-scores that skip nulls; 0 for all rows where there is no spread."""
+    return standardise(df, column_stats(df, columns), columns)
 
 
 def parse_weights(text: str | Mapping[str, float] | None, columns: list[str]) -> dict[str, float]:
@@ -117,11 +125,10 @@ def score(
 ) -> tuple[DataFrame, DataFrame]:
     """(scored candidates, target with z columns). z-scores are over the candidates and the target."""
     t = target_row(df, target, name)
-    every = peers(df, t, peer_columns, name).unionByName(t)
-    z = zscores(every, columns)
-    zt = z.where(_key(F.col(f"`{name}`")) == target.strip().lower())
-    rest = z.where(_key(F.col(f"`{name}`")) != target.strip().lower())
-    return distances(rest, zt, columns, parse_weights(weights, columns)), zt
+    rest = peers(df, t, peer_columns, name)
+    stats = column_stats(rest.unionByName(t), columns)
+    zt = standardise(t, stats, columns)
+    return distances(standardise(rest, stats, columns), zt, columns, parse_weights(weights, columns)), zt
 
 
 def nearest(scored: DataFrame, k: int = 20, name: str = "Country") -> DataFrame:
