@@ -25,7 +25,7 @@ from .token_counts import byte_alphabet
 
 CAPACITY = 2048
 #: White-space-separated chunks whose ids a worker remembers before it forgets them all.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 #: Fixed patterns: how the tokenizer file splits lower-cased text, and the chunks for which that is all it does
 #: (printable ASCII and the composed letters of Latin-1, which its normalization leaves alone).
 SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
