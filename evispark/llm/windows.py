@@ -256,7 +256,8 @@ def repeated_windows(
     rows = docs.select("row_no", "ord", "t")
     listing = materialise(rows.mapInPandas(listed, "row_no long, ord long, key long, a int, first int, last int"))
     again = listing.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("lo"), F.max("ord").alias("hi"))
-    again = again.where("lo < hi" if earlier else "n > 1").select("key")
+    # written, so that the join below reads two plain shuffles, of which Spark splits the large partitions
+    again = materialise(again.where("lo < hi" if earlier else "n > 1").select("key"))
     found = listing.join(again, "key").groupBy("row_no").agg(F.collect_list(F.struct("key", "a", "first", "last")).alias("found"))
     found = materialise(found)
     some = rows.join(checked_broadcast(found.select("row_no"), 1_000_000), "row_no", "left_semi")
