@@ -35,6 +35,28 @@ def merge_arrays(t: Tables) -> DataFrame:
     return merged.select(F.col("conv_id").cast("long").alias("conv_id"), F.array_join("tags", "|").alias("tags"))
 
 
+@query("WITH RECURSIVE " + _PARTS.format(x="coalesce(text, '')") + """,
+w AS (SELECT conv_id, i, x AS acc FROM p WHERE i = 1 UNION ALL
+  SELECT w.conv_id, p.i, CASE WHEN p.x = '' OR p.x = acc THEN acc WHEN acc = '' THEN p.x ELSE acc || chr(10) || chr(10) || p.x END FROM w JOIN p ON p.conv_id = w.conv_id AND p.i = w.i + 1)
+SELECT conv_id, arg_max(acc, i) AS text FROM w GROUP BY conv_id""")
+def merge_whole_text(t: Tables) -> DataFrame:
+    """``merge_text`` over every turn's whole text."""
+    parts = t.conversations.select(F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").alias("batch"), F.lit(0).alias("pos"), "text")
+    return merging.merge_items(parts, "conv_id", ("text",)).select(F.col("conv_id").cast("long").alias("conv_id"), "text")
+
+
+@query("WITH RECURSIVE " + _PARTS.format(x="string_split(text, ' ')") + """,
+w AS (SELECT conv_id, i, x AS acc FROM p WHERE i = 1 UNION ALL
+  SELECT w.conv_id, p.i, CASE WHEN len(acc) = 0 THEN p.x ELSE acc || list_transform(list_filter(list_transform(range(1, len(p.x) + 1), lambda k: {'k': k, 'v': p.x[k]}), lambda e: NOT list_contains(acc, e.v) AND list_position(p.x, e.v) = e.k), lambda e: e.v) END
+  FROM w JOIN p ON p.conv_id = w.conv_id AND p.i = w.i + 1)
+SELECT conv_id, array_to_string(arg_max(acc, i), '|') AS tags FROM w GROUP BY conv_id""")
+def merge_whole_arrays(t: Tables) -> DataFrame:
+    """``merge_arrays`` over the words of every turn's whole text."""
+    parts = t.conversations.select(F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").alias("batch"), F.lit(0).alias("pos"), F.split("text", " ").alias("tags"))
+    merged = merging.merge_items(parts, "conv_id", (), ("tags",))
+    return merged.select(F.col("conv_id").cast("long").alias("conv_id"), F.array_join("tags", "|").alias("tags"))
+
+
 _LEVEL = "CASE WHEN quality = 1 AND toxic = 0 THEN 'high' WHEN quality = 1 THEN 'medium' WHEN toxic = 1 THEN 'low' ELSE 'none' END"
 
 
