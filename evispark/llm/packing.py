@@ -17,13 +17,15 @@ from collections.abc import Iterator
 from struct import pack as pack_ids
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, rank_within
+from .common import checked_broadcast, materialise, rank_within
 from .token_counts import byte_alphabet
 
 CAPACITY = 2048
+#: Documents in order that are packed together, so that their order holds from one such window to the next.
+WINDOW = 4096
 #: White-space-separated chunks whose ids a worker remembers before it forgets them all.
 REMEMBERED = 250_000
 #: Fixed patterns: how the tokenizer file splits lower-cased text, and the chunks for which that is all it does
@@ -81,7 +83,7 @@ class ChunkTokenizer:
             self.words.clear()
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", row_no: Column | None = None) -> DataFrame:
     """Per piece: row_no, id, piece, start, length, ids_crc32. A document's ids end with a 0; null text is empty."""
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -101,8 +103,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
                         out.append((row, doc, k // (4 * capacity), k // 4, len(b) // 4, zlib.crc32(b)))
                 yield pd.DataFrame(out, columns=["row_no", "id", "piece", "start", "length", "ids_crc32"])
 
+    row_no = F.monotonically_increasing_id() if row_no is None else row_no
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row_no"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")
+        row_no.alias("row_no"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")
     )
     return rows.mapInPandas(cut, f"row_no long, id {kind}, piece int, start long, length long, ids_crc32 long")
 
@@ -133,6 +136,12 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int
     return out
 
 
+def _public() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: id, piece, start, length, ids_crc32, sequence_id, offset; no other columns of ``docs``.
 
@@ -143,10 +152,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     Defined results: a null or empty text is one piece of length 1 (the id 0); rows repeat as they repeat in
     ``docs``; null ids stay null; an empty table gives no rows.
     """
-    if tokenizer is None:
-        import public_tokenizers
-
-        tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = tokenizer or _public()
     found = materialise(pieces(docs, tokenizer, capacity, id_col, text_col))
     counts = Counter({r["length"]: r["n"] for r in found.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()})  # <= capacity rows
     runs: dict[int, tuple[list, list, list]] = {}
@@ -164,3 +170,56 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
         (F.get("sequences", F.col("run")) + rank - F.get("ranks", F.col("run"))).alias("sequence_id"),
         F.get("offsets", F.col("run")).alias("offset"),
     )
+
+
+def written_order(docs: DataFrame) -> DataFrame:
+    """``docs``, just read from Parquet files, with ``__position``: 0, 1, ... in the order that they were written in."""
+    of = docs.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__index"))
+    part = F.regexp_extract("__file", r"part-([0-9]+)", 1).cast("long")  # a row per file: few
+    sizes = of.groupBy("__file").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.coalesce(part, F.lit(-1).cast("long")))
+    before = Window.orderBy("part", "__file").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select("__file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
+    base = checked_broadcast(materialise(base))
+    return of.join(base, "__file").withColumn("__position", F.col("__base") + F.col("__index")).drop("__file", "__index", "__base")
+
+
+def pack_in_order(docs: DataFrame, position_col: str, tokenizer: str | None = None, capacity: int = CAPACITY, window: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``pack``, for documents with places 0, 1, ... in an order that the sequences keep.
+
+    Each window of documents is best-fit packed by itself, by order among pieces of one size, and its sequences are
+    numbered by their first pieces after those of the windows before: the first n windows' documents fill the first
+    sequences, whatever n. Schedules are made on the executors, a window each.
+    """
+    tokenizer, window = tokenizer or _public(), window or WINDOW
+    found = materialise(pieces(docs, tokenizer, capacity, id_col, text_col, F.col(position_col)))
+    found = found.withColumn("window", F.floor(F.col("row_no") / window).cast("long"))
+    counts = found.groupBy("window", "length").agg(F.count(F.lit(1)).alias("n"))
+
+    def planned(part: pd.DataFrame) -> pd.DataFrame:  # at most ``capacity`` rows
+        runs: dict[int, tuple[list, list, list]] = {}
+        for size, rank, n, sequence, offset in best_fit(dict(zip(part["length"].tolist(), part["n"].tolist(), strict=True)), capacity):
+            for values, x in zip(runs.setdefault(size, ([], [], [])), (rank, sequence, offset), strict=True):
+                values.append(x)
+        out = pd.DataFrame([(s, *r) for s, r in runs.items()], columns=["length", "ranks", "sequences", "offsets"])
+        out.insert(0, "window", part["window"].iloc[0])
+        return out
+
+    plan = counts.groupBy("window").applyInPandas(planned, "window long, length long, ranks array<long>, sequences array<long>, offsets array<long>")
+    plan = materialise(plan)
+    rank = F.row_number().over(Window.partitionBy("window", "length").orderBy("row_no", "piece")) - 1
+    placed = found.withColumn("rank", rank.cast("long")).join(plan, ["window", "length"])
+    placed = placed.withColumn("run", F.size(F.filter("ranks", lambda x: x <= F.col("rank"))) - 1)
+    placed = placed.select(
+        "window", "row_no", "id", "piece", "start", "length", "ids_crc32",
+        (F.get("sequences", F.col("run")) + F.col("rank") - F.get("ranks", F.col("run"))).alias("sequence"),
+        F.get("offsets", F.col("run")).alias("offset"),
+    )
+    first = F.min(F.struct("row_no", "piece")).over(Window.partitionBy("window", "sequence"))
+    placed = materialise(placed.withColumn("first", first))
+    placed = placed.withColumn("at", F.dense_rank().over(Window.partitionBy("window").orderBy("first")) - 1)
+    before = Window.orderBy("window").rowsBetween(Window.unboundedPreceding, -1)
+    opened = placed.groupBy("window").agg((F.max("sequence") + 1).alias("n"))  # a row per window
+    opened = opened.select("window", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return placed.join(checked_broadcast(materialise(opened)), "window").select(
+        F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("at")).cast("long").alias("sequence_id"), "offset"
+    )
