@@ -140,11 +140,18 @@ def _params(moments: DataFrame) -> DataFrame:
 CONSISTENT = 1.39
 
 
+def _product(f: str, e: str) -> Column:
+    """Of two statistics, exactly: only a word's length has no bound, and its square may exceed a long."""
+    if f == e == "word_length":
+        return F.col(f).cast("decimal(19,0)") * F.col(e).cast("decimal(19,0)")
+    return (F.col(f) * F.col(e)).cast("decimal(20,0)")
+
+
 def _core_moments(binned: DataFrame) -> DataFrame:
     """Sums over each group's nearest bins, as many as hold CORE of its rows."""
     names = list(FEATURES)
     sums = [F.sum(F.col(f).cast("decimal(20,0)")).alias(f"s_{f}") for f in names]
-    sums += [F.sum((F.col(f) * F.col(e)).cast("decimal(20,0)")).alias(f"q_{f}_{e}") for i, f in enumerate(names) for e in names[: i + 1]]
+    sums += [F.sum(_product(f, e)).alias(f"q_{f}_{e}") for i, f in enumerate(names) for e in names[: i + 1]]
     by_bin = binned.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("n"), *sums)
     total, before = Window.partitionBy("g"), Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     cut = by_bin.withColumn("size", F.sum("n").over(total)).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
