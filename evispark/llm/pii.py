@@ -19,7 +19,15 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Kinds that the method adds.
-IBAN = r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b"
+#: Length of an account number by country; of other countries any length that the check digits confirm is taken.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FO|GL|NL", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|XK", 21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA",
+    23: "AE|GI|IL|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "PT", 26: "IS|TR", 27: "FR|GR|IT|MC|SM", 28: "AL|AZ|CY|DO|GT|HU|LB|PL|BY|SV",
+    29: "BR|PS|QA|UA", 30: "JO|KW|MU", 31: "MT|SC",
+}
+_GROUPS = "|".join(rf"(?:{c})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf"\x20?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items())
+_KNOWN = "|".join(IBAN_LENGTHS.values())
+IBAN = rf"\b(?:{_GROUPS})\b|" + r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b"
 NATIONAL_ID = r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"
 
 OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
@@ -39,12 +47,22 @@ def _mod97(m: Column) -> Column:
     return F.length(s).between(15, 34) & (F.aggregate(F.split(turned, ""), F.lit(0), lambda a, c: F.when(c == "", a).otherwise(step(a, c))) == 1)
 
 
+def _iban_part(m: Column) -> Column:
+    """How much of a match is an account number: all of it, or for countries of no known length up to a blank."""
+    ends = F.filter(F.sequence(F.length(m), F.lit(1), F.lit(-1)), lambda n: (n == F.length(m)) | (F.substr(m, n + 1, F.lit(1)) == " "))
+    return F.when(_mod97(m), F.length(m)).when(
+        ~F.rlike(m, F.lit(f"^(?:{_KNOWN})")), F.get(F.filter(ends, lambda n: _mod97(F.substr(m, F.lit(1), n))), F.lit(0))
+    )
+
+
 @dataclass(frozen=True)
 class Kind:
     """What proposes and confirms a kind of personal data.
 
     ``score`` holds for a confirmed match, ``context`` more is added if one of ``words`` is among the
-    ``near`` characters before it. Spans of added kinds need ``threshold`` to count.
+    ``near`` characters before it: for base kinds those since the match before, for added kinds all, and the context
+    of a match holds for those that follow it with no letter between, as in a list. Spans of added kinds need
+    ``threshold`` to count. ``part`` tells how many characters of a match count, if not all; null if none.
     """
 
     name: str
@@ -57,6 +75,7 @@ class Kind:
     context: float = 0.2
     near: int = 60
     threshold: float = 0.6
+    part: Callable[[Column], Column] | None = None
 
 
 KINDS = (
@@ -64,7 +83,7 @@ KINDS = (
     Kind("ip", IP, ".", lambda m: F.rlike(m, F.lit(rf"^{OCTET}(?:\.{OCTET}){{3}}$")), 0.6, "ip|host|server|address|addr"),
     Kind("card", CARD, "", lambda m: F.length(_digits(m)).between(14, 19) & F.call_function("luhn_check", _digits(m)), 0.7, "card|visa|credit|karte|carte|tarjeta"),
     Kind("phone", PHONE, "+", lambda m: F.length(_digits(m)).between(10, 15), 0.6, "phone|call|tel|mobile|fax"),
-    Kind("iban", IBAN, "", _mod97, 0.8, "iban|account|bank|konto|compte|cuenta", base=False),
+    Kind("iban", IBAN, "", lambda m: _iban_part(m).isNotNull(), 0.8, "iban|account|bank|konto|compte|cuenta", base=False, part=_iban_part),
     Kind("national_id", NATIONAL_ID, "-", lambda m: ~F.rlike(m, F.lit("^(?:000|666|9[0-9]{2})|-00-|-0000$")), 0.45, "ssn|social|security|id", base=False),
 )
 CHUNK = 256
@@ -78,25 +97,33 @@ def _spans(text: Column, kind: Kind, rank: int) -> Column:
     span_type = "struct<start:int,rank:int,end:int,score:double>"
     none, nones = F.expr(f"cast(array() as array<{span_type}>)"), F.expr(f"cast(array() as array<array<{span_type}>>)")
 
+    named = lambda before: F.rlike(F.lower(F.right(before, F.lit(kind.near))), F.lit(rf"(?<![a-z])(?:{kind.words})"))
+
     def judged(x: Column) -> Column:
-        near = F.rlike(F.lower(F.right(x["gap"], F.lit(kind.near))), F.lit(rf"(?<![a-z])(?:{kind.words})"))
-        score = F.lit(kind.score) + F.when(near, kind.context).otherwise(0.0)
+        n = F.coalesce(F.length(x["m"]), F.lit(0))
         return F.struct(
-            F.length(x["gap"]).alias("gap"), F.coalesce(F.length(x["m"]), F.lit(0)).alias("n"),
-            F.coalesce(x["m"].isNotNull() & kind.confirm(x["m"]), F.lit(False)).alias("ok"), F.round(score, 2).alias("score"),
+            F.length(x["gap"]).alias("gap"), n.alias("n"), (F.coalesce(kind.part(x["m"]), n) if kind.part else n).alias("part"),
+            F.coalesce(x["m"].isNotNull() & kind.confirm(x["m"]), F.lit(False)).alias("ok"),
+            *([named(x["gap"]).alias("near")] if kind.base else [F.right(x["gap"], F.lit(kind.near)).alias("before"), F.right(x["m"], F.lit(kind.near)).alias("m"), F.rlike(x["gap"], F.lit(r"\p{L}")).alias("apart")]),
         )
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
-        end = start + x["n"]
-        good = x["ok"] if kind.base else x["ok"] & (x["score"] >= kind.threshold)
-        one = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), x["score"].alias("score")))
+        end = start + x["part"]
+        near = x["near"] if kind.base else named(F.concat(acc["tail"], x["before"])) | (acc["near"] & ~x["apart"])
+        score = F.round(F.lit(kind.score) + F.when(near, kind.context).otherwise(0.0), 2)
+        good = x["ok"] if kind.base else x["ok"] & (score >= kind.threshold)
+        one = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), score.alias("score")))
         full = F.size(acc["cur"]) >= CHUNK  # spans gather in chunks: adding one copies a chunk, not all before it
         cur = F.when(~good, acc["cur"]).when(full, one).otherwise(F.concat(acc["cur"], one))
         done = F.when(good & full, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"])
-        return F.struct(end.alias("at"), cur.alias("cur"), done.alias("done"))
+        more = [] if kind.base else [
+            F.right(F.concat(acc["tail"], x["before"], F.coalesce(x["m"], F.lit(""))), F.lit(kind.near)).alias("tail"), (near & x["ok"]).alias("near"),
+        ]
+        return F.struct((start + x["n"]).alias("at"), cur.alias("cur"), done.alias("done"), *more)
 
-    start = F.struct(F.lit(0).alias("at"), none.alias("cur"), nones.alias("done"))
+    more = [] if kind.base else [F.lit("").alias("tail"), F.lit(False).alias("near")]
+    start = F.struct(F.lit(0).alias("at"), none.alias("cur"), nones.alias("done"), *more)
     folded = F.aggregate(F.transform(pairs, judged), start, step, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["cur"]))))
     some = F.size(found) > 0
     if kind.hint:
@@ -118,7 +145,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ki
 
 
 def _named(kind: Kind) -> Callable[[Column], Column]:
-    return lambda m: F.when(F.coalesce(kind.confirm(m), F.lit(False)), F.lit(f"[{kind.name}]")).otherwise(m)
+    return lambda m: F.when(F.coalesce(kind.confirm(m), F.lit(False)), F.concat(F.lit(f"[{kind.name}]"), F.substr(m, kind.part(m) + 1)) if kind.part else F.lit(f"[{kind.name}]")).otherwise(m)
 
 
 def _count(spans: Column, rank: int) -> Column:

@@ -1,0 +1,14 @@
+"""Account numbers before other words, and lists of national ids."""
+
+from evispark.llm import pii
+
+
+def test_ibans_before_words_and_ids_in_lists(spark):
+    ids = "123-45-6789, 234-56-7890, 345-67-8901, 456-78-9012, 567-89-0123, 123-45-6780, 123-45-6781"
+    texts = ["ES91 2100 0418 4502 0005 1332 BIC CAIXESBB", "BE68 5390 0754 7034 BIC GKCC", "BE68539007547034 12 EUR", "DE89 3704 0044 0532 0130 00 ES91 2100 0418 4502 0005 1332",
+             "ES91 2100 0418 4502 0005 1333 BIC CAIXESBB", f"SSN: {ids}", f"part {ids}", "GB82 WEST 1234 5698 7654 32 ABC"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["spans"] for r in pii.digest(pii.find_pii(docs)).orderBy("doc_id").collect()]
+    assert [[s for s in x.split(",") if s.startswith("iban")] for x in got] == [["iban:0:29"], ["iban:0:19"], ["iban:0:16"], ["iban:0:27", "iban:28:57"], [], [], [], ["iban:0:27"]]
+    assert got[5].count("national_id") == 7 and not got[6].count("national_id")
+    assert pii.redact(docs).orderBy("doc_id").collect()[2]["text"] == "[iban] 12 EUR"
