@@ -160,7 +160,7 @@ def iso_lookup_fallback(t: Tables) -> DataFrame:
 @query("SELECT r_name AS country_name, c_mktsegment AS label, 0 AS score FROM region, (SELECT DISTINCT c_mktsegment FROM customer)")
 def dim_cartesian(t: Tables) -> DataFrame:
     dims = t.customer.select(F.col("c_mktsegment").alias("label")).distinct()
-    return t.region.select(F.col("r_name").alias("country_name")).crossJoin(F.broadcast(dims.limit(1000))).withColumn("score", F.lit(0))
+    return t.region.select(F.col("r_name").alias("country_name")).crossJoin(F.broadcast(dims) if dims.limit(10_001).count() <= 10_000 else dims).withColumn("score", F.lit(0))
 
 
 @query("""WITH s AS (SELECT source AS source_id, sum((n_chars > 8000)::INT)::BIGINT AS n FROM documents GROUP BY 1), f AS (SELECT * FROM s WHERE n > 0), b AS (SELECT * FROM s WHERE n = 0)
