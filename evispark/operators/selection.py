@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -50,6 +53,40 @@ def trim_sources(sources: DataFrame, max_chars: int = BUDGET, group: list[str] |
     return rows.select(*group, *(F.col(f"x.__s.v.{c}").alias(c) for c in rest if c != "snippets"), F.col("x.__k").alias("snippets"))
 
 
+def trim_rows(rows: DataFrame, max_chars: int = BUDGET) -> DataFrame:
+    """``trim_sources`` by lengths alone: of rows (lang, source, doc_id, n, k) those kept, without ``n`` and ``k``.
+
+    Each lang is a prompt, its sources in order; rows of a source by (k, doc_id). Room only shrinks, so of one
+    source's rows of one length above zero the first share / length may be kept and no others; empty rows always are.
+    Only those candidates, whose number the budget bounds, pass through the fold, which streams them.
+    """
+    totals = rows.groupBy("lang", "source").agg(F.sum("n").alias("chars")).groupBy("lang").agg(F.sum("chars").alias("all"), F.count(F.lit(1)).alias("sources"))
+    sized = rows.join(totals, rows["lang"].eqNullSafe(totals["lang"])).drop(totals["lang"])
+    free = sized.where((F.col("all") <= max_chars) | (F.col("n") == 0)).select("lang", "source", "doc_id")
+    share = F.floor(F.lit(max_chars) / F.col("sources"))
+    tight = sized.where((F.col("all") > max_chars) & (F.col("n") > 0)).withColumn("share", share).where("n <= share")
+    place = F.row_number().over(Window.partitionBy("lang", "source", "n").orderBy("k", "doc_id"))
+    tight = tight.withColumn("place", place).where(F.col("place") * F.col("n") <= F.col("share")).select("lang", "source", "k", "doc_id", "n", "share")
+    order = ["lang", "source", "k", "doc_id"]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, left, room = None, 0, 0
+        for batch in batches:
+            keep = []
+            for lang, source, n, share in zip(batch["lang"], batch["source"], batch["n"], batch["share"], strict=True):
+                if at is None or at[0] != lang:
+                    at, left = None, max_chars
+                if at != (lang, source):
+                    at, room = (lang, source), min(share, left)
+                keep.append(n <= room)
+                if keep[-1]:
+                    left, room = left - n, room - n
+            yield batch.loc[keep, ["lang", "source", "doc_id"]]
+
+    kept = tight.repartition("lang").sortWithinPartitions(*order).mapInPandas(fold, free.schema)
+    return free.unionByName(kept)
+
+
 def source_batches(sources: DataFrame, most: int = 10_000) -> DataFrame:
     """(batch, …): each source with snippets is a batch of its own, together with all sources without any.
 

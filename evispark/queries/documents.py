@@ -133,10 +133,8 @@ SELECT lang, source, kept AS doc_id FROM w JOIN documents ON doc_id = kept WHERE
 UNION ALL SELECT d.lang, d.source, d.doc_id FROM documents d JOIN o ON o.lang = d.lang AND o.source = d.source AND o.total <= {_BUDGET}
 """.replace("SELECT lang, source, kept AS doc_id FROM w JOIN documents ON doc_id = kept", "SELECT w.lang AS lang, source, kept AS doc_id FROM w JOIN documents ON doc_id = kept"))
 def budget_trim(t: Tables) -> DataFrame:
-    s = F.struct(F.col("doc_id"), F.col("text"), F.when(F.contains("text", F.lit("|")), "table").otherwise("text").alias("type"))
-    sources = t.documents.groupBy("lang", "source").agg(F.array_sort(F.collect_list(s)).alias("snippets")).withColumn("pos", F.col("source"))
-    kept = selection.trim_sources(sources, _BUDGET, ["lang"])
-    return kept.select("lang", "source", F.explode("snippets").alias("s")).select("lang", "source", "s.doc_id")
+    rows = t.documents.select("lang", "source", "doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"), F.when(F.contains("text", F.lit("|")), 0).otherwise(1).alias("k"))
+    return selection.trim_rows(rows, _BUDGET)
 
 
 _GENERIC = "CASE WHEN trim({m}) = '' OR regexp_matches(lower({m}), 'to be determined|placeholder|tbd') THEN {s} ELSE {s} || ' — ' || {m} END"
