@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space, as every operator here reads it.
@@ -18,40 +21,105 @@ BROADCAST_ROWS = 200_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests on one machine) a temporary folder is used.
+    Only a session on one machine may do without: a temporary folder is used then. Anywhere else a folder of
+    one machine would lose rows, so a cluster that names none is an error.
     """
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="evispark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: Written tables that are still there, in the order of writing.
+_tables: list[tuple[SparkSession, str]] = []
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back.
 
     This cuts the lineage: a lost executor costs its own tasks, not the plan above. The files go when the
-    driver ends.
+    operator is done with them (see ``settled``), at the latest when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
+    _tables.append((spark, path))
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """``make()``, written; every other table that was written on the way is deleted."""
+    before = len(_tables)
+    out = materialise(make())
+    _delete(_tables[before:-1])
+    del _tables[before:-1]
+    return out
+
+
+def _delete(tables: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in tables:
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session has ended: the folder's owner clears it
+            return
+
+
+atexit.register(_delete, _tables)
+
+
+def _plain(df: DataFrame) -> bool:
+    """Whether ``df`` is columns and rows of Parquet files, chosen by fixed expressions only."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias") and plan.deterministic():
+        plan = plan.children().head()
+    if plan.nodeName() != "LogicalRelation":
+        return False
     try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session has ended: the folder's owner clears it
-        pass
+        df.select(df.metadataColumn("_metadata")["row_index"])
+    except AnalysisException:  # files of another kind, or no files
+        return False
+    return True
+
+
+def stable(docs: DataFrame) -> DataFrame:
+    """``docs``, written first unless it is a scan of Parquet files: so that each scan of it has the same rows."""
+    return docs if _plain(docs) else materialise(docs)
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, or the like if ``docs`` has such a column."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame, *columns: Column, name: str = "row_no") -> DataFrame:
+    """``columns`` of ``docs`` (all, if none is given) and ``name``: a whole number that is the row's own.
+
+    It is made of the place of the row's file among the files and the row's place in its file, so it is the
+    same for each scan, however Spark cuts the files up and however many executors there are. Rows that come
+    from anything but Parquet files are written first; pass ``stable(docs)`` to number the same rows twice.
+    """
+    docs = stable(docs)
+    meta = docs.metadataColumn("_metadata")
+    file, index, at = (fresh(docs, x) for x in ("__file", "__index", "__at"))
+    chosen = [*columns] or [F.col(f"`{c}`") for c in docs.columns]
+    files = docs.select(meta["file_path"].alias(file)).distinct()  # reads no column
+    files = materialise(files.select(file, (F.row_number().over(Window.orderBy(file)) - 1).cast("long").alias(at)))
+    rows = docs.select(*chosen, meta["file_path"].alias(file), meta["row_index"].alias(index))
+    own = F.shiftleft(F.col(at), 36) + F.col(index)
+    rows = rows.join(checked_broadcast(files), file)
+    return rows.select(own.alias(name), *(F.col(f"`{c}`") for c in rows.columns if c not in (file, index, at)))
 
 
 def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``limit`` rows; it counts no further than that."""
-    return df.limit(limit + 1).count() <= limit
+    """Whether ``df`` has at most ``limit`` rows. Of a written table this reads the files' footers only."""
+    return df.count() <= limit
 
 
 def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -59,7 +127,35 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small_enough(df, limit) else df
 
 
-def buckets_for(n_rows: int, rows_per_bucket: int = 1_000, most: int = 100_000) -> int:
+#: Keys with more than one in so many rows of a table are joined by broadcast: there can't be more than that of them.
+HOT = 10_000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, times: str, n_rows: int) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has each ``key`` once and in ``times`` how often ``rows`` has it.
+
+    A key may hold any share of the rows: those with more than n_rows / HOT of them, HOT keys at most, are
+    broadcast, so their rows stay where they are; the others shuffle.
+    """
+    hot = F.col(times) > n_rows / HOT
+    often = table.where(hot)
+    if not often.take(1):
+        return rows.join(table, key)
+    often = F.broadcast(often)  # fewer than HOT rows
+    usual = rows.join(F.broadcast(table.where(hot).select(key)), key, "left_anti").join(table.where(~hot), key)
+    return rows.join(often, key).unionByName(usual)
+
+
+def without(docs: DataFrame, gone: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``docs`` less the rows whose numbers ``gone(docs)`` lists as ``row_no``; all columns stay."""
+    docs = stable(docs)
+    found, mine = settled(lambda: gone(docs).select("row_no")), fresh(docs, "__row_no")
+    rows = numbered(docs, name=mine)
+    found = checked_broadcast(found.withColumnRenamed("row_no", mine), 1_000_000)
+    return rows.join(found, mine, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def buckets_for(n_rows: int, rows_per_bucket: int = 200, most: int = 100_000) -> int:
     """Into how many buckets a key's rows are dealt, so that no group of one key and bucket is large."""
     return max(1, min(most, -(-n_rows // rows_per_bucket)))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, checked_broadcast, materialise
+from .common import SPACES, checked_broadcast, materialise, numbered, without
 
 
 def normalised(text: Column) -> Column:
@@ -31,11 +31,9 @@ def exact_dedup(
 
     Defined results: null text is the empty text; null ids come after all others; of repeated rows with
     one id the first in the input stays (``row_no`` tells them apart); an empty table gives no rows; other
-    columns are ignored. ``row_no`` is the row's place in the scan, the same for each scan of the same files.
+    columns are ignored. ``row_no`` is the row's place in the files (see ``numbered``).
     """
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row_no"), F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("t")
-    )
+    rows = numbered(docs, F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("t"))
     rows = rows.withColumn("h", content_hash(F.col("t")))
     digests = materialise(rows.select("row_no", "id", "h", F.sha2("t", 256).alias("sha")))
     again = digests.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
@@ -60,9 +58,8 @@ def exact_dedup(
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that repeat another's text; all columns stay."""
-    gone = exact_dedup(docs, id_col, text_col).where("NOT kept").select(F.col("row_no").alias("__row_no"))
-    gone = checked_broadcast(materialise(gone), 1_000_000)
-    return (
-        docs.withColumn("__row_no", F.monotonically_increasing_id()).join(gone, "__row_no", "left_anti").drop("__row_no")
-    )
+    """``docs`` without the rows that repeat another's text; all columns stay, whatever their names.
+
+    Nulls, ties and repeated rows as in ``exact_dedup``; an empty table stays empty.
+    """
+    return without(docs, lambda d: exact_dedup(d, id_col, text_col).where("NOT kept"))

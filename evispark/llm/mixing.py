@@ -9,7 +9,7 @@ from math import gcd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, materialise, rank_within
+from .common import checked_broadcast, fresh, materialise, numbered, rank_within, settled, stable
 
 #: Documents of a source that are scheduled together, and the parts that target weights are given in.
 BLOCK, PARTS = 16, 1000
@@ -82,10 +82,7 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLO
     Defined results: null source is the source ''; null ids stay null; repeated rows are rows of their own; an
     empty table gives no rows; other columns are ignored.
     """
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row_no"), F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source")
-    )
-    rows = materialise(rows)
+    rows = materialise(numbered(docs, F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source")))
     counts = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()}
     if len(counts) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources: pool the small ones")
@@ -108,7 +105,9 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLO
 
 
 def mixed(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLOCK, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """``docs`` in the mixed order (range-partitioned and sorted by ``position``); all columns stay."""
-    place = materialise(mix(docs, weights, block, id_col, source_col).select(F.col("row_no").alias("__row_no"), F.col("position").alias("__position")))
-    place = checked_broadcast(place, 1_000_000)
-    return docs.withColumn("__row_no", F.monotonically_increasing_id()).join(place, "__row_no").orderBy("__position").drop("__row_no", "__position")
+    """``docs`` in the mixed order (range-partitioned and sorted by ``position``); all columns stay, whatever their names."""
+    docs = stable(docs)
+    mine, at = fresh(docs, "__row_no"), fresh(docs, "__position")
+    place = settled(lambda: mix(docs, weights, block, id_col, source_col).select(F.col("row_no").alias(mine), F.col("position").alias(at)))
+    rows = numbered(docs, name=mine).join(checked_broadcast(place, 1_000_000), mine)
+    return rows.orderBy(at).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, materialise, rank_within
+from .common import checked_broadcast, materialise, numbered, rank_within
 from .token_counts import byte_alphabet
 
 CAPACITY = 2048
@@ -103,10 +103,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
                         out.append((row, doc, k // (4 * capacity), k // 4, len(b) // 4, zlib.crc32(b)))
                 yield pd.DataFrame(out, columns=["row_no", "id", "piece", "start", "length", "ids_crc32"])
 
-    row_no = F.monotonically_increasing_id() if row_no is None else row_no
-    rows = docs.select(
-        row_no.alias("row_no"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")
-    )
+    columns = [F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")]
+    rows = numbered(docs, *columns) if row_no is None else docs.select(row_no.alias("row_no"), *columns)
     return rows.mapInPandas(cut, f"row_no long, id {kind}, piece int, start long, length long, ids_crc32 long")
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, materialise
+from .common import checked_broadcast, materialise, numbered, without
 
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SYMBOLS = "#*$%&|<>"
@@ -47,8 +47,8 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     ws = r"[\x20\x09-\x0D]+"
     t = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row_no"),
+    rows = numbered(
+        docs,
         F.col(id_col).alias("id"),
         *(F.coalesce(F.col(g).cast("string"), F.lit("")).alias(f"g{i}") for i, g in enumerate(groups)),
         t.alias("t"),
@@ -227,7 +227,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """``docs`` without the rows that ``quality_rules`` rejects; all columns stay."""
-    gone = quality_rules(docs, id_col, text_col, lang_col, source_col).where("NOT kept").select(F.col("row_no").alias("__row_no"))
-    gone = checked_broadcast(materialise(gone), 1_000_000)
-    return docs.withColumn("__row_no", F.monotonically_increasing_id()).join(gone, "__row_no", "left_anti").drop("__row_no")
+    """``docs`` without the rows that ``quality_rules`` rejects; all columns stay, whatever their names.
+
+    Nulls and repeated rows as there; an empty table stays empty.
+    """
+    return without(docs, lambda d: quality_rules(d, id_col, text_col, lang_col, source_col).where("NOT kept"))

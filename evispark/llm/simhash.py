@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, materialise
+from .common import checked_broadcast, materialise, numbered, settled, without
 from .graph import connected_components
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
@@ -50,9 +50,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([fingerprint(t, shingle) for t in batch["t"]], dtype=np.uint64).view(np.int64)
             yield pd.DataFrame({"row_no": batch["row_no"], "id": batch["id"], "fp": fp})
 
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row_no"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")
-    )
+    rows = numbered(docs, F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     return rows.mapInPandas(made, f"row_no long, id {kind}, fp long")
 
 
@@ -165,13 +163,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Defined results: texts without words have fingerprint zero and are linked like any other; component_id
     is the smallest id that is not null; null ids come last when the one to stay is chosen; of repeated
-    rows the first in the scan stays; an empty table gives no rows; other columns are ignored.
+    rows the first in the files stays; an empty table gives no rows; other columns are ignored.
     """
     fps = materialise(fingerprints(docs, id_col, text_col))
     order = F.struct(F.col("id").isNull().alias("last"), "id", "row_no")
     distinct = materialise(fps.groupBy("fp").agg(F.min(order).alias("least")))
     n = distinct.count()
-    linked = connected_components(link_edges(distinct.select("fp"), n, distance, large))
+    linked = settled(lambda: connected_components(link_edges(distinct.select("fp"), n, distance, large)))
     rooted = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     least = rooted.groupBy("root").agg(F.min("least").alias("first"))
     of = rooted.join(least, "root").select("fp", "first")
@@ -185,7 +183,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """``docs`` with one row of each component; all columns stay."""
-    gone = simhash_components(docs, id_col, text_col, distance).where("NOT first").select(F.col("row_no").alias("__row_no"))
-    gone = checked_broadcast(materialise(gone), 1_000_000)
-    return docs.withColumn("__row_no", F.monotonically_increasing_id()).join(gone, "__row_no", "left_anti").drop("__row_no")
+    """``docs`` with one row of each component; all columns stay, whatever their names.
+
+    Nulls, ties and repeated rows as in ``simhash_components``; an empty table stays empty.
+    """
+    return without(docs, lambda d: simhash_components(d, id_col, text_col, distance).where("NOT first"))
