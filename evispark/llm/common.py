@@ -98,6 +98,18 @@ def fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
+def _dealt(docs: DataFrame, n_parts: int) -> DataFrame:
+    """``docs`` over all cores if it comes in so few partitions that half of them would idle: a small table, then."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if 0 < 2 * n_parts <= cores else docs
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs``, dealt out over the cores if its rows are in few partitions (one file of one row group, say)."""
+    part = F.spark_partition_id()
+    return _dealt(docs, docs.groupBy(part).agg(F.count(F.lit(1))).count())
+
+
 def numbered(docs: DataFrame, *columns: Column, name: str = "row_no") -> DataFrame:
     """``columns`` of ``docs`` (all, if none is given) and ``name``: a whole number that is the row's own.
 
@@ -107,13 +119,15 @@ def numbered(docs: DataFrame, *columns: Column, name: str = "row_no") -> DataFra
     """
     docs = stable(docs)
     meta = docs.metadataColumn("_metadata")
-    file, index, at = (fresh(docs, x) for x in ("__file", "__index", "__at"))
+    file, index, at, part = (fresh(docs, x) for x in ("__file", "__index", "__at", "__part"))
+    scanned = docs.select(meta["file_path"].alias(file), F.spark_partition_id().alias(part)).groupBy(file, part).agg(F.count(F.lit(1)))
+    scanned = materialise(scanned.select(file, part))  # reads no column
+    n_files, n_parts = scanned.agg(F.countDistinct(file), F.countDistinct(part)).first()
+    files = scanned.select(file).distinct().withColumn(at, (F.row_number().over(Window.orderBy(file)) - 1).cast("long"))
+    rows = _dealt(docs.select("*", meta["file_path"].alias(file), meta["row_index"].alias(index)), n_parts)
     chosen = [*columns] or [F.col(f"`{c}`") for c in docs.columns]
-    files = docs.select(meta["file_path"].alias(file)).distinct()  # reads no column
-    files = materialise(files.select(file, (F.row_number().over(Window.orderBy(file)) - 1).cast("long").alias(at)))
-    rows = docs.select(*chosen, meta["file_path"].alias(file), meta["row_index"].alias(index))
+    rows = rows.select(*chosen, F.col(file), F.col(index)).join(F.broadcast(files) if n_files <= BROADCAST_ROWS else files, file)
     own = F.shiftleft(F.col(at), 36) + F.col(index)
-    rows = rows.join(checked_broadcast(files), file)
     return rows.select(own.alias(name), *(F.col(f"`{c}`") for c in rows.columns if c not in (file, index, at)))
 
 

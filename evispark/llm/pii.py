@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
+
 #: Fixed patterns of the base kinds. The groups before them only keep a long run of one class of characters
 #: from being tried at each of its places: an attempt inside a run fails exactly when that at its start fails.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -139,7 +141,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ki
     without another try inside it. Null text is empty; rows repeat as they repeat in ``docs``; an empty table
     gives no rows; other columns are ignored. There is no shuffle.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    rows = spread(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     each = rows.select("id", *(_spans(F.col("t"), k, i).alias(f"s{i}") for i, k in enumerate(kinds)))
     return each.select(F.col("id").alias(id_col), F.sort_array(F.concat(*(f"s{i}" for i in range(len(kinds))))).alias("found"))
 

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
+
 WORD_END = "</w>"
 #: Words whose counts a worker remembers before it forgets them all.
 REMEMBERED = 400_000
@@ -135,5 +137,5 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, id_col: str = "
                     known.clear()
             yield pd.DataFrame({"id": batch["id"], "n_words": n_words, "n_tokens": n_tokens})
 
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    rows = spread(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     return rows.mapInPandas(counted, f"id {kind}, n_words long, n_tokens long").withColumnRenamed("id", id_col)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, spread
 
 #: The classifier is fitted on at most so many labelled rows, those with the smallest hashes of their ids.
 SAMPLE = 20_000
@@ -242,6 +242,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "score": model.score(batch["t"].tolist())})
 
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    rows = spread(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     found = rows.mapInPandas(scored, f"id {kind}, score double").withColumnRenamed("id", id_col)
     return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
