@@ -1,11 +1,11 @@
 """Best-fit packing: documents as token pieces into sequences of a fixed capacity.
 
-Bulk-synchronous best fit. Pieces and gaps (room left in sequences) are sorted by size; from the largest size
-down, a sweep matches the pieces of a size with the smallest gaps that hold them. Pieces of one size compete
-for gaps of one size by rank, one piece a gap; then the gaps shrink and the sweep repeats; what finds no gap
-opens sequences. Sizes are at most the capacity, so a sweep handles all pieces of a size and all gaps of a
-size at once: the schedule is a table of runs (size, ranks, sequences, offset) whose length is bounded by the
-capacity and not by the corpus. Documents themselves are only ranked within their size and looked up.
+Bulk-synchronous best fit. In each round the pieces that wait and the gaps (room left in sequences) are range-sorted
+by size, and a sweep from the largest down matches pieces with the next gaps that hold them; ranks decide who of
+several sizes gets which gaps. Then the gaps shrink and the sweep repeats; once nothing moves, sequences are opened for
+the largest pieces. Sizes are at most the capacity, so a row of a round stands for all pieces of a size or a run of
+gaps of a room: the rounds' tables are bounded by the capacity and not by the corpus. Documents themselves are only
+ranked within their size and looked up.
 """
 
 from __future__ import annotations
@@ -13,14 +13,15 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from struct import pack as pack_ids
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, materialise, numbered, rank_within
+from .common import checked_broadcast, materialise, numbered, rank_within, settled
 from .token_counts import byte_alphabet
 
 CAPACITY = 2048
@@ -108,30 +109,150 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
     return rows.mapInPandas(cut, f"row_no long, id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
+#: What a row of a round's table is: pieces of a size that wait, gaps of a room, pieces put into gaps, gaps just shrunk.
+WAITING, GAP, PUT, SHRUNK = range(4)
+ROW = "kind int, size long, first long, n long, sequence long, offset long"
+#: Rows that one task sweeps; more are dealt out by ranges of sizes.
+SWEPT = 50_000
+
+
+def sweep(rows: list[tuple], capacity: int) -> list[tuple]:
+    """One sweep over rows (kind, size, first, n, …) of waiting pieces and gaps, sorted by falling size, gaps first.
+
+    Pieces take the nearest gaps that hold them, which are the smallest, as many of a size in a gap as fit; where sizes
+    compete for gaps the larger have the first ranks. Rows of the same form come back: what was put (ranks of a size,
+    one into each of n sequences), what still waits, gaps untouched and gaps shrunk.
+    """
+    gaps: list[list[int]] = []  # room, first sequence, sequences; the smallest room last
+    out: list[tuple] = []
+    for kind, size, first, n, *_ in rows:
+        if kind == GAP:
+            gaps.append([size, first, n])
+            continue
+        while n and gaps:
+            room, sequence, there = gaps[-1]
+            per = room // size
+            took = min(there, n // per)
+            if not took:
+                took, per = 1, n
+            out += [(PUT, size, first + k * took, took, sequence, capacity - room + k * size) for k in range(per)]
+            if room > per * size:
+                out.append((SHRUNK, room - per * size, sequence, took, 0, 0))
+            first, n = first + took * per, n - took * per
+            gaps[-1][1:] = sequence + took, there - took
+            if took == there:
+                gaps.pop()
+        if n:
+            out.append((WAITING, size, first, n, 0, 0))
+    return out + [(GAP, room, sequence, n, 0, 0) for room, sequence, n in gaps]
+
+
+def to_open(waiting: dict[int, int], widest: int, capacity: int) -> int:
+    """How many sequences to open for waiting pieces {size: n} when the widest gap left is ``widest``.
+
+    Only for those of the larger half of sizes that no gap can hold any more: one for each piece of more than half a
+    sequence, else as many as their tokens fill. So no gap is opened that smaller pieces could have done without.
+    """
+    least = max(max(waiting, default=0) // 2, widest)
+    these = {s: n for s, n in waiting.items() if s > least}
+    alone = sum(n for s, n in these.items() if 2 * s > capacity)
+    return max(alone, max(1, sum(s * n for s, n in these.items()) // capacity)) if these else 0
+
+
+def _order(row: tuple) -> tuple:
+    return -row[1], -row[0], row[2]
+
+
+def sweeps(rows: list[tuple], capacity: int) -> list[tuple]:
+    """Sweeps, each over what the one before has left, until one puts nothing."""
+    out: list[tuple] = []
+    while True:
+        swept = sweep(sorted(rows, key=_order), capacity)
+        put = [r for r in swept if r[0] == PUT]
+        rows = [(GAP, *r[1:]) if r[0] == SHRUNK else r for r in swept if r[0] != PUT]
+        if not put:
+            return out + rows
+        out += put
+
+
+def _opening(rows: list[tuple], capacity: int, opened: int) -> tuple[int, int] | None:
+    """The number of sequences to open, and then open, for rows (kind, size, first, n, …); none if no piece waits."""
+    waiting: Counter = Counter()
+    for r in rows:
+        waiting.update({r[1]: r[3]} if r[0] == WAITING else {})
+    more = to_open(waiting, max((r[1] for r in rows if r[0] == GAP), default=0), capacity)
+    return (more, opened + more) if waiting else None
+
+
 def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Runs (size, first rank, ranks, first sequence, offset): rank ``first + i`` goes to sequence ``first sequence + i``."""
-    gaps: dict[int, list[tuple[int, int]]] = {}  # room -> runs (first sequence, sequences)
-    out, opened = [], 0
-    for size in sorted((s for s, n in counts.items() if n), reverse=True):
-        rank, left = 0, counts[size]
-        while left:
-            room = min((g for g in gaps if g >= size), default=None)
-            if room is None:
-                n = -(-left // (capacity // size))
-                gaps[capacity] = [(opened, n)]
-                opened += n
-                continue
-            first, n = gaps[room].pop()
-            if not gaps[room]:
-                del gaps[room]
-            took = min(n, left)
-            out.append((size, rank, took, first, capacity - room))
-            if took < n:
-                gaps.setdefault(room, []).append((first + took, n - took))
-            if room > size:
-                gaps.setdefault(room - size, []).append((first, took))
-            rank, left = rank + took, left - took
-    return out
+    """The schedule, made in one place. Runs (size, first rank, ranks, first sequence, offset): rank ``first + i`` goes to sequence ``first sequence + i``."""
+    rows, out, opened = [(WAITING, s, 0, n, 0, 0) for s, n in counts.items() if n], [], 0
+    while True:
+        swept = sweeps(rows, capacity)
+        out += [r[1:] for r in swept if r[0] == PUT]
+        rows = [r for r in swept if r[0] != PUT]
+        found = _opening(rows, capacity, opened)
+        if not found:
+            return out
+        more, now = found
+        rows.append((GAP, capacity, opened, more, 0, 0))
+        opened = now
+
+
+def _swept(rows: DataFrame, n_rows: int, capacity: int, at_once: int) -> DataFrame:
+    """A round. A table that one task can hold is swept there until nothing moves; of a larger one the ranges of sizes
+    are swept once, and then what they have left, which is nearest across them.
+    """
+
+    def by(f: Callable[[list[tuple], int], list[tuple]]) -> Callable:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            part = [r for b in batches for r in zip(*(b[c].tolist() for c in b.columns), strict=True)]
+            yield pd.DataFrame(f(sorted(part, key=_order), capacity), columns=[c.split()[0] for c in ROW.split(", ")])
+
+        return run
+
+    if n_rows <= at_once:
+        return rows.coalesce(1).mapInPandas(by(sweeps), ROW)
+    ranges = materialise(rows.repartitionByRange(-(-n_rows // at_once), F.desc("size")).mapInPandas(by(sweep), ROW))
+    open_ = F.col("kind").isin(WAITING, GAP)
+    return ranges.where(~open_).unionByName(ranges.where(open_).coalesce(1).mapInPandas(by(sweep), ROW))
+
+
+def best_fit_rounds(counts: DataFrame, capacity: int = CAPACITY, at_once: int = SWEPT) -> DataFrame:
+    """The schedule of ``best_fit`` for pieces counted by size (length, n), as a table.
+
+    A round is a Spark job: rows are range-sorted by size and swept, gaps are updated and written. The tables have a row
+    per size that waits and per run of gaps, whose number the capacity bounds. Once a round puts nothing the driver,
+    which sees the rows that are left, opens sequences for the largest pieces.
+    """
+    spark, zero = counts.sparkSession, F.lit(0).cast("long")
+    rows = counts.select(F.lit(WAITING).alias("kind"), F.col("length").alias("size"), zero.alias("first"), "n", zero.alias("sequence"), zero.alias("offset"))
+    n_rows, opened, put = capacity, 0, []
+    while True:
+        table = materialise(_swept(rows, n_rows, capacity, at_once))
+        put.append(table.where(F.col("kind") == PUT))
+        rows = table.where(F.col("kind") != PUT).withColumn("kind", F.when(F.col("kind") == SHRUNK, GAP).otherwise(F.col("kind")))
+        left = [tuple(r) for r in rows.collect()]  # bounded by the capacity, see above
+        again, n_rows = n_rows > at_once and bool(put[-1].take(1)), len(left) + 1
+        if again:
+            continue
+        found = _opening(left, capacity, opened)
+        if not found:
+            return reduce(DataFrame.unionByName, put)
+        new = dict(zip(rows.columns, (GAP, capacity, opened, found[0], 0, 0), strict=True))
+        rows = rows.unionByName(spark.range(1).select(*(F.lit(v).cast(rows.schema[c].dataType).alias(c) for c, v in new.items())))
+        opened = found[1]
+
+
+def _plan(put: DataFrame, *keys: str) -> DataFrame:
+    """A row per size (and key): its runs (first rank, first sequence, offset), by rank."""
+    return put.groupBy(*keys, F.col("size").alias("length")).agg(F.sort_array(F.collect_list(F.struct("first", "sequence", "offset"))).alias("runs"))
+
+
+def _placed() -> tuple[Column, Column]:
+    """Sequence and offset of a piece by its ``rank`` among those of its size and the size's ``runs``."""
+    run = F.element_at(F.filter("runs", lambda x: x["first"] <= F.col("rank")), -1)
+    return run["sequence"] + F.col("rank") - run["first"], run["offset"]
 
 
 def _public() -> str:
@@ -150,24 +271,12 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     Defined results: a null or empty text is one piece of length 1 (the id 0); rows repeat as they repeat in
     ``docs``; null ids stay null; an empty table gives no rows.
     """
-    tokenizer = tokenizer or _public()
-    found = materialise(pieces(docs, tokenizer, capacity, id_col, text_col))
-    counts = Counter({r["length"]: r["n"] for r in found.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()})  # <= capacity rows
-    runs: dict[int, tuple[list, list, list]] = {}
-    for size, rank, _, sequence, offset in best_fit(counts, capacity):
-        for values, x in zip(runs.setdefault(size, ([], [], [])), (rank, sequence, offset), strict=True):
-            values.append(x)
-    spark = docs.sparkSession
-    plan = spark.createDataFrame([(s, *r) for s, r in runs.items()], "length long, ranks array<long>, sequences array<long>, offsets array<long>")
-    ranked = rank_within(found, ["length"], ["row_no", "piece"], sum(counts.values()), "rank")
-    placed = ranked.join(F.broadcast(plan), "length")  # at most ``capacity`` rows
-    rank = F.col("rank")
-    placed = placed.withColumn("run", F.size(F.filter("ranks", lambda x: x <= rank)) - 1)
-    return placed.select(
-        F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32",
-        (F.get("sequences", F.col("run")) + rank - F.get("ranks", F.col("run"))).alias("sequence_id"),
-        F.get("offsets", F.col("run")).alias("offset"),
-    )
+    found = materialise(pieces(docs, tokenizer or _public(), capacity, id_col, text_col))
+    counts = found.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
+    plan = settled(lambda: _plan(best_fit_rounds(counts, capacity)))
+    ranked = rank_within(found, ["length"], ["row_no", "piece"], found.count(), "rank").join(F.broadcast(plan), "length")  # at most ``capacity`` rows
+    sequence, offset = _placed()
+    return ranked.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), offset.alias("offset"))
 
 
 def written_order(docs: DataFrame) -> DataFrame:
@@ -194,24 +303,16 @@ def pack_in_order(docs: DataFrame, position_col: str, tokenizer: str | None = No
     counts = found.groupBy("window", "length").agg(F.count(F.lit(1)).alias("n"))
 
     def planned(part: pd.DataFrame) -> pd.DataFrame:  # at most ``capacity`` rows
-        runs: dict[int, tuple[list, list, list]] = {}
-        for size, rank, n, sequence, offset in best_fit(dict(zip(part["length"].tolist(), part["n"].tolist(), strict=True)), capacity):
-            for values, x in zip(runs.setdefault(size, ([], [], [])), (rank, sequence, offset), strict=True):
-                values.append(x)
-        out = pd.DataFrame([(s, *r) for s, r in runs.items()], columns=["length", "ranks", "sequences", "offsets"])
-        out.insert(0, "window", part["window"].iloc[0])
-        return out
-
-    plan = counts.groupBy("window").applyInPandas(planned, "window long, length long, ranks array<long>, sequences array<long>, offsets array<long>")
-    plan = materialise(plan)
+        put = best_fit(dict(zip(part["length"].tolist(), part["n"].tolist(), strict=True)), capacity)
+        out = pd.DataFrame(put, columns=["size", "first", "n", "sequence", "offset"])
+        return out.assign(window=part["window"].iloc[0])
+
+    put = counts.groupBy("window").applyInPandas(planned, "size long, first long, n long, sequence long, offset long, window long")
+    plan = materialise(_plan(put, "window"))
     rank = F.row_number().over(Window.partitionBy("window", "length").orderBy("row_no", "piece")) - 1
     placed = found.withColumn("rank", rank.cast("long")).join(plan, ["window", "length"])
-    placed = placed.withColumn("run", F.size(F.filter("ranks", lambda x: x <= F.col("rank"))) - 1)
-    placed = placed.select(
-        "window", "row_no", "id", "piece", "start", "length", "ids_crc32",
-        (F.get("sequences", F.col("run")) + F.col("rank") - F.get("ranks", F.col("run"))).alias("sequence"),
-        F.get("offsets", F.col("run")).alias("offset"),
-    )
+    sequence, offset = _placed()
+    placed = placed.select("window", "row_no", "id", "piece", "start", "length", "ids_crc32", sequence.alias("sequence"), offset.alias("offset"))
     first = F.min(F.struct("row_no", "piece")).over(Window.partitionBy("window", "sequence"))
     placed = materialise(placed.withColumn("first", first))
     placed = placed.withColumn("at", F.dense_rank().over(Window.partitionBy("window").orderBy("first")) - 1)
