@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +29,8 @@ _LEET = dict(zip(b"013457@$!|", b"oieastasii", strict=True))
 _UNMASKED = bytes(_LEET.get(c, _PLAIN[c]) for c in range(256))
 #: What is put between letters to hide a word.
 _FILL = b"*._-~'\""
+#: Chunks with a sign that may mask a letter, and what may stand around a word without masking it.
+_MARKED, _EDGE = re.compile(rb"(?<!\S)[^\s013457@$!|*._\-~'\"]*[013457@$!|*._\-~'\"]\S*"), b".,;:?()[]\"'-_*~"
 _CAPITALS, _STOPS, _MARKS = bytes(range(65, 91)), b".,;:", b"!?"
 
 FEATURES = (
@@ -48,6 +51,16 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_PLAIN).split()
 
 
+def _hidden(raw: bytes, lexicon: dict[bytes, float]) -> int:
+    """How many chunks of text hold no known word as they stand, but one once masking signs are read as letters or left out."""
+    n = 0
+    for chunk in _MARKED.findall(raw) if lexicon else ():
+        inner = chunk.strip(_EDGE)
+        if not inner.isalpha() and any(_weight(w, lexicon) for w in inner.translate(_UNMASKED, _FILL).split()):
+            n += not any(_weight(w, lexicon) for w in inner.translate(_PLAIN).split())
+    return n
+
+
 def features(text: str, lexicon: dict[bytes, float], second: frozenset[bytes]) -> tuple[float, ...]:
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.translate(_PLAIN).split()
@@ -60,11 +73,8 @@ def features(text: str, lexicon: dict[bytes, float], second: frozenset[bytes]) -
         at = np.searchsorted(you, hits)
         y = np.array([-(10**9), *you, 10**9])
         near = int((np.minimum(np.abs(y[at] - hits), np.abs(y[at + 1] - hits)) <= NEAR).sum())
-    hidden = 0
-    if lexicon:
-        bare = raw.translate(_UNMASKED, _FILL).split()
-        hidden = max(0, sum(w in lexicon for w in bare) - len(hits))
-    without = lambda chars: size - len(raw.translate(None, chars))
+    hidden = _hidden(raw, lexicon)
+    without = lambda chars: len(raw) - len(raw.translate(None, chars))
     return (
         len(hits) / n, np.log1p(len(hits)), sum(weights) / n, max(weights, default=0.0), near / n, len(you) / n, hidden / n, np.log1p(hidden),
         without(_CAPITALS) / size, without(_MARKS) / size, without(_STOPS) / size, without(b"#*$%&|<>@") / size, without(b"0123456789") / size, np.log1p(len(words)),
