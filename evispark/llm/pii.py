@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread
+from .common import fresh, spread
 
 #: Fixed patterns of the base kinds. The groups before them only keep a long run of one class of characters
 #: from being tried at each of its places: an attempt inside a run fails exactly when that at its start fails.
@@ -31,6 +31,9 @@ _GROUPS = "|".join(rf"(?:{c})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}"
 _KNOWN = "|".join(IBAN_LENGTHS.values())
 IBAN = rf"\b(?:{_GROUPS})\b|" + r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b"
 NATIONAL_ID = r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"
+#: Fixed patterns: keys of services by their public prefixes, and long random words, which count after a word that names them.
+API_KEY = r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z]{10,48}|AIza[0-9A-Za-z_]{35}|sk_(?:live|test)_[0-9A-Za-z]{16,64})\b"
+SECRET = r"\b[0-9A-Za-z_]{20,}\b"
 
 OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
@@ -87,6 +90,8 @@ KINDS = (
     Kind("phone", PHONE, "+", lambda m: F.length(_digits(m)).between(10, 15), 0.6, "phone|call|tel|mobile|fax"),
     Kind("iban", IBAN, "", lambda m: _iban_part(m).isNotNull(), 0.8, "iban|account|bank|konto|compte|cuenta", base=False, part=_iban_part),
     Kind("national_id", NATIONAL_ID, "-", lambda m: ~F.rlike(m, F.lit("^(?:000|666|9[0-9]{2})|-00-|-0000$")), 0.45, "ssn|social|security|id", base=False),
+    Kind("api_key", API_KEY, "", lambda m: F.lit(True), 0.8, "key|token|secret", base=False),
+    Kind("secret", SECRET, "", lambda m: F.rlike(m, F.lit("[0-9]")) & F.rlike(m, F.lit("[A-Za-z]")), 0.45, "token|secret|password|passwd|key|auth|bearer", base=False),
 )
 CHUNK = 256
 
@@ -146,27 +151,32 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ki
     return each.select(F.col("id").alias(id_col), F.sort_array(F.concat(*(f"s{i}" for i in range(len(kinds))))).alias("found"))
 
 
-def _named(kind: Kind) -> Callable[[Column], Column]:
-    return lambda m: F.when(F.coalesce(kind.confirm(m), F.lit(False)), F.concat(F.lit(f"[{kind.name}]"), F.substr(m, kind.part(m) + 1)) if kind.part else F.lit(f"[{kind.name}]")).otherwise(m)
-
-
 def _count(spans: Column, rank: int) -> Column:
     return F.size(F.filter(spans, lambda s: s["rank"] == rank)).cast("long")
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """``docs`` with every confirmed match replaced by its kind in brackets; kinds apply in turn."""
+    """``docs`` with every span that ``find_pii`` finds replaced by its kind in brackets; all columns stay.
+
+    Of spans that overlap the first goes by its kind, and the others' rest stays. Null text stays null.
+    """
     t = F.coalesce(F.col(text_col), F.lit(""))
-    for k in kinds:
-        found, between = F.regexp_extract_all(t, F.lit(k.pattern), F.lit(0)), F.split(t, k.pattern, -1)
-        put = F.transform(found, _named(k))
-        pairs = F.transform(F.arrays_zip(between.alias("gap"), put.alias("m")), lambda x: F.concat(x["gap"], F.coalesce(x["m"], F.lit(""))))
-        t = F.array_join(pairs, "")
-    return docs.withColumn(text_col, t)
+    found = F.sort_array(F.concat(*(_spans(t, k, i) for i, k in enumerate(kinds))))
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,rank:int,end:int>>)").alias("kept"))
+    step = lambda a, s: F.when(s["start"] < a["at"], a).otherwise(
+        F.struct(s["end"].alias("at"), F.array_append(a["kept"], F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"))).alias("kept"))
+    )
+    kept = F.aggregate(found, start, step, lambda a: a["kept"])
+    rows = docs.withColumn(mine := fresh(docs, "__spans"), kept)
+    k, names = F.col(mine), F.array(*(F.lit(f"[{k.name}]") for k in kinds))
+    since = lambda i: F.coalesce(F.get(k, i - 1)["end"], F.lit(0))
+    parts = F.transform(k, lambda s, i: F.concat(F.substr(t, since(i) + 1, s["start"] - since(i)), F.get(names, s["rank"])))
+    text = F.concat(F.array_join(parts, ""), F.substr(t, since(F.size(k)) + 1))
+    return rows.withColumn(text_col, F.when(F.col(text_col).isNotNull(), text)).drop(mine)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """The counts, digest and joined spans that the query returns."""
+    """What the query returns: counts and digest of the base kinds, all spans joined, their number and their scores."""
     names = F.array(*(F.lit(k.name) for k in kinds))
     n_base = sum(k.base for k in kinds)
     f = F.col("found")
@@ -178,5 +188,6 @@ def digest(found: DataFrame, id_col: str = "doc_id", kinds: tuple[Kind, ...] = K
         *(_count(f, i).alias(f"n_{k.name}") for i, k in enumerate(kinds) if k.base),
         F.sha2(said(F.filter(f, lambda s: s["rank"] < n_base)), 256).alias("base_sha256"),
         said(f).alias("spans"),
+        F.size(f).cast("long").alias("n_spans"),
         F.array_join(F.transform(f, lambda s: s["score"].cast("string")), ",").alias("scores"),
     )

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_hot, materialise, numbered, without
+from .common import join_hot, materialise, numbered, settled, without
 
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SYMBOLS = "#*$%&|<>"
@@ -278,10 +278,12 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     table = materialise(level.join(needed, "g0").select("own", "n", belongs.alias("belongs"), judge.alias("g")))
     rows = stats.select("*", *(v.alias(k) for k, v in _vector().items()))
     rows = rows.join(F.broadcast(table), "own") if table.count() <= MOST_GROUPS else join_hot(rows, table, "own", "n", total)
-    members = rows.select(F.explode("belongs").alias("g"), *FEATURES)
-    best = least_determinants(members, total)
     counts = ["row_no", "id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    judged = _with_distance(rows.select("g", *counts, *FEATURES), best, counts, total, "left")
+    if total < LEAST_GROUP:
+        judged = rows.select(*counts, F.lit(None).cast("double").alias("d2"))
+    else:
+        best = settled(lambda: least_determinants(rows.select(F.explode("belongs").alias("g"), *FEATURES), total))
+        judged = _with_distance(rows.select("g", *counts, *FEATURES), best, counts, total, "left")
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     return judged.select(
         "row_no", F.col("id").alias(id_col), *counts[2:], failed.alias("base_failed"), F.round("d2", 3).alias("distance2"),

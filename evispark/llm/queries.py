@@ -65,6 +65,8 @@ _PII_SQL = {
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "length(d) BETWEEN 10 AND 15", 0.6, "phone|call|tel|mobile|fax", 0),
     "iban": (r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b", "length(s) BETWEEN 15 AND 34 AND list_reduce([0] || list_transform(string_split(s[5:] || s[:4], ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c::INT ELSE ascii(c) - 55 END), lambda a, x: CASE WHEN x > 9 THEN a * 100 + x ELSE a * 10 + x END % 97) = 1", 0.8, "iban|account|bank|konto|compte|cuenta", 0.6),
     "national_id": (r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "NOT regexp_matches(m, '^(?:000|666|9[0-9]{2})|-00-|-0000$')", 0.45, "ssn|social|security|id", 0.6),
+    "api_key": (r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z]{10,48}|AIza[0-9A-Za-z_]{35}|sk_(?:live|test)_[0-9A-Za-z]{16,64})\b", "true", 0.8, "key|token|secret", 0.6),
+    "secret": (r"\b[0-9A-Za-z_]{20,}\b", "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')", 0.45, "token|secret|password|passwd|key|auth|bearer", 0.6),
 }
 
 
@@ -80,12 +82,24 @@ def _pii_sql() -> str:
     joined = "string_agg(kind || ':' || start || ':' || e, ',' ORDER BY start, rank)"
     return (
         f"WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), found AS ({found}) "
-        f"SELECT doc_id, {counts}, sha256(coalesce({joined} FILTER (rank < 4), '')) AS base_sha256, coalesce({joined}, '') AS spans, "
+        f"SELECT doc_id, {counts}, sha256(coalesce({joined} FILTER (rank < 4), '')) AS base_sha256, coalesce({joined}, '') AS spans, count(rank) AS n_spans, "
         "coalesce(string_agg(score::DOUBLE::VARCHAR, ',' ORDER BY start, rank), '') AS scores FROM docs LEFT JOIN found USING (doc_id) GROUP BY doc_id"
     )
 
 
+#: Windows of 50 words, judged by the earliest document that has each; a word goes if one of the 50 windows over it does.
+_SUBSTRING_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w),
+g AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY array_to_string(ws[i:i + 49], ' ')) AS first FROM p),
+u AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+c AS (SELECT u.doc_id, u.i, word, coalesce(max((first < g.doc_id)::INT) OVER (PARTITION BY u.doc_id ORDER BY u.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) AS gone FROM u LEFT JOIN g USING (doc_id, i)),
+k AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM c GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+"""
+
 ORACLE_SQL = {
+    "op8_substring_dedup": _SUBSTRING_SQL,
     "op10_pii": _pii_sql(),
     "op1_exact_dedup": r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
