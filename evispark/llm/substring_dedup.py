@@ -15,8 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .suffix_dedup import _with_runs
-from .windows import Words, covered, repeated_windows, sliced
+from .common import numbered
+from .windows import Words, covered, repeated_windows, sliced, with_runs
 
 LENGTH, GRAM, CHUNK = 50, 12, 5 << 19
 #: A failed match is tried again from so many words beyond the word it failed at, to skip the ends between.
@@ -169,11 +169,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     others; rows with one id aren't earlier than each other; an empty table gives no rows; other columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row_no"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")
-    )
-    ordered = rows.withColumn("ord", F.coalesce(F.col("id").cast("long"), F.lit(LATEST)))
-    runs = repeated_windows(ordered, Words, lambda g, c, a, o: match_backward(g, c, a, o, length), length, gram, True, chunk, **more)
+    rows = numbered(docs, F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+
+    def runs() -> DataFrame:
+        ordered = rows.withColumn("ord", F.coalesce(F.col("id").cast("long"), F.lit(LATEST)))
+        return repeated_windows(ordered, Words, lambda g, c, a, o: match_backward(g, c, a, o, length), length, gram, True, chunk, **more)
 
     def removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in sliced(batches):
@@ -186,7 +186,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pd.DataFrame(out, columns=["row_no", "id", "kept", "n_words", "n_removed"])
 
     schema = f"row_no long, id {kind}, kept string, n_words long, n_removed long"
-    return _with_runs(rows, runs).mapInPandas(removed, schema).withColumnRenamed("id", id_col)
+    return with_runs(rows, runs).mapInPandas(removed, schema).withColumnRenamed("id", id_col)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -16,7 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .windows import _BASE, Bytes, covered, powers, prefix_hashes, repeated_windows, sliced
+from .common import numbered
+from .windows import _BASE, Bytes, covered, powers, prefix_hashes, repeated_windows, sliced, with_runs
 
 LENGTH, GRAM, CHUNK = 400, 64, 2 << 20
 
@@ -165,47 +166,36 @@ def match_suffixes(group: np.ndarray, ctxs: list[bytes], a: np.ndarray, ords: np
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, chunk: int = CHUNK, **more) -> DataFrame:
-    """Per row of ``docs``: row_no, id, ``kept`` (the bytes that stay), ``n_bytes``, ``n_removed``, ``spans``.
+    """Per row of ``docs``: row_no, id, ``kept`` (the bytes that stay), ``n_bytes``, ``n_removed``, ``spans``, ``n_shared``.
 
     Every byte covered by a ``length``-byte string that also starts anywhere else, in any document or this
     one, goes; strings are judged on the input. ``spans`` are the maximal removed stretches (start, end).
+    ``n_shared`` tells of shared passages too short to go: of the ``gram``-byte strings that stand for the
+    document (the anchors, at least one in ``length`` bytes), how many another document has as an anchor.
 
     Defined results: null text is empty and keeps its no bytes; texts shorter than ``length`` stay whole;
     repeated rows remove each other; an empty table gives no rows; null ids stay null; other columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row_no"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")
-    )
-    runs = repeated_windows(
-        rows.withColumn("ord", F.col("row_no")), Bytes, lambda g, c, a, o: match_suffixes(g, c, a, o, length), length, gram, False, chunk, **more
-    )
+    rows = numbered(docs, F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+
+    def runs() -> DataFrame:
+        ordered = rows.withColumn("ord", F.col("row_no"))
+        return repeated_windows(ordered, Bytes, lambda g, c, a, o: match_suffixes(g, c, a, o, length), length, gram, False, chunk, **more)
 
     def removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in sliced(batches):
             out = []
-            for row, doc, t, first, last in zip(*(batch[c] for c in ("row_no", "id", "t", "first", "last")), strict=True):
+            for row, doc, t, first, last, shared in zip(*(batch[c] for c in ("row_no", "id", "t", "first", "last", "n_shared")), strict=True):
                 b = t.encode("utf-8", "surrogatepass")
                 spans = covered(first, last, length) if first is not None else []
                 kept = b"".join(b[x:y] for x, y in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(b)], strict=True))
-                out.append((row, doc, kept, len(b), len(b) - len(kept), [{"start": x, "end": y} for x, y in spans]))
-            yield pd.DataFrame(out, columns=["row_no", "id", "kept", "n_bytes", "n_removed", "spans"])
-
-    schema = f"row_no long, id {kind}, kept binary, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>"
-    return _with_runs(rows, runs).mapInPandas(removed, schema).withColumnRenamed("id", id_col)
-
-
-def _with_runs(rows: DataFrame, runs: DataFrame) -> DataFrame:
-    """Rows with their runs; the texts of rows without any aren't shuffled while those with some are few."""
-    from .common import BROADCAST_ROWS, materialise, small_enough
+                out.append((row, doc, kept, len(b), len(b) - len(kept), [{"start": x, "end": y} for x, y in spans], 0 if pd.isna(shared) else int(shared)))
+            yield pd.DataFrame(out, columns=["row_no", "id", "kept", "n_bytes", "n_removed", "spans", "n_shared"])
 
-    runs = materialise(runs)
-    if not small_enough(runs.select("row_no"), 5 * BROADCAST_ROWS):
-        return rows.join(runs, "row_no", "left")
-    some = F.broadcast(runs.select("row_no"))  # at most 5 * BROADCAST_ROWS numbers
-    none = rows.join(some, "row_no", "left_anti").withColumns({c: F.lit(None).cast(runs.schema[c].dataType) for c in ("first", "last")})
-    return none.unionByName(rows.join(some, "row_no", "left_semi").join(runs, "row_no"))
+    schema = f"row_no long, id {kind}, kept binary, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, n_shared long"
+    return with_runs(rows, runs).mapInPandas(removed, schema).withColumnRenamed("id", id_col)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    return found.select(id_col, "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select(id_col, "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_shared")

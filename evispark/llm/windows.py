@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, materialise
+from .common import BROADCAST_ROWS, checked_broadcast, join_hot, materialise, settled, small_enough
 
 #: Units that are treated at once; longer documents are walked in steps that overlap by a window.
 SEGMENT = 1 << 22
@@ -181,13 +181,15 @@ def _runs(items: DataFrame, units, matcher: Matcher, length: int, earlier: bool,
     count, else any other occurrence.
     """
     items = materialise(items.withColumn("cid", F.md5(F.concat(F.hex("key").cast("binary"), F.col("ctx")))))
-    distinct = items.groupBy("key", "ctx", "a", "n_windows").agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("n"))
-    distinct = materialise(distinct.withColumn("cid", F.md5(F.concat(F.hex("key").cast("binary"), F.col("ctx")))))
+    combined = items.groupBy("key", "ctx", "a", "n_windows").agg(F.min(F.struct("ord", "pid")).alias("lead"), F.count(F.lit(1)).alias("n"))
+    combined = combined.select("key", "ctx", "a", "n_windows", F.col("lead")["ord"].alias("ord"), F.col("lead")["pid"].alias("pid"), "n")
+    distinct = materialise(combined.withColumn("cid", F.md5(F.concat(F.hex("key").cast("binary"), F.col("ctx")))))
     sizes = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("g")).where("g > 1")
     sizes = materialise(sizes)
-    light = items.select("pid", "cid", "ord", "n_windows")
-    known = distinct.select("cid", "n", F.col("ord").alias("least"))
-    whole = light.join(known, "cid").where("least < ord" if earlier else "n > 1")
+    # items whose context others have too; a context may have any share of the items
+    several = distinct.where("n > 1").select("cid", "n", F.col("ord").alias("least"), F.col("pid").alias("lead"))
+    told = join_hot(items.select("pid", "cid", "ord", "n_windows"), several, "cid", "n", items.count())
+    whole = told.where("least < ord") if earlier else told
     whole = whole.select("pid", F.lit(0).cast("long").alias("first"), (F.col("n_windows") - 1).cast("long").alias("last"))
     shards = distinct.join(sizes.where(F.col("g") <= large), "key").select("key", "ctx", "a", "ord", "cid")
     schema = "cid string, first long, last long"
@@ -215,15 +217,18 @@ def _runs(items: DataFrame, units, matcher: Matcher, length: int, earlier: bool,
         at = F.split("pid", " ")[1].cast("long")
         found = found.select(F.split("pid", " ")[0].alias("cid"), (F.col("first") + at).alias("first"), (F.col("last") + at).alias("last"))
         part = part.unionByName(found)
-    # what all windows of an item share with it is said once: only items that aren't whole need the parts
-    rest = light.join(known, "cid").where("least >= ord" if earlier else "n = 1").select("pid", "cid")
+    # only items that aren't whole need the parts: one item of each context, and with ``earlier`` those of its order
+    rest = distinct.where("true" if earlier else "n = 1").select("pid", "cid")
+    if earlier:
+        rest = rest.unionByName(told.where("least >= ord AND pid <> lead").select("pid", "cid"))
     return whole.unionByName(rest.join(part, "cid").select("pid", "first", "last"))
 
 
 def repeated_windows(
     docs: DataFrame, units_type, matcher: Matcher, length: int, gram: int, earlier: bool, chunk: int, large: int = LARGE
 ) -> DataFrame:
-    """(row_no, first, last): per row with any, arrays of the runs of windows that occur again.
+    """(row_no, first, last, n_shared): arrays of the runs of windows that occur again, and the number of the
+    row's anchors whose gram another order has too; per row with any of them.
 
     docs: row_no, ord (long; with ``earlier`` only occurrences in rows of a smaller ord count), t (text).
     """
@@ -254,23 +259,33 @@ def repeated_windows(
             yield pd.DataFrame(out, columns=["pid", "ord", "key", "ctx", "a", "n_windows"])
 
     rows = docs.select("row_no", "ord", "t")
-    listing = materialise(rows.mapInPandas(listed, "row_no long, ord long, key long, a int, first int, last int"))
-    again = listing.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("lo"), F.max("ord").alias("hi"))
-    # written, so that the join below reads two plain shuffles, of which Spark splits the large partitions
-    again = materialise(again.where("lo < hi" if earlier else "n > 1").select("key"))
-    found = listing.join(again, "key").groupBy("row_no").agg(F.collect_list(F.struct("key", "a", "first", "last")).alias("found"))
-    found = materialise(found)
+
+    def anchored() -> DataFrame:
+        listing = materialise(rows.mapInPandas(listed, "row_no long, ord long, key long, a int, first int, last int"))
+        again = listing.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("lo"), F.max("ord").alias("hi"))
+        again = materialise(again.where("lo < hi" if earlier else "n > 1").select("key", "n", (F.col("lo") < F.col("hi")).alias("others")))
+        met = join_hot(listing, again, "key", "n", listing.count())
+        return met.groupBy("row_no").agg(F.collect_list(F.struct("key", "a", "first", "last")).alias("found"), F.sum(F.col("others").cast("int")).cast("long").alias("n_shared"))
+
+    found = settled(anchored)
     some = rows.join(checked_broadcast(found.select("row_no"), 1_000_000), "row_no", "left_semi")
-    found = found.select("row_no", *(F.col(f"found.{c}").alias(c) for c in ("key", "a", "first", "last")))
-    items = some.join(found, "row_no").mapInPandas(contexts, "pid string, ord long, key long, ctx binary, a int, n_windows int")
+    places = found.select("row_no", *(F.col(f"found.{c}").alias(c) for c in ("key", "a", "first", "last")))
+    items = some.join(places, "row_no").mapInPandas(contexts, "pid string, ord long, key long, ctx binary, a int, n_windows int")
     runs = _runs(items, units_type(), matcher, length, earlier, chunk, large)
     at = F.split("pid", " ")[1].cast("long")
-    return (
-        runs.select(F.split("pid", " ")[0].cast("long").alias("row_no"), F.struct((F.col("first") + at).alias("first"), (F.col("last") + at).alias("last")).alias("run"))
-        .groupBy("row_no")
-        .agg(F.collect_set("run").alias("runs"))
-        .select("row_no", F.col("runs.first").alias("first"), F.col("runs.last").alias("last"))
-    )
+    runs = runs.select(F.split("pid", " ")[0].cast("long").alias("row_no"), F.struct((F.col("first") + at).alias("first"), (F.col("last") + at).alias("last")).alias("run"))
+    runs = runs.groupBy("row_no").agg(F.collect_set("run").alias("runs"))
+    return found.select("row_no", "n_shared").join(runs, "row_no", "left").select("row_no", F.col("runs.first").alias("first"), F.col("runs.last").alias("last"), "n_shared")
+
+
+def with_runs(rows: DataFrame, runs: Callable[[], DataFrame]) -> DataFrame:
+    """Rows (row_no, …) with their runs; the texts of rows without any aren't shuffled while those with some are few."""
+    found = settled(runs)
+    if not small_enough(found, 5 * BROADCAST_ROWS):
+        return rows.join(found, "row_no", "left")
+    some = F.broadcast(found.select("row_no"))  # at most 5 * BROADCAST_ROWS numbers
+    none = rows.join(some, "row_no", "left_anti").withColumns({c: F.lit(None).cast(found.schema[c].dataType) for c in found.columns if c != "row_no"})
+    return none.unionByName(rows.join(some, "row_no", "left_semi").join(found, "row_no"))
 
 
 def covered(first, last, length: int) -> list[tuple[int, int]]:
