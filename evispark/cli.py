@@ -10,7 +10,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from .operators import comparator, validation
-from .plans import jobs, prompts
+from .plans import jobs, prompts, schema
 from .session import get_session
 from .sources import files, registry, sinks
 
@@ -34,14 +34,42 @@ def _callable(name):
     return getattr(importlib.import_module(module), function)
 
 
-def _generated(spark, a, j, who):
+def _gate(a, j):
+    """The job's schema and the rules on citations that the options ask for."""
+    allowed = frozenset(x.strip() for x in (a.allowed_sources or "").split(",") if x.strip())
+    return schema.Gate(schema.load(j.output_schema) if j else None, a.strict_citations, allowed)
+
+
+def _wrong(outputs, job_id, gate):
+    """What is wrong with outputs, each problem a line."""
+    head = [r["path"] for r in _invalid(outputs, job_id).collect()]
+    return head + [r["error"] for r in schema.output_errors(outputs, gate.problems).collect()]
+
+
+def _generated(spark, a, j, who, gate):
     template = files.read_templates(spark, j.prompt_template).first()["template"]
     specs = _specs(spark, j.spec_file)
     if a.index:
-        return jobs.run_rag(specs, a.job, spark.read.parquet(a.index), template, _callable(a.provider), _callable(a.embedder), a.topk)
-    snippets = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("pos", "part", "locator", "text", "type"))))
-    sources = spark.read.parquet(a.sources).groupBy("source_id", "source_title").agg(snippets.alias("snippets"))
-    return jobs.run_batches(specs, a.job, sources.withColumn("pos", F.regexp_extract("source_id", "[0-9]+", 0).try_cast("int")), template, _callable(a.provider), not a.no_split, **who)
+        index = files.read_index_json(spark, a.index) if a.index.endswith(".json") else spark.read.parquet(a.index)
+        return jobs.run_rag(specs, j.job_id, index, template, _callable(a.provider), _callable(a.embedder), a.topk)
+    if a.sources.endswith(".json"):
+        sources = files.read_sources_json(spark, a.sources).select("source_id", "source_title", "snippets", "pos")
+    else:
+        snippets = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("pos", "part", "locator", "text", "type"))))
+        sources = spark.read.parquet(a.sources).groupBy("source_id", "source_title").agg(snippets.alias("snippets"))
+        sources = sources.withColumn("pos", F.regexp_extract("source_id", "[0-9]+", 0).try_cast("int"))
+    return jobs.run_batches(specs, j.job_id, sources, template, _callable(a.provider), not a.no_split, problems=gate.problems, **who)
+
+
+def _run(spark, a, j, out, who):
+    """Runs a job; the output is written whether right or not. Lines about what is wrong with it."""
+    gate = _gate(a, j)
+    if a.mode == "stub":
+        made = jobs.run_stub(_specs(spark, j.spec_file), j.job_id, out, a.generated_at, **who)
+    else:
+        sinks.write_json(_generated(spark, a, j, who, gate), out)
+        made = spark.read.text(out).withColumnRenamed("value", "json")  # what was answered, not asked anew
+    return _wrong(made, j.job_id, gate)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -51,26 +79,30 @@ def main(argv: list[str] | None = None) -> int:
     opt = lambda *a, **k: (a, k)
     reg, job, out = opt("--registry", required=True), opt("--job", required=True), opt("--out", required=True)
     country = (opt("--country-name"), opt("--country-iso3"), opt("--generated-at", default=date.today().isoformat()))
-    add("validate", job, opt("--payload", required=True))
+    gates = (opt("--strict-citations", action="store_true"), opt("--allowed-sources"))
+    add("validate", job, opt("--payload", required=True), opt("--registry"), *gates)
     llm = (opt("--mode", choices=("stub", "llm"), default="stub"), opt("--provider"), opt("--embedder"), opt("--sources"), opt("--index"), opt("--no-split", action="store_true"), opt("--topk", type=int, default=40))
-    add("run", reg, job, out, *country, *llm)
-    add("run-all", reg, out, *country)
+    add("run", reg, job, out, *country, *llm, *gates)
+    add("run-all", reg, out, *country, *llm, *gates)
     add("render-all", reg, out, opt("--mode", default="stub"))
     add("render", job, opt("--payload", required=True), out, opt("--form", choices=("md", "csv", "xlsx", "docx"), default="md"))
     add("prompt", reg, job, out, *country)
-    add("sources-scan", opt("--folder", required=True), out)
-    add("sources-index", opt("--sources", required=True), opt("--embedder", required=True), opt("--model", default="custom"), out)
+    form = opt("--form", choices=("parquet", "json"), default="parquet")
+    add("sources-scan", opt("--folder", required=True), out, form)
+    add("sources-index", opt("--sources", required=True), opt("--embedder", required=True), opt("--model", default="custom"), out, form)
     add("similarity", opt("--table", required=True), opt("--target", required=True), out, opt("--weights"), opt("--sheet"), opt("--peer-filter", action="store_true"))
     add("comparator", opt("--table", required=True), opt("--target", required=True), out, opt("--topk", type=int, default=20), opt("--aspirational-k", type=int, default=20), opt("--weights"), opt("--sheet"))
     a = p.parse_args(argv)
     spark = get_session()
     try:
         if a.command == "validate":
-            bad = [r["path"] for r in _invalid(files.read_json_strict(spark, a.payload), a.job).collect()]
+            j = registry.job(registry.load_registry(spark, a.registry), a.job) if a.registry else None
+            bad = _wrong(files.read_json_strict(spark, a.payload), a.job, _gate(a, j))
             print("\n".join(bad) or "valid")
             return 3 if bad else 0
         if a.command == "sources-scan":
-            jobs.scan_sources(spark, a.folder).write.mode("overwrite").parquet(a.out)
+            scanned = jobs.scan_sources(spark, a.folder)
+            sinks.write_sources_json(scanned, a.out) if a.form == "json" else scanned.write.mode("overwrite").parquet(a.out)
             return 0
         if a.command == "comparator":
             similar, aspirational = comparator.comparator_index(files.read_table(spark, a.table, a.sheet), a.target, a.topk, a.aspirational_k, weights=a.weights)
@@ -78,7 +110,7 @@ def main(argv: list[str] | None = None) -> int:
             sinks.write_csv(aspirational, f"{a.out}/aspirational")
             return 0
         if a.command == "sources-index":
-            jobs.index_sources(spark.read.parquet(a.sources), _callable(a.embedder), a.out, a.model)
+            jobs.index_sources(spark.read.parquet(a.sources), _callable(a.embedder), a.out, a.model, a.form)
             return 0
         if a.command == "similarity":
             found = comparator.similarity_index(files.read_table(spark, a.table, a.sheet), a.target, peer_columns=comparator.PEER_COLUMNS if a.peer_filter else (), weights=a.weights)
@@ -95,18 +127,17 @@ def main(argv: list[str] | None = None) -> int:
             return 0
         who = {"country_name": getattr(a, "country_name", None), "country_iso3": getattr(a, "country_iso3", None)}
         if a.command == "run":
-            j = registry.job(listed, a.job)
-            if a.mode == "stub":
-                made = jobs.run_stub(_specs(spark, j.spec_file), a.job, a.out, a.generated_at, **who)
-            else:
-                made = _generated(spark, a, j, who)
-                sinks.write_json(made, a.out)
-            return 3 if _invalid(made, a.job).take(1) else 0
+            wrong = _run(spark, a, registry.job(listed, a.job), a.out, who)
+            print("\n".join(wrong), file=sys.stderr)
+            return 3 if wrong else 0
         failed = False
         for j in listed.collect():  # the registry: a few rows
             try:
                 if a.command == "run-all":
-                    jobs.run_stub(_specs(spark, j.spec_file), j.job_id, f"{a.out}/{j.job_id}", a.generated_at, **who)
+                    if wrong := _run(spark, a, j, f"{a.out}/{j.job_id}", who):
+                        failed = True
+                        print(f"{j.job_id}: FAILED {wrong[0]}")
+                        continue
                 else:
                     newest = files.latest_outputs(spark, j.output_dir, a.mode).first()
                     if newest is None:

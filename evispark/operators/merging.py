@@ -61,40 +61,60 @@ def fold_strings(parts: Column) -> Column:
     )
 
 
+def fold_objects(parts: Column, element: str) -> Column:
+    """Arrays of other things than texts in order: those that aren't there yet are added, with what repeats among them."""
+    none = F.expr("array()").cast(f"array<{element}>")
+    return F.aggregate(
+        parts, none, lambda acc, x: F.concat(acc, F.filter(F.coalesce(x, none), lambda v: ~F.exists(acc, lambda y: y.eqNullSafe(v))))
+    )
+
+
 def _citation_key(c: Column) -> Column:
-    return F.struct(*(F.coalesce(c[k], F.lit("")) for k in CITATION_KEY))
+    """One text for the fields that tell citations apart; missing fields count as ''."""
+    return F.concat(*(F.concat(F.length(v).cast("string"), F.lit(":"), v) for v in (F.coalesce(c[k], F.lit("")) for k in CITATION_KEY)))
+
+
+def _let(x: Column, f) -> Column:
+    """``f(x)``, with ``x`` computed once however often ``f`` uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
 def dedup_citations(citations: Column) -> Column:
-    """The first of each (source_id, locator, source_title), in order; missing fields count as ''."""
-    numbered = F.transform(citations, lambda c, i: F.struct(c.alias("c"), i.alias("i")))
-    first = F.filter(numbered, lambda x: ~F.exists(F.slice(citations, F.lit(1), x["i"]), lambda y: _citation_key(y) == _citation_key(x["c"])))
-    return F.transform(first, lambda x: x["c"])
+    """The first of each (source_id, locator, source_title), in order; missing fields count as ''. By sorting, not pair by pair."""
+    def firsts(s: Column) -> Column:
+        new = F.filter(s, lambda x, j: (j == 0) | (F.get(s, j - 1)["k"] != x["k"]))
+        return F.array_sort(F.transform(new, lambda x: x["i"]))
+
+    keyed = lambda c: F.array_sort(F.transform(c, lambda x, i: F.struct(_citation_key(x).alias("k"), i.alias("i"))))
+    return _let(citations, lambda c: F.transform(_let(keyed(c), firsts), lambda i: F.get(c, i)))
 
 
 def fold_evidence(parts: Column, citation_type: str) -> Column:
     """Evidence blocks (quality, rationale, citations) in order.
 
-    A block without evidence changes nothing; while there is none, the next comes whole; after that the better
-    quality wins, rationales that differ are joined by a blank, citations are united.
+    A block without evidence changes nothing; a single one with evidence stays as it is; of several the first of
+    the best quality gives it, rationales that differ from what has accumulated are joined by a blank, and
+    citations are united once at the end. Without any, the first block stays.
     """
     evidence_type = f"struct<quality:string,rationale:string,citations:array<{citation_type}>>"
-    start = F.lit(None).cast(evidence_type)
     no_citations = F.lit(None).cast(f"array<{citation_type}>")
+    plain = F.transform(parts, lambda p: F.when(p.isNotNull(), F.struct(p["quality"].alias("quality"), p["rationale"].alias("rationale"), F.coalesce(p["citations"], no_citations).alias("citations")).cast(evidence_type)))
+
+    def joined(some: Column) -> Column:
+        best = F.aggregate(some, F.get(some, F.lit(0))["quality"], lambda q, x: F.when(quality_rank(x["quality"]) > quality_rank(q), x["quality"]).otherwise(q))
+        said = F.aggregate(
+            F.slice(some, F.lit(2), F.size(some)), F.get(some, F.lit(0))["rationale"],
+            lambda r, x: F.when(F.coalesce(x["rationale"], F.lit("")).isin("") | (x["rationale"] == F.coalesce(r, F.lit(""))), r)
+            .when(F.coalesce(r, F.lit("")) == "", x["rationale"]).otherwise(F.concat(r, F.lit(" "), x["rationale"])),
+        )
+        cited = F.flatten(F.transform(some, lambda x: F.coalesce(x["citations"], F.array().cast(f"array<{citation_type}>"))))
+        return F.struct(best.alias("quality"), said.alias("rationale"), dedup_citations(cited).alias("citations")).cast(evidence_type)
 
-    def step(acc: Column, x: Column) -> Column:
-        have, new = quality_rank(acc["quality"]), quality_rank(x["quality"])
-        er, ir = F.coalesce(acc["rationale"], F.lit("")), F.coalesce(x["rationale"], F.lit(""))
-        both = F.concat(F.coalesce(acc["citations"], F.array().cast(f"array<{citation_type}>")), F.coalesce(x["citations"], F.array().cast(f"array<{citation_type}>")))
-        joined = F.struct(
-            F.when(new > have, x["quality"]).otherwise(acc["quality"]).alias("quality"),
-            F.when((ir == "") | (ir == er), acc["rationale"]).when(er == "", ir).otherwise(F.concat(er, F.lit(" "), ir)).alias("rationale"),
-            dedup_citations(both).alias("citations"),
-        )
-        return F.when(acc.isNull(), x).when(new == 0, acc).when(have == 0, x).otherwise(joined.cast(evidence_type))
+    def chosen(all_: Column) -> Column:
+        some = F.filter(all_, lambda x: F.coalesce(quality_rank(x["quality"]) > 0, F.lit(False)))
+        return _let(some, lambda s: F.when(F.size(s) > 1, joined(s)).when(F.size(s) == 1, F.get(s, F.lit(0))).otherwise(F.get(F.filter(all_, lambda x: x.isNotNull()), F.lit(0))))
 
-    plain = F.transform(parts, lambda p: F.struct(p["quality"].alias("quality"), p["rationale"].alias("rationale"), F.coalesce(p["citations"], no_citations).alias("citations")).cast(evidence_type))
-    return F.aggregate(plain, start, step)
+    return _let(plain, chosen)
 
 
 def merge_items(
@@ -114,7 +134,8 @@ def merge_items(
     each = lambda c: F.transform("__p", lambda p: p["v"][c])
     out = [*group, id_col, F.struct(F.col("__p")[0][batch].alias("batch"), F.col("__p")[0][pos].alias("pos")).alias("item_order")]
     out += [fold_text(each(c)).alias(c) for c in text_cols]
-    out += [fold_strings(each(c)).alias(c) for c in array_cols]
+    element = lambda c: parts.schema[c].dataType.elementType.simpleString()
+    out += [(fold_strings(each(c)) if element(c) == "string" else fold_objects(each(c), element(c))).alias(c) for c in array_cols]
     if evidence_col:
         citation = parts.schema[evidence_col].dataType["citations"].dataType.elementType.simpleString()
         out.append(fold_evidence(each(evidence_col), citation).alias(evidence_col))

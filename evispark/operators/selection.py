@@ -32,7 +32,10 @@ def trim_sources(sources: DataFrame, max_chars: int = BUDGET, group: list[str] |
 
     If all fits nothing changes. Otherwise each source may have what an equal share, or what the sources before
     it have left, allows: a fold over the group's sources in order. Without a group all rows are one prompt.
+    A budget of nothing leaves the sources without snippets.
     """
+    if max_chars <= 0:
+        return sources.withColumn("snippets", F.slice("snippets", 1, 0))
     group = group or []
     rest = [c for c in sources.columns if c not in group]
     size = lambda s: F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a + F.length(x["text"]))
@@ -59,7 +62,10 @@ def trim_rows(rows: DataFrame, max_chars: int = BUDGET) -> DataFrame:
     Each lang is a prompt, its sources in order; rows of a source by (k, doc_id). Room only shrinks, so of one
     source's rows of one length above zero the first share / length may be kept and no others; empty rows always are.
     Only those candidates, whose number the budget bounds, pass through the fold, which streams them.
+    A budget of nothing keeps no row.
     """
+    if max_chars <= 0:
+        return rows.select("lang", "source", "doc_id").where("false")
     totals = rows.groupBy("lang", "source").agg(F.sum("n").alias("chars")).groupBy("lang").agg(F.sum("chars").alias("all"), F.count(F.lit(1)).alias("sources"))
     sized = rows.join(totals, rows["lang"].eqNullSafe(totals["lang"])).drop(totals["lang"])
     free = sized.where((F.col("all") <= max_chars) | (F.col("n") == 0)).select("lang", "source", "doc_id")

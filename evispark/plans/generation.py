@@ -39,23 +39,31 @@ def generate_json(provider: Callable[[str], str], prompt: str, tries: int = TRIE
 
 
 def generate_valid(provider: Callable[[str], str], prompt: str, problems: Callable[[dict], list[str]] | None, attempts: int = ATTEMPTS, sleep: Callable[[float], None] = time.sleep) -> dict:
-    """Asks again, naming the problems, until there are none or the attempts are used up; then the last answer, as it is."""
-    asked, answer = prompt, {}
+    """Asks again, naming the problems, until there are none or the attempts are used up; then the last answer, as it is.
+
+    An answer that isn't JSON is a problem too; if there was no other, it is an error. Without ``problems`` there is one attempt.
+    """
+    asked, answer = prompt, None
     for _ in range(attempts if problems else 1):
-        answer = generate_json(provider, asked, sleep=sleep)
-        wrong = problems(answer) if problems else []
+        try:
+            answer = generate_json(provider, asked, sleep=sleep)
+            wrong = problems(answer) if problems else []
+        except ValueError as e:
+            wrong = [f"not valid JSON: {e}"]
         if not wrong:
             break
         asked = prompt + "\n\n## Problems of the previous answer\n" + "\n".join(f"- {w}" for w in wrong) + "\nReturn corrected JSON only.\n"
+    if answer is None:
+        raise ValueError(wrong[0])
     return answer
 
 
-def generate_all(prompts: DataFrame, provider: Callable[[str], str], key: str) -> DataFrame:
-    """(key, json): answers to a table of prompts, asked on the executors; ``provider`` must be picklable."""
+def generate_all(prompts: DataFrame, provider: Callable[[str], str], key: str, problems: Callable[[dict], list[str]] | None = None) -> DataFrame:
+    """(key, json): answers to a table of prompts, asked on the executors and, with ``problems``, repaired there; both must be picklable."""
 
     def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"k": b["k"], "json": [json.dumps(generate_json(provider, p), ensure_ascii=False) for p in b["prompt"]]})
+            yield pd.DataFrame({"k": b["k"], "json": [json.dumps(generate_valid(provider, p, problems), ensure_ascii=False) for p in b["prompt"]]})
 
     rows = prompts.select(F.col(key).cast("string").alias("k"), "prompt")
     return rows.mapInPandas(asked, "k string, json string").withColumnRenamed("k", key)

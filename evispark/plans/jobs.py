@@ -40,13 +40,13 @@ def render(outputs: DataFrame, job_id: str, out: str, form: str = "md") -> None:
         sinks.write_docx(job_id, rendering.narrative_rows(outputs, job_id), out)
 
 
-def index_sources(sources: DataFrame, embedder: Callable[[list[str]], list[list[float]]], out: str, model: str) -> None:
-    """Snippets of scanned sources with their vectors and lengths, as Parquet. An error if there is no text."""
+def index_sources(sources: DataFrame, embedder: Callable[[list[str]], list[list[float]]], out: str, model: str, form: str = "parquet") -> None:
+    """Snippets of scanned sources with their vectors and lengths, as Parquet (or their JSON form). An error if there is no text."""
     rows = sources.where(F.trim(F.coalesce("text", F.lit(""))) != "")
     if not rows.take(1):
         raise ValueError("no snippet has text")
     made = generation.embed(rows, embedder).withColumn("norm", norm(F.col("embedding")))
-    sinks.write_index(made, out, model)
+    (sinks.write_index_json if form == "json" else sinks.write_index)(made, out, model)
 
 
 def merge_outputs(outputs: DataFrame, job_id: str, batch: str = "batch") -> DataFrame:
@@ -98,17 +98,17 @@ def run_rag(
 
 def run_batches(
     specs: DataFrame, job_id: str, sources: DataFrame, template: str, provider: Callable[[str], str], split: bool = True,
-    max_snippet_chars: int = selection.BUDGET, **country: str,
+    max_snippet_chars: int = selection.BUDGET, problems: Callable[[dict], list[str]] | None = None, **country: str,
 ) -> DataFrame:
-    """(json): one prompt per source with snippets (each with all sources without), or one for all; answers merged."""
+    """(json): one prompt per source with snippets (each with all sources without), or one for all; answers repaired, then merged."""
     batches = [r["source_id"] for r in sources.where(F.size("snippets") > 0).select("source_id", "pos").orderBy("pos").collect()] if split else []
     if len(batches) < 2:
         made = prompts.job_prompt(specs, template, job_id, sources=sources, max_snippet_chars=max_snippet_chars, **country)
-        return generation.generate_all(made, provider, "spec_id").select("json")
+        return generation.generate_all(made, provider, "spec_id", problems).select("json")
     dealt, asked = selection.source_batches(sources), None
     for i, b in enumerate(batches):  # as many as there are curated sources: each is a call to the provider
         part = prompts.job_prompt(specs, template, job_id, sources=dealt.where(F.col("batch") == b).drop("batch"), max_snippet_chars=max_snippet_chars, **country)
         part = part.select(F.lit(i).alias("batch"), "prompt")
         asked = part if asked is None else asked.unionByName(part)
-    answers = generation.generate_all(asked, provider, "batch")
+    answers = generation.generate_all(asked, provider, "batch", problems)
     return merge_outputs(answers.withColumn("batch", F.col("batch").cast("int")), job_id)

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -79,18 +82,70 @@ class Schema:
                 yield at, f"not valid under {'any' if word == 'anyOf' else 'exactly one'} of the given schemas"
 
 
-def schema_errors(outputs: DataFrame, schema: dict, others: dict[str, dict] | None = None, json_col: str = "json") -> DataFrame:
-    """(n, path_and_message): a row per violation of each output (numbered in its partition), checked on the executors."""
-    checker = Schema(schema, others)
+def load(path: str) -> Schema:
+    """The schema document at ``path``, which may refer to those beside it."""
+    def read(name: str) -> dict:
+        with open(name, encoding="utf-8") as f:
+            return json.load(f)
+
+    folder = os.path.dirname(os.path.abspath(path))
+    return Schema(read(path), {n: read(os.path.join(folder, n)) for n in sorted(os.listdir(folder)) if n.endswith(".schema.json") or n == "common.json"})
+
+
+def _citations(value, at: str = "$") -> Iterator[tuple[str, dict]]:
+    """(path, citation) for every object with a title and a locator."""
+    if isinstance(value, dict):
+        if "source_title" in value and "locator" in value:
+            yield at, value
+        for k, v in value.items():
+            yield from _citations(v, f"{at}.{k}")
+    elif isinstance(value, list):
+        for i, v in enumerate(value):
+            yield from _citations(v, f"{at}[{i}]")
+
+
+@dataclass(frozen=True)
+class Gate:
+    """What an output must hold: a schema; with ``strict`` citations that name their source; with ``allowed`` only these sources.
+
+    The rules on citations are looked at once the schema holds. Without anything given, every output holds.
+    """
+
+    schema: Schema | None = None
+    strict: bool = False
+    allowed: frozenset[str] = frozenset()
+
+    def problems(self, value) -> list[str]:
+        wrong = self.schema.errors(value) if self.schema else []
+        if not wrong and self.strict:
+            wrong = [f"{at}: no identifier of the source" for at, c in _citations(value) if not self._identified(c)]
+        if not wrong and self.allowed:
+            wrong = [f"{at}: source {c.get('source_id')!r} is not allowed" for at, c in _citations(value) if c.get("source_id") not in self.allowed]
+        return wrong
+
+    @staticmethod
+    def _identified(c: dict) -> bool:
+        filled = lambda k: isinstance(c.get(k), str) and c[k].strip() != ""
+        url = urlsplit(c["source_url"]) if isinstance(c.get("source_url"), str) else None
+        return any(map(filled, ("source_id", "reference", "doi", "isbn"))) or bool(url and url.scheme in ("http", "https") and url.netloc)
+
+
+def output_errors(outputs: DataFrame, problems: Callable[[object], list[str]], json_col: str = "json") -> DataFrame:
+    """(n, error): a row per problem of each output (numbered in its partition), checked on the executors."""
 
     def checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for i, text in enumerate(b["j"]):
                 try:
-                    rows += [(i, e) for e in checker.errors(json.loads(text))]
+                    rows += [(i, e) for e in problems(json.loads(text))]
                 except ValueError as e:
                     rows.append((i, f"$: {e}"))
             yield pd.DataFrame(rows, columns=["n", "error"])
 
     return outputs.selectExpr(f"`{json_col}` AS j").mapInPandas(checked, "n int, error string")
+
+
+def schema_errors(outputs: DataFrame, schema: dict, others: dict[str, dict] | None = None, json_col: str = "json") -> DataFrame:
+    """``output_errors`` against a closed schema document."""
+    return output_errors(outputs, Schema(schema, others).errors, json_col)

@@ -107,10 +107,10 @@ def source_numbering(t: Tables) -> DataFrame:
 
 
 @query(r"""SELECT doc_id, '| ' || trim(replace(replace(source, '|', '\|'), chr(10), ' ')) || ' | ' || trim(replace(replace(text, '|', '\|'), chr(10), ' '), ' ' || chr(9) || chr(13)) || ' |  |' AS row
-FROM documents WHERE contains(text, '|')""")
+FROM documents""")
 def markdown_rows(t: Tables) -> DataFrame:
     cells = F.transform(F.array("source", "text"), tx.markdown_cell)
-    return t.documents.where(F.contains("text", F.lit("|"))).select("doc_id", tx.markdown_row(cells, F.lit(3)).alias("row"))
+    return t.documents.select("doc_id", tx.markdown_row(cells, F.lit(3)).alias("row"))
 
 
 _BUDGET = 80_000
@@ -149,9 +149,9 @@ def rag_query_text(t: Tables) -> DataFrame:
     )
 
 
-@query("SELECT c_custkey, coalesce(n_name, c_nationkey::VARCHAR) AS country FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 2 = 0) ON c_nationkey = n_nationkey")
+@query("SELECT c_custkey, coalesce(n_name, c_nationkey::VARCHAR) AS country FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
 def iso_lookup_fallback(t: Tables) -> DataFrame:
-    found = selection.lookup_with_fallback(t.customer, t.nation.where("n_nationkey % 2 = 0"), "c_nationkey", "n_nationkey", "n_name", "country")
+    found = selection.lookup_with_fallback(t.customer, t.nation, "c_nationkey", "n_nationkey", "n_name", "country")
     return found.select("c_custkey", "country")
 
 

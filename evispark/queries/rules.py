@@ -1,9 +1,7 @@
-"""Validation, citation and status queries; extraction, stubs and prompts over inline specifications."""
+"""Validation, citation and status queries; extraction, stubs and prompts over specifications made of a table."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,12 +50,12 @@ def citation_clean(t: Tables) -> DataFrame:
     return c.select("page_id", "c.source_url", "c.source_id", "c.doi", "c.publisher", "c.published_date")
 
 
-@query(f"""SELECT page_id, trim({_BLANKED}) <> '' OR regexp_matches(u, '^https?://[^/?#]+') OR page_id % 7 = 0 AS identified, true AS any_present
+@query(f"""SELECT page_id, trim({_BLANKED}) <> '' OR regexp_matches(u, '^https?://[^/?#]+') OR page_id % 7 = 0 AS identified, page_id % 7 = 0 AS any_present
 FROM (SELECT *, CASE WHEN page_id % 2 = 0 THEN 'ftp' || substr(url, 5) ELSE url END AS u FROM pages)""")
 def citation_identifier(t: Tables) -> DataFrame:
     c = t.pages.withColumn("url", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("ftp"), F.substr("url", F.lit(5)))).otherwise(F.col("url")))
     c = c.select("page_id", _citation().alias("c"))
-    present = validation.any_present(*(F.col(f"c.{k}") for k in validation.IDENTIFIERS))
+    present = validation.any_present(F.col("c.reference"), F.col("c.doi"))
     return c.select("page_id", validation.identified(F.col("c")).alias("identified"), present.alias("any_present"))
 
 
@@ -84,31 +82,34 @@ def status_summary(t: Tables) -> DataFrame:
     return sinks.status_summary(t.orders.select(status.alias("status")))
 
 
-_SPECS = [
-    ("a", {"questions": [{"id": "x", "text": " One? "}, "skip", {"question": "Two?"}, {"qid": "z", "prompt": "  "}]}),
-    ("b", {"note": 1, "things": [{"prompt": "Three?"}, {"prompt": "Four?"}]}),
-    ("c", {"questions": [], "other": [{"question": "Five?", "question_id": ""}]}),
-]
-_EXTRACTED = "(VALUES ('a', 1, 'x', 'One?'), ('a', 3, 'q3', 'Two?'), ('b', 1, 'q1', 'Three?'), ('b', 2, 'q2', 'Four?'), ('c', 1, 'q1', 'Five?')) t(spec_id, pos, question_id, question)"
+_EXTRACTED = """(SELECT p_brand AS spec_id, pos, CASE WHEN p_partkey % 5 = 0 THEN 'q' || pos ELSE p_partkey::VARCHAR END AS question_id, trim(p_name) AS question
+ FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey)::INTEGER AS pos FROM part))"""
 
 
 def _specs(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame([(k, json.dumps(v)) for k, v in _SPECS], "spec_id string, json string")
+    """A specification per brand, a question per part: some without an id, some under another name, one entry in five with blanks around."""
+    text = F.when(F.col("p_partkey") % 5 == 1, F.concat(F.lit(" "), "p_name", F.lit("\n"))).otherwise(F.col("p_name"))
+    q = F.struct(
+        F.when(F.col("p_partkey") % 5 != 0, F.col("p_partkey").cast("string")).alias("id"),
+        F.when(F.col("p_partkey") % 2 == 0, text).alias("question"), F.when(F.col("p_partkey") % 2 == 1, text).alias("text"),
+    )
+    listed = t.part.groupBy(F.col("p_brand").alias("spec_id")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", q.alias("q")))).alias("xs"))  # a specification is a row
+    return listed.select("spec_id", F.to_json(F.struct(F.transform("xs", lambda x: x["q"]).alias("questions"))).alias("json"))
 
 
-@query(f"SELECT * FROM {_EXTRACTED}")
+@query(f"SELECT * FROM {_EXTRACTED} t")
 def extract_items(t: Tables) -> DataFrame:
     return extraction.extract(_specs(t), "phase1_discovery_qa")
 
 
-@query(f"SELECT spec_id, count(*) AS n, string_agg(question_id, ',' ORDER BY pos) AS ids, '2024-01-02' AS generated_at FROM {_EXTRACTED} GROUP BY spec_id")
+@query(f"SELECT spec_id, count(*) AS n, string_agg(question_id, ',' ORDER BY pos) AS ids, '2024-01-02' AS generated_at FROM {_EXTRACTED} t GROUP BY spec_id")
 def stub_outputs(t: Tables) -> DataFrame:
     made = stubs.stub_outputs(_specs(t), "phase1_discovery_qa", "2024-01-02", country_name="X")
     q = F.from_json(F.get_json_object("json", "$.questions"), "array<struct<question_id:string>>")
     return made.select("spec_id", F.size(q).cast("long").alias("n"), F.array_join(q["question_id"], ",").alias("ids"), F.get_json_object("json", "$.generated_at").alias("generated_at"))
 
 
-@query(f"""SELECT spec_id, 'T' || chr(10) || chr(10) || '## RENDERED INPUTS (machine-generated)' AS head, string_agg(question_id || '=' || question, ';' ORDER BY pos) AS items FROM {_EXTRACTED} GROUP BY spec_id""")
+@query(f"""SELECT spec_id, 'T' || chr(10) || chr(10) || '## RENDERED INPUTS (machine-generated)' AS head, string_agg(question_id || '=' || question, ';' ORDER BY pos) AS items FROM {_EXTRACTED} t GROUP BY spec_id""")
 def prompt_render(t: Tables) -> DataFrame:
     p = prompts.job_prompt(_specs(t), "T \n", "phase1_discovery_qa", "X", "XYZ")
     parts = F.split("prompt", "\n", 4)

@@ -32,6 +32,23 @@ def read_json_strict(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.when(F.parse_json("json").isNotNull(), F.col("json")).alias("json"))
 
 
+_SNIPPET = "locator:string,text:string,type:string"
+
+
+def read_index_json(spark: SparkSession, path: str) -> DataFrame:
+    """An index from its JSON form, UTF-8 or else Windows-1252: a row per snippet, in order (``pos``), with its vector."""
+    kind = f"struct<model:string,snippets:array<struct<source_id:string,source_title:string,{_SNIPPET},embedding:array<double>>>>"
+    rows = read_json_documents(spark, path).select(F.from_json("json", kind).alias("i"))
+    return rows.select(F.col("i.model").alias("model"), F.posexplode("i.snippets").alias("pos", "s")).select("pos", "s.*", "model")
+
+
+def read_sources_json(spark: SparkSession, path: str) -> DataFrame:
+    """Sources from their JSON form: a row each, in order (``pos``), with its snippets as an array."""
+    kind = f"struct<sources:array<struct<source_id:string,source_title:string,source_type:string,reference:string,snippets:array<struct<{_SNIPPET}>>>>>"
+    rows = read_json_documents(spark, path).select(F.from_json("json", kind).alias("d"))
+    return rows.select(F.posexplode("d.sources").alias("pos", "s")).select("pos", "s.*")
+
+
 def read_templates(spark: SparkSession, path: str) -> DataFrame:
     """(template): one row per whole file."""
     return spark.read.text(path, wholetext=True).withColumnRenamed("value", "template")

@@ -18,6 +18,26 @@ def write_index(index: DataFrame, path: str, model: str) -> None:
     index.withColumn("model", F.lit(model)).write.mode("overwrite").parquet(path)
 
 
+def write_index_json(index: DataFrame, path: str, model: str) -> None:
+    """An index as one JSON text, for exchange: it has to fit in a row."""
+    place = [c for c in ("source_id", "pos", "part") if c in index.columns]
+    entry = F.struct("source_id", "source_title", "locator", "text", "type", "embedding")
+    listed = index.agg(F.array_sort(F.collect_list(F.struct(*place, entry.alias("v")))).alias("s"))
+    one = F.struct(F.lit(model).alias("model"), F.size("s").alias("snippet_count"), F.transform("s", lambda x: x["v"]).alias("snippets"))
+    write_json(listed.select(F.to_json(one).alias("json")), path)
+
+
+def write_sources_json(sources: DataFrame, path: str) -> None:
+    """Scanned sources with their snippets as one JSON text, for exchange; sources without any stay, with none."""
+    snippet = F.when(F.col("text").isNotNull(), F.struct("pos", "part", F.struct("locator", "text", "type").alias("v")))
+    kind = F.upper("source_type")
+    by = sources.groupBy("source_id", "source_title", "source_type", F.col("path").alias("file_path"), F.concat("source_title", F.lit(" ("), kind, F.lit(" document)")).alias("reference"))
+    rows = by.agg(F.transform(F.array_sort(F.collect_list(snippet)), lambda x: x["v"]).alias("snippets"))
+    number = F.regexp_extract("source_id", "[0-9]+", 0).try_cast("int")
+    one = rows.agg(F.array_sort(F.collect_list(F.struct(number.alias("n"), F.struct(*rows.columns).alias("v")))).alias("s"))
+    write_json(one.select(F.to_json(F.struct(F.transform("s", lambda x: x["v"]).alias("sources"))).alias("json")), path)
+
+
 def index_name(sources: str) -> str:
     """``x_sources.json`` -> ``x_index``."""
     stem = re.sub(r"\.[^./]+$", "", sources)
