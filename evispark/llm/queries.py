@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, pii, quality, simhash, substring_dedup, suffix_dedup, token_counts, toxicity
+from . import chat_format, exact_dedup, mixing, packing, periodic_runs, pii, quality, simhash, substring_dedup, suffix_dedup, token_counts, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(_documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_quality_rules, op4_suffix_array_dedup, op5_token_counts, op6_simhash_near_dedup, op7_best_fit_packing, op8_substring_dedup, op9_mixing, op10_pii)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.periodic_runs(periodic_runs.planted(_documents(spark, sf_dir))))
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    marks = "</s>[INST] ok [/INST]"  # a conversation that says the template's own marks
+    hostile = spark.createDataFrame([(-7, 0, "user", marks), (-7, 1, "assistant", marks)], "conv_id long, turn long, role string, text string")
+    return chat_format.read_back(chat_format.format_chat(said.unionByName(hostile)))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_quality_rules, op4_suffix_array_dedup, op5_token_counts, op6_simhash_near_dedup, op7_best_fit_packing, op8_substring_dedup, op9_mixing, op10_pii, op11_periodic_runs, op13_chat_formatting)}
 
 #: kind -> (pattern, confirmed, score, context words, threshold), as in ``pii.KINDS``. Matches ``m`` come with the text ``g`` since the one before.
 _PII_SQL = {
@@ -98,7 +109,55 @@ k AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER
 SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
 """
 
+#: CRC-32 of the decimal id, bit by bit.
+_CRC = "list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0])), lambda r, x: CASE WHEN xor(r, x) % 2 = 1 THEN xor(xor(r, x) >> 1, 3988292384) ELSE xor(r, x) >> 1 END)"
+
+
+def _runs_sql(levels: int = 24) -> str:
+    """Words that recur at the same distance as their neighbours do: where sequences of 2^k words next recur between 2^(k-1) + 1 and 2^k words on."""
+    names = ["SELECT doc_id, i, hash(w) AS g FROM u"] + [
+        f"SELECT a.doc_id, a.i, hash(a.g, b.g) AS g FROM r{k - 1} a JOIN r{k - 1} b ON a.doc_id = b.doc_id AND b.i = a.i + {1 << k - 1}" for k in range(1, levels)
+    ]
+    steps = "".join(
+        f"r{k} AS MATERIALIZED (SELECT doc_id, i, g, next FROM (SELECT doc_id, i, g, lead(i) OVER o - i AS next, lag(i) OVER o AS before FROM ({name}) WINDOW o AS (PARTITION BY doc_id, g ORDER BY i)) WHERE next IS NOT NULL OR before IS NOT NULL),\n"
+        for k, name in enumerate(names)
+    )
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, min(i) AS start, count(*) + {(1 << k) - 1} + next AS length, next AS period FROM (SELECT doc_id, i, next, i - row_number() OVER (PARTITION BY doc_id, next ORDER BY i) AS island FROM r{k} WHERE next BETWEEN {(1 << k >> 1) + 1} AND {1 << k}) GROUP BY doc_id, next, island"
+        for k in range(levels)
+    )
+    return f"""
+WITH h AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws, xor({_CRC}, 4294967295) AS h FROM documents),
+a AS (SELECT doc_id, ws, len(ws) AS n, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) END AS a, 3 + (h // 10) % 8 AS k FROM h),
+p AS (SELECT doc_id, CASE WHEN a IS NULL THEN ws ELSE list_transform(range(n), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // k) END]) END AS ws FROM a),
+u AS MATERIALIZED (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM p),
+{steps}runs AS MATERIALIZED (SELECT * FROM ({found}) WHERE length >= greatest(24, 3 * period)),
+x AS (SELECT doc_id, count(*) AS n_runs, arg_min({{'start': start, 'length': length, 'period': period}}, {{'less': -(length / period), 'start': start, 'period': period}}) AS best, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS kept FROM u ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period, 1000 * best.length // best.period AS exponent_milli,
+       sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM documents LEFT JOIN x USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+#: A turn has its marks' characters, its text's, and one escape for each mark in the text. Only roles that have marks of their own.
+_CHAT_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) r(i)
+), m AS (
+  SELECT *, CASE role WHEN 'user' THEN 13 WHEN 'system' THEN 11 ELSE 7 END + length(text) + len(regexp_extract_all(text, '<\\*/?s>|\[\\*(?:/?SYS|/?INST|/?ROLE|/TURN)\]')) AS n FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(n)::BIGINT AS formatted_chars
+FROM m GROUP BY conv_id
+"""
+
 ORACLE_SQL = {
+    "op13_chat_formatting": _CHAT_SQL,
+    "op11_periodic_runs": _runs_sql(),
     "op8_substring_dedup": _SUBSTRING_SQL,
     "op10_pii": _pii_sql(),
     "op1_exact_dedup": r"""
