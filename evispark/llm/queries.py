@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, mixing, packing, periodic_runs, pii, quality, simhash, substring_dedup, suffix_dedup, token_counts, toxicity
+from . import alignment, chat_format, exact_dedup, mixing, packing, periodic_runs, pii, quality, simhash, substring_dedup, suffix_dedup, token_counts, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(periodic_runs.periodic_runs(periodic_runs.planted(_documents(spark, sf_dir))))
 
 
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_documents(spark, sf_dir))
+
+
 def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     marks = "</s>[INST] ok [/INST]"  # a conversation that says the template's own marks
@@ -66,7 +70,7 @@ def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_chat(said.unionByName(hostile)))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_quality_rules, op4_suffix_array_dedup, op5_token_counts, op6_simhash_near_dedup, op7_best_fit_packing, op8_substring_dedup, op9_mixing, op10_pii, op11_periodic_runs, op13_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_quality_rules, op4_suffix_array_dedup, op5_token_counts, op6_simhash_near_dedup, op7_best_fit_packing, op8_substring_dedup, op9_mixing, op10_pii, op11_periodic_runs, op12_cross_tokenizer_alignment, op13_chat_formatting)}
 
 #: kind -> (pattern, confirmed, score, context words, threshold), as in ``pii.KINDS``. Matches ``m`` come with the text ``g`` since the one before.
 _PII_SQL = {
