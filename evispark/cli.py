@@ -10,7 +10,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from .operators import comparator, validation
-from .plans import jobs, prompts, schema
+from .plans import generation, jobs, prompts, schema
 from .session import get_session
 from .sources import files, registry, sinks
 
@@ -43,22 +43,23 @@ def _gate(a, j):
 def _wrong(outputs, job_id, gate):
     """What is wrong with outputs, each problem a line."""
     head = [r["path"] for r in _invalid(outputs, job_id).collect()]
-    return head + [r["error"] for r in schema.output_errors(outputs, gate.problems).collect()]
+    return head + [r["error"] for r in schema.output_errors(outputs, gate).collect()]
 
 
 def _generated(spark, a, j, who, gate):
     template = files.read_templates(spark, j.prompt_template).first()["template"]
     specs = _specs(spark, j.spec_file)
+    asking = generation.Asking(a.pause, a.store)
     if a.index:
         index = files.read_index_json(spark, a.index) if a.index.endswith(".json") else spark.read.parquet(a.index)
-        return jobs.run_rag(specs, j.job_id, index, template, _callable(a.provider), _callable(a.embedder), a.topk)
+        return jobs.run_rag(specs, j.job_id, index, template, _callable(a.provider), _callable(a.embedder), a.topk, asking)
     if a.sources.endswith(".json"):
         sources = files.read_sources_json(spark, a.sources).select("source_id", "source_title", "snippets", "pos")
     else:
         snippets = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("pos", "part", "locator", "text", "type"))))
         sources = spark.read.parquet(a.sources).groupBy("source_id", "source_title").agg(snippets.alias("snippets"))
         sources = sources.withColumn("pos", F.regexp_extract("source_id", "[0-9]+", 0).try_cast("int"))
-    return jobs.run_batches(specs, j.job_id, sources, template, _callable(a.provider), not a.no_split, problems=gate.problems, **who)
+    return jobs.run_batches(specs, j.job_id, sources, template, _callable(a.provider), not a.no_split, gate=gate, asking=asking, **who)
 
 
 def _run(spark, a, j, out, who):
@@ -81,7 +82,7 @@ def main(argv: list[str] | None = None) -> int:
     country = (opt("--country-name"), opt("--country-iso3"), opt("--generated-at", default=date.today().isoformat()))
     gates = (opt("--strict-citations", action="store_true"), opt("--allowed-sources"))
     add("validate", job, opt("--payload", required=True), opt("--registry"), *gates)
-    llm = (opt("--mode", choices=("stub", "llm"), default="stub"), opt("--provider"), opt("--embedder"), opt("--sources"), opt("--index"), opt("--no-split", action="store_true"), opt("--topk", type=int, default=40))
+    llm = (opt("--mode", choices=("stub", "llm"), default="stub"), opt("--provider"), opt("--embedder"), opt("--sources"), opt("--index"), opt("--no-split", action="store_true"), opt("--topk", type=int, default=40), opt("--pause", type=float, default=generation.PAUSE), opt("--store"))
     add("run", reg, job, out, *country, *llm, *gates)
     add("run-all", reg, out, *country, *llm, *gates)
     add("render-all", reg, out, opt("--mode", default="stub"))

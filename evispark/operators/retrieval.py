@@ -59,8 +59,13 @@ def top_k_per_query(index: DataFrame, queries: DataFrame, k: int = 20, query_id:
     return out
 
 
-def group_by_source(hits: DataFrame, rank: str = "rank") -> DataFrame:
-    """Hits regrouped: a row per source, in the order of its first hit, its snippets in rank order, the title of its first."""
-    s = F.struct(rank, "locator", "text", "type")
-    grouped = hits.groupBy("source_id").agg(F.min_by("source_title", rank).alias("source_title"), F.array_sort(F.collect_list(s)).alias("s"), F.min(rank).alias("first"))
-    return grouped.select("first", "source_id", "source_title", F.transform("s", lambda x: F.struct(x["locator"], x["text"], x["type"])).alias("snippets")).orderBy("first")
+def group_by_source(hits: DataFrame, query: list[str] | None = None, rank: str = "rank", fields: tuple[str, ...] = ("locator", "text", "type")) -> DataFrame:
+    """Hits regrouped: a row per query and source with the rank of its first hit, the title of that, and its snippets in rank order.
+
+    A query has at most k hits, so its snippets are few.
+    """
+    query = query or []
+    grouped = hits.groupBy(*query, "source_id").agg(
+        F.min(rank).alias("first"), F.min_by("source_title", rank).alias("source_title"), F.array_sort(F.collect_list(F.struct(rank, *fields))).alias("s")
+    )
+    return grouped.select(*query, "first", "source_id", "source_title", F.transform("s", lambda x: F.struct(*(x[f].alias(f) for f in fields))).alias("snippets"))

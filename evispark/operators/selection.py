@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,84 +14,77 @@ from ..functions.text import strip
 BUDGET = 80_000
 
 
-def first_fit(snippets: Column, budget: Column) -> Column:
-    """Of an array of (…, text, type): tables first, else in order, each kept if it still fits; later ones may."""
-    n = F.size(snippets)
-    ranked = F.transform(snippets, lambda s, i: F.struct((F.when(s["type"] == "table", 0).otherwise(1)).alias("k"), i.alias("i"), s.alias("s")))
-    ordered = F.sort_array(F.transform(ranked, lambda r: F.struct(r["k"], r["i"], F.length(r["s"]["text"]).alias("n"))))
-    kept = F.aggregate(
-        ordered,
-        F.struct(budget.cast("long").alias("left"), F.expr("cast(array() as array<int>)").alias("at")),
-        lambda a, x: F.when(x["n"] <= a["left"], F.struct((a["left"] - x["n"]).alias("left"), F.array_append(a["at"], x["i"]).alias("at"))).otherwise(a),
-        lambda a: a["at"],
-    )
-    return F.when(n > 0, F.transform(kept, lambda i: F.get(snippets, i))).otherwise(snippets)
+def first_fit(rows: DataFrame, group: list[str], source: list[str], place: list[str], length: str, max_chars: int = BUDGET) -> DataFrame:
+    """Of ``rows`` those that fit ``max_chars`` per group, by their lengths alone: a null length is none.
 
-
-def trim_sources(sources: DataFrame, max_chars: int = BUDGET, group: list[str] | None = None, order: str = "pos") -> DataFrame:
-    """sources (group…, pos, snippets array) cut to ``max_chars`` per group.
-
-    If all fits nothing changes. Otherwise each source may have what an equal share, or what the sources before
-    it have left, allows: a fold over the group's sources in order. Without a group all rows are one prompt.
-    A budget of nothing leaves the sources without snippets.
+    If all of a group fits, all stays. Otherwise its sources, in the order of their columns, may each have what an
+    equal share, or what the sources before have left, allows; a source's rows are tried in the order of ``place``, each
+    stays if it still fits, later ones may. Room only shrinks, so of a source's rows of one length above zero only the
+    first share / length can stay; empty ones always do. Only those candidates, whose number the budget bounds, go
+    through the fold, which streams them: no group is gathered. Nulls are values like others. A budget of nothing
+    keeps nothing.
     """
     if max_chars <= 0:
-        return sources.withColumn("snippets", F.slice("snippets", 1, 0))
-    group = group or []
-    rest = [c for c in sources.columns if c not in group]
-    size = lambda s: F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a + F.length(x["text"]))
-    prompt = sources.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(order, F.struct(*rest).alias("v")))).alias("__s"))
-    all_ = F.aggregate("__s", F.lit(0).cast("long"), lambda a, x: a + size(x["v"]["snippets"]))
-    share = F.floor(F.lit(max_chars) / F.greatest(F.size("__s"), F.lit(1)))
-    kept_type = sources.schema["snippets"].dataType.simpleString()
-
-    def step(a: Column, x: Column) -> Column:
-        kept = first_fit(x["v"]["snippets"], F.greatest(F.least(share, a["left"]), F.lit(0)))
-        return F.struct((a["left"] - size(kept)).alias("left"), F.array_append(a["done"], kept).alias("done"))
-
-    start = F.struct(F.lit(max_chars).cast("long").alias("left"), F.expr(f"cast(array() as array<{kept_type}>)").alias("done"))
-    trimmed = prompt.withColumn("__all", all_).withColumn(
-        "__k", F.when(F.col("__all") <= max_chars, F.transform("__s", lambda x: x["v"]["snippets"])).otherwise(F.aggregate("__s", start, step, lambda a: a["done"]))
-    )
-    rows = trimmed.select(*group, F.explode(F.arrays_zip("__s", "__k")).alias("x"))
-    return rows.select(*group, *(F.col(f"x.__s.v.{c}").alias(c) for c in rest if c != "snippets"), F.col("x.__k").alias("snippets"))
-
-
-def trim_rows(rows: DataFrame, max_chars: int = BUDGET) -> DataFrame:
-    """``trim_sources`` by lengths alone: of rows (lang, source, doc_id, n, k) those kept, without ``n`` and ``k``.
-
-    Each lang is a prompt, its sources in order; rows of a source by (k, doc_id). Room only shrinks, so of one
-    source's rows of one length above zero the first share / length may be kept and no others; empty rows always are.
-    Only those candidates, whose number the budget bounds, pass through the fold, which streams them.
-    A budget of nothing keeps no row.
-    """
-    if max_chars <= 0:
-        return rows.select("lang", "source", "doc_id").where("false")
-    totals = rows.groupBy("lang", "source").agg(F.sum("n").alias("chars")).groupBy("lang").agg(F.sum("chars").alias("all"), F.count(F.lit(1)).alias("sources"))
-    sized = rows.join(totals, rows["lang"].eqNullSafe(totals["lang"])).drop(totals["lang"])
-    free = sized.where((F.col("all") <= max_chars) | (F.col("n") == 0)).select("lang", "source", "doc_id")
-    share = F.floor(F.lit(max_chars) / F.col("sources"))
-    tight = sized.where((F.col("all") > max_chars) & (F.col("n") > 0)).withColumn("share", share).where("n <= share")
-    place = F.row_number().over(Window.partitionBy("lang", "source", "n").orderBy("k", "doc_id"))
-    tight = tight.withColumn("place", place).where(F.col("place") * F.col("n") <= F.col("share")).select("lang", "source", "k", "doc_id", "n", "share")
-    order = ["lang", "source", "k", "doc_id"]
+        return rows.where("false")
+    key, n = [*group, *source], F.coalesce(F.col(length), F.lit(0)).cast("long")
+    totals = rows.groupBy(*key).agg(F.sum(n).alias("__chars")).groupBy(*group).agg(F.sum("__chars").alias("__all"), F.floor(F.lit(max_chars) / F.count(F.lit(1))).alias("__share"))
+    sized = _same_key(rows.withColumn("__n", n), totals, group)
+    free = (F.col("__all") <= max_chars) | (F.col("__n") == 0)
+    tight = sized.where(~free & (F.col("__n") <= F.col("__share")))
+    nth = F.row_number().over(Window.partitionBy(*key, "__n").orderBy(*place))
+    tight = tight.withColumn("__nth", nth).where(F.col("__nth") * F.col("__n") <= F.col("__share")).drop("__nth", "__all")
+    columns, n_group, n_key = rows.columns, len(group), len(key)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, left, room = None, 0, 0
         for batch in batches:
             keep = []
-            for lang, source, n, share in zip(batch["lang"], batch["source"], batch["n"], batch["share"], strict=True):
-                if at is None or at[0] != lang:
+            for *names, size, share in zip(*(batch[c] for c in (*(f"__k{i}" for i in range(n_key)), "__n", "__share")), strict=True):
+                if at is None or at[:n_group] != names[:n_group]:
                     at, left = None, max_chars
-                if at != (lang, source):
-                    at, room = (lang, source), min(share, left)
-                keep.append(n <= room)
+                if at != names:
+                    at, room = names, min(share, left)
+                keep.append(size <= room)
                 if keep[-1]:
-                    left, room = left - n, room - n
-            yield batch.loc[keep, ["lang", "source", "doc_id"]]
+                    left, room = left - size, room - size
+            yield batch.loc[keep, columns]
+
+    # names in the fold are texts that tell nulls from values, so that they compare as they are grouped
+    shown = {f"__k{i}": F.coalesce(F.concat(F.lit("="), F.to_json(F.struct(c))), F.lit("")) for i, c in enumerate(key)}
+    dealt = tight.repartition(*group) if group else tight.coalesce(1)
+    kept = dealt.sortWithinPartitions(*key, *place).withColumns(shown).mapInPandas(fold, rows.schema)
+    return sized.where(free).select(*columns).unionByName(kept)
+
 
-    kept = tight.repartition("lang").sortWithinPartitions(*order).mapInPandas(fold, free.schema)
-    return free.unionByName(kept)
+def _same_key(left: DataFrame, right: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal ``key``, nulls being equal; without a key each row meets the one row of ``right``."""
+    if not key:
+        return left.crossJoin(F.broadcast(right))
+    other = right.withColumnsRenamed({k: f"__r_{k}" for k in key})
+    on = reduce(lambda a, b: a & b, (left[k].eqNullSafe(other[f"__r_{k}"]) for k in key))
+    return left.join(other, on, how).drop(*(f"__r_{k}" for k in key))
+
+
+def trim_sources(sources: DataFrame, max_chars: int = BUDGET, group: list[str] | None = None, order: str = "pos") -> DataFrame:
+    """sources (group…, order, source_id, snippets array) with snippets cut to ``max_chars`` per group by ``first_fit``.
+
+    Tables come before other snippets where something is cut; where all fits nothing changes. Without a group all
+    rows are one prompt. Sources, told apart by order and id, stay without snippets. Places and lengths alone are
+    folded; the texts stay where they are and meet the kept places in a join.
+    """
+    group = group or []
+    if max_chars <= 0:
+        return sources.withColumn("snippets", F.slice("snippets", 1, 0))
+    source = [order, *(["source_id"] if "source_id" in sources.columns else [])]
+    sized = F.transform("snippets", lambda s, i: F.struct(F.when(s["type"] == "table", 0).otherwise(1).alias("__t"), i.alias("__i"), F.length(s["text"]).alias("__l")))
+    rows = sources.select(*group, *source, F.inline_outer(sized))  # a source without snippets has its share too
+    kept = first_fit(rows, group, source, ["__t", "__i"], "__l", max_chars)
+    kept = kept.where(F.col("__i").isNotNull()).groupBy(*group, *source).agg(F.array_sort(F.collect_list(F.struct("__t", "__i"))).alias("__kept"))  # what fits, and empty ones
+    joined = _same_key(sources, kept, [*group, *source], "left")
+    total = rows.groupBy(*group).agg(F.coalesce(F.sum("__l"), F.lit(0)).alias("__all"))
+    joined = _same_key(joined, total, group, "left")
+    cut = F.coalesce(F.transform("__kept", lambda k: F.get(F.col("snippets"), k["__i"])), F.slice("snippets", 1, 0))
+    return joined.withColumn("snippets", F.when(F.col("__all") > max_chars, cut).otherwise(F.col("snippets"))).select(*sources.columns)
 
 
 def source_batches(sources: DataFrame, most: int = 10_000) -> DataFrame:

@@ -11,6 +11,7 @@ from ..functions.vectors import norm
 from ..operators import chunking, merging, rendering, selection, stubs, validation
 from ..sources import files, sinks
 from . import generation, prompts
+from .schema import Gate
 
 
 def scan_sources(spark: SparkSession, folder: str, readers=None, max_chars: int = chunking.MAX_CHARS) -> DataFrame:
@@ -87,28 +88,27 @@ def clean_outputs(outputs: DataFrame, job_id: str) -> DataFrame:
 
 
 def run_rag(
-    specs: DataFrame, job_id: str, index: DataFrame, template: str, provider: Callable[[str], str], embedder: Callable[[list[str]], list[list[float]]], k: int = 40
-) -> DataFrame:
+    specs: DataFrame, job_id: str, index: DataFrame, template: str, provider: Callable[[str], str], embedder: Callable[[list[str]], list[list[float]]], k: int = 40,
+    asking: generation.Asking | None = None,
+) -> DataFrame:
     """(json): per item its best snippets, a prompt and an answer; answers cleaned and merged in item order."""
     queries = generation.embed(prompts.rag_queries(specs, job_id), embedder, "query")
     queries = queries.select(F.col("pos").alias("query_id"), F.col("embedding").alias("query"), F.struct(F.col("query").alias("item")).alias("inputs"))
-    answers = generation.generate_all(prompts.rag_prompts(queries, index, template, k), provider, "query_id")
+    answers = generation.generate_all(prompts.rag_prompts(queries, index, template, k), provider, "query_id", asking=asking)
     return merge_outputs(clean_outputs(answers.select(F.col("query_id").cast("int").alias("batch"), "json"), job_id), job_id)
 
 
 def run_batches(
     specs: DataFrame, job_id: str, sources: DataFrame, template: str, provider: Callable[[str], str], split: bool = True,
-    max_snippet_chars: int = selection.BUDGET, problems: Callable[[dict], list[str]] | None = None, **country: str,
+    max_snippet_chars: int = selection.BUDGET, gate: Gate | None = None, asking: generation.Asking | None = None, **country: str,
 ) -> DataFrame:
-    """(json): one prompt per source with snippets (each with all sources without), or one for all; answers repaired, then merged."""
-    batches = [r["source_id"] for r in sources.where(F.size("snippets") > 0).select("source_id", "pos").orderBy("pos").collect()] if split else []
-    if len(batches) < 2:
+    """(json): one prompt per source with snippets (each with all sources without), or one for all; answers repaired, then merged in the sources' order."""
+    full = sources.where(F.size("snippets") > 0)
+    if not split or full.limit(2).count() < 2:
         made = prompts.job_prompt(specs, template, job_id, sources=sources, max_snippet_chars=max_snippet_chars, **country)
-        return generation.generate_all(made, provider, "spec_id", problems).select("json")
-    dealt, asked = selection.source_batches(sources), None
-    for i, b in enumerate(batches):  # as many as there are curated sources: each is a call to the provider
-        part = prompts.job_prompt(specs, template, job_id, sources=dealt.where(F.col("batch") == b).drop("batch"), max_snippet_chars=max_snippet_chars, **country)
-        part = part.select(F.lit(i).alias("batch"), "prompt")
-        asked = part if asked is None else asked.unionByName(part)
-    answers = generation.generate_all(asked, provider, "batch", problems)
-    return merge_outputs(answers.withColumn("batch", F.col("batch").cast("int")), job_id)
+        return generation.generate_all(made, provider, "spec_id", gate, asking=asking).select("json")
+    dealt = selection.source_batches(sources)
+    asked = prompts.job_prompt(specs, template, job_id, sources=dealt, max_snippet_chars=max_snippet_chars, batch="batch", **country)
+    answers = generation.generate_all(asked, provider, "batch", gate, asking=asking)
+    places = full.select(F.col("source_id").alias("batch"), "pos")
+    return merge_outputs(answers.join(places, "batch").select(F.struct("pos", "batch").alias("batch"), "json"), job_id)

@@ -38,19 +38,23 @@ def _items(specs: DataFrame, job_id: str) -> DataFrame:
 
 def job_prompt(
     specs: DataFrame, template: str, job_id: str, country_name: str | None = None, country_iso3: str | None = None,
-    sources: DataFrame | None = None, max_snippet_chars: int = selection.BUDGET,
+    sources: DataFrame | None = None, max_snippet_chars: int = selection.BUDGET, batch: str | None = None,
 ) -> DataFrame:
-    """(spec_id, prompt). ``sources`` (source_id, source_title, pos, snippets) are cut to the budget first."""
+    """(spec_id, prompt). ``sources`` (source_id, source_title, pos, snippets) are cut to the budget first.
+
+    With ``batch``, a column of ``sources``, each of its values makes a prompt: (spec_id, batch, prompt).
+    """
     if job_id in NEEDS_COUNTRY and not country_name:
         raise ValueError(f"job {job_id!r} needs a country")
     if job_id not in INPUT_KEYS:
         raise KeyError(f"unsupported job {job_id!r}")
-    rows = _items(specs, job_id)
+    rows, by = _items(specs, job_id), [batch] if batch else []
     inputs = [F.col("spec_id")]
     if sources is not None:
-        kept = selection.trim_sources(sources, max_snippet_chars)
-        one = kept.agg(F.sort_array(F.collect_list(F.struct("pos", F.struct("source_id", "source_title", "snippets").alias("v")))).alias("s"))
-        rows = rows.crossJoin(F.broadcast(one.select(F.transform("s", lambda x: x["v"]).alias("allowed"))))  # one row, within the budget
+        kept = selection.trim_sources(sources, max_snippet_chars, by)
+        each = kept.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("pos", F.struct("source_id", "source_title", "snippets").alias("v")))).alias("s"))
+        each = each.select(*by, F.transform("s", lambda x: x["v"]).alias("allowed"))
+        rows = rows.crossJoin(each if by else F.broadcast(each))  # without batches one row, within the budget
         inputs.append(F.col("allowed").alias("allowed_sources"))
     if job_id in NEEDS_COUNTRY:
         inputs += [F.lit(country_name).alias("country_name"), F.lit(country_iso3).cast("string").alias("country_iso3")]
@@ -60,7 +64,7 @@ def job_prompt(
         rows = rows.join(who.select("spec_id", F.transform("w", lambda x: F.struct(x["country_name"].alias("country_name"), x["iso3"].alias("iso3"))).alias("countries")), "spec_id")
         inputs.append(F.col("countries"))
     has = F.size("allowed") > 0 if sources is not None else None
-    return rows.select("spec_id", assemble(F.lit(template), F.struct(*inputs), has).alias("prompt"))
+    return rows.select("spec_id", *by, assemble(F.lit(template), F.struct(*inputs), has).alias("prompt"))
 
 
 def rag_queries(specs: DataFrame, job_id: str) -> DataFrame:
@@ -83,11 +87,8 @@ def rag_queries(specs: DataFrame, job_id: str) -> DataFrame:
 def rag_prompts(queries: DataFrame, index: DataFrame, template: str, k: int = 40) -> DataFrame:
     """(query_id, prompt): each query (query_id, query vector, inputs struct) with its k best snippets, regrouped by source."""
     hits = retrieval.top_k_per_query(index, queries.select("query_id", "query"), k)
-    by_source = hits.groupBy("query_id", "source_id").agg(
-        F.min_by("source_title", "rank").alias("source_title"), F.min("rank").alias("first"),
-        F.array_sort(F.collect_list(F.struct("rank", "locator", "text", "type"))).alias("s"),
-    )
-    source = F.struct("first", F.struct("source_id", "source_title", F.transform("s", lambda x: F.struct(x["locator"].alias("locator"), x["text"].alias("text"), x["type"].alias("type"))).alias("snippets")).alias("v"))
+    by_source = retrieval.group_by_source(hits, ["query_id"])
+    source = F.struct("first", F.struct("source_id", "source_title", "snippets").alias("v"))
     allowed = by_source.groupBy("query_id").agg(F.sort_array(F.collect_list(source)).alias("a"))
     allowed = allowed.select("query_id", F.transform("a", lambda x: x["v"]).alias("allowed_sources"))
     rows = queries.drop("query").join(allowed, "query_id", "left")

@@ -38,9 +38,10 @@ def retrieve_topk_per_query(t: Tables) -> DataFrame:
 
 @query(f"""WITH h AS ({_PER}) SELECT query_id, 'SRC' || label AS source_id, min(rank) AS first, string_agg(vec_id::VARCHAR, ',' ORDER BY rank) AS snippets FROM h GROUP BY ALL""")
 def retrieve_grouped(t: Tables) -> DataFrame:
-    hits = _per_query(t).select("query_id", F.concat(F.lit("SRC"), F.col("label").cast("string")).alias("source_id"), "rank", "vec_id")
-    grouped = hits.groupBy("query_id", "source_id").agg(F.min("rank").cast("long").alias("first"), F.array_sort(F.collect_list(F.struct("rank", "vec_id"))).alias("s"))
-    return grouped.select("query_id", "source_id", "first", F.array_join(F.transform("s", lambda x: x["vec_id"].cast("string")), ",").alias("snippets"))
+    source = F.concat(F.lit("SRC"), F.col("label").cast("string"))
+    hits = _per_query(t).select("query_id", source.alias("source_id"), source.alias("source_title"), "rank", "vec_id")
+    grouped = retrieval.group_by_source(hits, ["query_id"], fields=("vec_id",))
+    return grouped.select("query_id", "source_id", F.col("first").cast("long").alias("first"), F.array_join(F.transform("snippets", lambda x: x["vec_id"].cast("string")), ",").alias("snippets"))
 
 
 @query("""SELECT source AS source_id, 'd' || doc_id AS locator, length(trim(text, ' \t\n\r')) AS n, sha256(trim(text, ' \t\n\r')) AS text_hash, 'text' AS type
@@ -134,7 +135,7 @@ UNION ALL SELECT d.lang, d.source, d.doc_id FROM documents d JOIN o ON o.lang =
 """.replace("SELECT lang, source, kept AS doc_id FROM w JOIN documents ON doc_id = kept", "SELECT w.lang AS lang, source, kept AS doc_id FROM w JOIN documents ON doc_id = kept"))
 def budget_trim(t: Tables) -> DataFrame:
     rows = t.documents.select("lang", "source", "doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"), F.when(F.contains("text", F.lit("|")), 0).otherwise(1).alias("k"))
-    return selection.trim_rows(rows, _BUDGET)
+    return selection.first_fit(rows, ["lang"], ["source"], ["k", "doc_id"], "n", _BUDGET).select("lang", "source", "doc_id")
 
 
 _GENERIC = "CASE WHEN trim({m}) = '' OR regexp_matches(lower({m}), 'to be determined|placeholder|tbd') THEN {s} ELSE {s} || ' — ' || {m} END"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import extraction, stubs, validation
-from ..plans import prompts
+from ..plans import prompts, schema
 from ..sources import sinks
 from .base import Registered, Tables
 
@@ -69,6 +69,43 @@ def schema_violations(t: Tables) -> DataFrame:
     return validation.violations(t.labels, labels, ["doc_id"]).unionByName(validation.violations(t.documents, docs, ["doc_id"]))
 
 
+#: A closed schema with references, evidence of one of two forms, and citations that need an identifier.
+_TEXT = {"$ref": "#/$defs/Text"}
+_CLOSED = {
+    "type": "object", "additionalProperties": False, "required": ["job", "lang", "source", "text", "n", "evidence"],
+    "properties": {
+        "job": {"const": "x"}, "lang": {"type": "string"}, "source": {"type": "string", "pattern": "^src[0-9]$"}, "text": {"type": "string", "maxLength": 5000}, "n": {"type": "integer", "minimum": 0, "maximum": 4000},
+        "evidence": {"oneOf": [{"$ref": "#/$defs/Note"}, {"$ref": "#/$defs/Nothing"}]},
+    },
+    "$defs": {
+        "Text": {"type": "string", "minLength": 1},
+        "Cited": {"type": "object", "additionalProperties": False, "required": ["source_title", "locator"], "properties": {"source_title": _TEXT, "locator": _TEXT, "source_id": _TEXT, "doi": _TEXT}, "anyOf": [{"required": ["source_id"]}, {"required": ["doi"]}]},
+        "Note": {"type": "object", "additionalProperties": False, "required": ["quality", "rationale"], "properties": {"quality": {"enum": ["high", "medium", "low"]}, "rationale": _TEXT, "citations": {"type": "array", "items": {"$ref": "#/$defs/Cited"}}}},
+        "Nothing": {"type": "object", "additionalProperties": False, "required": ["quality", "rationale"], "properties": {"quality": {"const": "none"}, "rationale": _TEXT, "citations": {"type": "array", "maxItems": 0}}},
+    },
+}
+
+
+def _outputs(t: Tables) -> DataFrame:
+    """An output per document: some with another job, without a language, with a field too many, with evidence of neither form."""
+    i = F.col("doc_id")
+    cited = F.struct(F.lit("t").alias("source_title"), F.lit("l").alias("locator"), F.when(i % 6 < 4, "S").alias("source_id"))
+    some = F.when(i % 3 == 0, F.slice(F.array(cited), 1, 0)).when(i % 3 == 1, F.array(cited)).otherwise(F.array(cited, cited))
+    quality = F.element_at(F.array(*map(F.lit, ("none", "low", "medium", "high"))), (i % 4 + 1).cast("int"))
+    evidence = F.struct(quality.alias("quality"), F.when(i % 5 == 0, "").otherwise("r").alias("rationale"), some.alias("citations"))
+    fields = F.struct(F.when(i % 7 == 0, "y").otherwise("x").alias("job"), F.when(i % 13 != 0, F.col("lang")).alias("lang"), "source", F.coalesce("text", F.lit("")).alias("text"), F.col("n_chars").alias("n"), F.when(i % 11 == 0, 1).alias("extra"), evidence.alias("evidence"))
+    return t.documents.select("doc_id", F.to_json(fields).alias("json"))
+
+
+@query("""WITH d AS (SELECT *, doc_id % 4 = 0 AS none, doc_id % 5 <> 0 AS said, doc_id % 3 AS n_cited FROM documents)
+SELECT doc_id, '$.job' AS path FROM d WHERE doc_id % 7 = 0 UNION ALL SELECT doc_id, '$' FROM d WHERE doc_id % 13 = 0 OR lang IS NULL UNION ALL SELECT doc_id, '$' FROM d WHERE doc_id % 11 = 0
+UNION ALL SELECT doc_id, '$.source' FROM d WHERE NOT regexp_full_match(source, 'src[0-9]') UNION ALL SELECT doc_id, '$.text' FROM d WHERE length(text) > 5000 UNION ALL SELECT doc_id, '$.n' FROM d WHERE n_chars > 4000
+UNION ALL SELECT doc_id, '$.evidence' FROM d WHERE NOT (said AND CASE WHEN none THEN n_cited = 0 ELSE n_cited = 0 OR doc_id % 6 < 4 END)""")
+def schema_document(t: Tables) -> DataFrame:
+    found = schema.schema_errors(_outputs(t), _CLOSED, key=("doc_id",))
+    return found.select("doc_id", F.substring_index("error", ": ", 1).alias("path"))
+
+
 @query("SELECT doc_id, (quality = 1) OR (toxic = 0) AS valid FROM labels")
 def evidence_union_check(t: Tables) -> DataFrame:
     cites = F.when(F.col("toxic") == 1, F.array(F.lit("c"))).otherwise(F.expr("cast(array() as array<string>)"))

@@ -6,7 +6,7 @@ from evispark.operators import selection
 def test_rows_are_trimmed_as_a_plain_fold_does(spark):
     r = random.Random(15)
     rows = [(lang, s, i * 10 + j, r.choice([0, 1, 2, 5, 9, 40]), r.randrange(2)) for i, (lang, s) in enumerate([("a", "x"), ("a", "y"), ("a", "z"), ("b", "x")]) for j in range(0, 10 if lang == "a" else 2)]
-    got = selection.trim_rows(spark.createDataFrame(rows, "lang string, source string, doc_id long, n long, k int"), 100)
+    got = selection.first_fit(spark.createDataFrame(rows, "lang string, source string, doc_id long, n long, k int"), ["lang"], ["source"], ["k", "doc_id"], "n", 100)
     assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
     want = []
     for lang in "ab":

@@ -60,15 +60,17 @@ def test_answers_are_repaired(spark, folder):
     assert cli.main(["run-all", *args, "--out", str(folder / "o2")]) == 0
     assert cli.main(["run-all", *args, "--out", str(folder / "o3"), "--allowed-sources", "SRC9"]) == 1
     with pytest.raises(ValueError):
-        generation.generate_valid(fake_provider.broken, "p", lambda v: [])
+        generation.generate_all(spark.createDataFrame([("a", "p")], "k string, prompt string"), fake_provider.broken, "k", schema.Gate())
 
 
-def test_the_gate_looks_at_citations_once_the_schema_holds():
+def test_the_gate_looks_at_citations_once_the_schema_holds(spark):
     gate = schema.Gate(schema.Schema({"required": ["a"]}), True, frozenset(["S"]))
     cite = lambda **k: {"a": [{"c": {"source_title": "t", "locator": "l", **k}}]}
-    assert gate.problems({}) == ["$: 'a' is a required property"]
-    assert gate.problems(cite(isbn="1")) == ["$.a[0].c: source None is not allowed"]
-    assert gate.problems(cite()) == ["$.a[0].c: no identifier of the source"] and not gate.problems(cite(source_id="S"))
+    rows = [{}, cite(isbn="1"), cite(), cite(source_id="S"), cite(source_url="ftp://a.b"), cite(source_url=" https://a.b/c\n", source_id="S"), cite(source_id=7)]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(rows)], "n int, json string")
+    got = {r["n"]: r["problems"] for r in schema.with_problems(df, gate).collect()}
+    nothing, other = ["$.a[0].c: no identifier of the source"], ["$.a[0].c: source (none) is not allowed"]
+    assert got == {0: ["$: 'a' is a required property"], 1: other, 2: nothing, 3: [], 4: nothing, 5: [], 6: nothing}
 
 
 def test_json_forms(spark, tmp_path):
@@ -128,7 +130,7 @@ def test_no_budget_keeps_nothing(spark):
     kind = "array<struct<locator:string,text:string,type:string>>"
     sources = spark.createDataFrame([("S", 0, [("l", "", "text"), ("m", "x", "table")])], f"source_id string, pos int, snippets {kind}")
     assert selection.trim_sources(sources, 0).first()["snippets"] == []
-    assert selection.trim_rows(spark.createDataFrame([("a", "b", 1, 0, 0)], "lang string, source string, doc_id long, n long, k int"), 0).count() == 0
+    assert selection.first_fit(spark.createDataFrame([("a", "b", 1, 0, 0)], "lang string, source string, doc_id long, n long, k int"), ["lang"], ["source"], ["k"], "n", 0).count() == 0
 
 
 def test_codes_without_a_name_stay(spark):
