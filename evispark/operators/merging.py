@@ -1,7 +1,9 @@
 """Merging partial outputs: an N-way full outer join on item ids with an ordered fold per item.
 
 The folds depend on order, so they are expressions over an item's array of parts in batch order: one shuffle by
-item id. An item has at most one part per batch and position, so the arrays are short.
+item id. An item has at most one part per batch and position, so the arrays are short as a rule; where an item has very
+many parts, a fold's time still grows with their number and size, not with its square: kept texts are listed and joined
+once, arrays are told apart by hashing or sorting.
 """
 
 from __future__ import annotations
@@ -45,28 +47,51 @@ def quality_rank(q: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in QUALITY.items() for x in kv)), q), F.lit(0))
 
 
-def fold_text(parts: Column) -> Column:
-    """Texts in order: each that isn't empty and differs from what has accumulated is appended after a blank line."""
-    filled = F.transform(parts, lambda x: F.coalesce(x, F.lit("")))
-    return F.aggregate(
-        filled, F.lit(""), lambda acc, x: F.when((x == "") | (x == acc), acc).when(acc == "", x).otherwise(F.concat(acc, F.lit("\n\n"), x))
-    )
+def fold_text(parts: Column, separator: str = "\n\n") -> Column:
+    """Texts in order: each that isn't empty and differs from what has accumulated is appended after the separator.
+
+    What has accumulated starts with the first text, so only a text that is the first, or starts with it and the
+    separator, can be the same. Without any such text all are joined at once; else they are folded one by one.
+    """
+    def one_by_one(filled: Column) -> Column:
+        return F.aggregate(filled, F.lit(""), lambda acc, x: F.when(x == acc, acc).when(acc == "", x).otherwise(F.concat(acc, F.lit(separator), x)))
+
+    def fold(filled: Column, first: Column) -> Column:
+        rest = F.slice(filled, F.lit(2), F.greatest(F.size(filled), F.lit(1)))
+        like = _let(F.concat(first, F.lit(separator)), lambda start: F.exists(rest, lambda x: (x == first) | F.startswith(x, start)))
+        return F.when(F.coalesce(like, F.lit(False)), one_by_one(filled)).otherwise(F.array_join(filled, separator))
+
+    return _let(F.filter(parts, lambda x: F.coalesce(x != "", F.lit(False))), lambda filled: _let(F.get(filled, F.lit(0)), lambda first: fold(filled, first)))
 
 
 def fold_strings(parts: Column) -> Column:
-    """Arrays in order: what isn't there yet is added once; while nothing is there, an array comes whole, repeats included."""
+    """Arrays in order: what isn't there yet is added once; the first that isn't empty comes whole, repeats included."""
     none = F.expr("cast(array() as array<string>)")
-    return F.aggregate(
-        parts, none, lambda acc, x: F.when(F.size(acc) > 0, F.concat(acc, F.array_except(F.coalesce(x, none), acc))).otherwise(F.coalesce(x, none))
-    )
+
+    def fold(filled: Column) -> Column:
+        first = F.coalesce(F.get(filled, F.lit(0)), none)
+        return F.concat(first, F.array_except(F.flatten(F.slice(filled, F.lit(2), F.greatest(F.size(filled), F.lit(1)))), first))
+
+    return _let(F.filter(parts, lambda x: F.coalesce(F.size(x), F.lit(0)) > 0), fold)
 
 
 def fold_objects(parts: Column, element: str) -> Column:
-    """Arrays of other things than texts in order: those that aren't there yet are added, with what repeats among them."""
+    """Arrays of other things than texts in order: those that aren't there yet are added, with what repeats among them.
+
+    Sorted, equal things stand together, those of the first array that has them in front: these stay, in their order.
+    """
     none = F.expr("array()").cast(f"array<{element}>")
-    return F.aggregate(
-        parts, none, lambda acc, x: F.concat(acc, F.filter(F.coalesce(x, none), lambda v: ~F.exists(acc, lambda y: y.eqNullSafe(v))))
-    )
+    placed = F.flatten(F.transform(parts, lambda p, i: F.transform(F.coalesce(p, none), lambda v, j: F.struct(v.alias("v"), i.alias("i"), j.alias("j")))))
+
+    def kept(s: Column) -> Column:
+        heads = F.transform(s, lambda x, n: F.when((n == 0) | ~F.get(s, n - 1)["v"].eqNullSafe(x["v"]), n).otherwise(-1))
+        # the last head up to each place: steps of 1, 2, 4, ... places
+        steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(s), F.lit(2)))).cast("int"))
+        upto = F.aggregate(steps, heads, lambda h, k: F.transform(h, lambda y, n: F.greatest(y, F.coalesce(F.get(h, n - F.pow(F.lit(2), k).cast("int")), F.lit(-1)))))
+        first = _let(upto, lambda h: F.filter(s, lambda x, n: F.get(s, F.get(h, n))["i"] == x["i"]))
+        return F.transform(F.array_sort(F.transform(first, lambda x: F.struct(x["i"].alias("i"), x["j"].alias("j"), x["v"].alias("v")))), lambda x: x["v"])
+
+    return _let(F.array_sort(placed), kept)
 
 
 def _citation_key(c: Column) -> Column:
@@ -102,11 +127,8 @@ def fold_evidence(parts: Column, citation_type: str) -> Column:
 
     def joined(some: Column) -> Column:
         best = F.aggregate(some, F.get(some, F.lit(0))["quality"], lambda q, x: F.when(quality_rank(x["quality"]) > quality_rank(q), x["quality"]).otherwise(q))
-        said = F.aggregate(
-            F.slice(some, F.lit(2), F.size(some)), F.get(some, F.lit(0))["rationale"],
-            lambda r, x: F.when(F.coalesce(x["rationale"], F.lit("")).isin("") | (x["rationale"] == F.coalesce(r, F.lit(""))), r)
-            .when(F.coalesce(r, F.lit("")) == "", x["rationale"]).otherwise(F.concat(r, F.lit(" "), x["rationale"])),
-        )
+        first = F.get(some, F.lit(0))["rationale"]
+        said = _let(fold_text(F.transform(some, lambda x: x["rationale"]), " "), lambda r: F.when(r == "", first).otherwise(r))
         cited = F.flatten(F.transform(some, lambda x: F.coalesce(x["citations"], F.array().cast(f"array<{citation_type}>"))))
         return F.struct(best.alias("quality"), said.alias("rationale"), dedup_citations(cited).alias("citations")).cast(evidence_type)
 
@@ -124,25 +146,31 @@ def merge_items(
     """One row per item (within ``group``): texts, arrays and evidence folded in (batch, pos) order, other fields from its first part.
 
     Parts without an id are dropped. ``item_order`` numbers the items of a group as the first batch has them, then
-    as they first appear: a struct (batch, pos) to sort by.
+    as they first appear: a struct (batch, pos) to sort by. Of equal (batch, pos) the smaller values come first. Only
+    parts that add something are gathered, and nothing is where there is nothing to fold.
     """
     rest = [c for c in parts.columns if c not in (*group, id_col, *text_cols, *array_cols, evidence_col, batch, pos)]
-    rows = parts.where(F.col(id_col).isNotNull() & (F.col(id_col) != ""))
-    fields = [*text_cols, *array_cols, *([evidence_col] if evidence_col else []), *rest]
-    part = F.struct(batch, pos, F.struct(*fields).alias("v"))
-    grouped = rows.groupBy(*group, id_col).agg(F.sort_array(F.collect_list(part)).alias("__p"))
-    each = lambda c: F.transform("__p", lambda p: p["v"][c])
-    out = [*group, id_col, F.struct(F.col("__p")[0][batch].alias("batch"), F.col("__p")[0][pos].alias("pos")).alias("item_order")]
+    rows, at = parts.where(F.col(id_col).isNotNull() & (F.col(id_col) != "")), F.struct(batch, pos)
+    held = {c: F.col(c) != "" for c in text_cols} | {c: F.size(c) > 0 for c in array_cols} | ({evidence_col: F.col(evidence_col).isNotNull()} if evidence_col else {})
+    gathered = [F.sort_array(F.collect_list(F.when(some, F.struct(batch, pos, F.col(c).alias("v"))))).alias(c) for c, some in held.items()]
+    firsts = [F.min_by(F.struct(*rest), F.struct(batch, pos, *rest)).alias("__rest")] if rest else []
+    grouped = rows.groupBy(*group, id_col).agg(F.min(at.cast(_order_type(parts, batch, pos))).alias("item_order"), *gathered, *firsts)
+    each = lambda c: F.transform(c, lambda p: p["v"])
+    out = [*group, id_col, "item_order"]
     out += [fold_text(each(c)).alias(c) for c in text_cols]
     element = lambda c: parts.schema[c].dataType.elementType.simpleString()
     out += [(fold_strings(each(c)) if element(c) == "string" else fold_objects(each(c), element(c))).alias(c) for c in array_cols]
     if evidence_col:
         citation = parts.schema[evidence_col].dataType["citations"].dataType.elementType.simpleString()
         out.append(fold_evidence(each(evidence_col), citation).alias(evidence_col))
-    out += [F.col("__p")[0]["v"][c].alias(c) for c in rest]
+    out += [F.col("__rest")[c].alias(c) for c in rest]
     return grouped.select(*out)
 
 
+def _order_type(parts: DataFrame, batch: str, pos: str) -> str:
+    return f"struct<batch:{parts.schema[batch].dataType.simpleString()},pos:{parts.schema[pos].dataType.simpleString()}>"
+
+
 def latest_per_group(df: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
     """The row with the latest time of each key; of equal times that with the greatest ``tie``.
 

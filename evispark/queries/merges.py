@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import merging
@@ -56,12 +56,25 @@ def merge_evidence_quality(t: Tables) -> DataFrame:
 @query("""WITH p AS (SELECT role AS item, conv_id % 3 AS grp, min(struct_pack(b := turn, p := conv_id)) AS f, count(*) AS n FROM conversations GROUP BY ALL)
 SELECT grp, item, f.b AS batch, f.p AS pos, row_number() OVER (PARTITION BY grp ORDER BY f) AS place FROM p""")
 def merge_first_order(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
     parts = t.conversations.select((F.col("conv_id") % 3).alias("grp"), F.col("role").alias("item"), F.col("turn").alias("batch"), F.col("conv_id").alias("pos"))
-    first = parts.groupBy("grp", "item").agg(F.min(F.struct("batch", "pos")).alias("item_order"))
+    merged = merging.merge_items(parts, "item", group=("grp",))
     place = F.row_number().over(Window.partitionBy("grp").orderBy("item_order")).cast("long")
-    return first.select("grp", "item", "item_order.batch", "item_order.pos", place.alias("place"))
+    return merged.select("grp", "item", "item_order.batch", "item_order.pos", place.alias("place"))
+
+
+_OBJECTS = """WITH e AS (SELECT source AS item, n_chars AS batch, doc_id AS pos, unnest([{'k': lang, 'n': doc_id % 50}, {'k': lang, 'n': n_chars % 30}, {'k': lang, 'n': doc_id % 50}]) AS v, unnest([0, 1, 2]) AS j FROM documents),
+f AS (SELECT *, min(struct_pack(b := batch, p := pos)) OVER (PARTITION BY item, v) AS first FROM e)
+SELECT item, string_agg(v.k || v.n, ',' ORDER BY batch, pos, j) AS risks, count(*) AS n FROM f WHERE first = struct_pack(b := batch, p := pos) GROUP BY item"""
+
+
+@query(_OBJECTS)
+def merge_objects(t: Tables) -> DataFrame:
+    v = lambda n: F.struct(F.col("lang").alias("k"), n.alias("n"))
+    risks = F.array(v(F.col("doc_id") % 50), v(F.col("n_chars") % 30), v(F.col("doc_id") % 50))
+    parts = t.documents.select(F.col("source").alias("item"), F.col("n_chars").alias("batch"), F.col("doc_id").alias("pos"), risks.alias("risks"))
+    merged = merging.merge_items(parts, "item", (), ("risks",))
+    shown = F.transform("risks", lambda x: F.concat(x["k"], x["n"].cast("string")))
+    return merged.select("item", F.array_join(shown, ",").alias("risks"), F.size("risks").cast("long").alias("n"))
 
 
 @query("SELECT source, lang, n_chars, min(doc_id) AS doc_id FROM documents GROUP BY source, lang, n_chars")
