@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..functions.vectors import cosine, doubles, norm
+from .search import Report, nearest
 
 
 def flatten_snippets(sources: DataFrame) -> DataFrame:
@@ -37,26 +40,16 @@ def top_k(index: DataFrame, query: list[float], k: int = 20, pos: str = "pos") -
     return scored.drop("embedding", "norm").orderBy(F.desc("score"), pos).limit(k)
 
 
-def top_k_per_query(index: DataFrame, queries: DataFrame, k: int = 20, query_id: str = "query_id", pos: str = "pos", most: int = 10_000) -> DataFrame:
+def top_k_per_query(index: DataFrame, queries: DataFrame, k: int = 20, query_id: str = "query_id", pos: str = "pos", most: int = 2_000, report: Report | None = None) -> DataFrame:
     """The k most similar rows for each row of ``queries`` (query_id, query array): adds ``score`` and ``rank``.
 
-    The scan is exact: every query meets every row. Up to ``most`` queries are broadcast; beyond it they are
-    taken in blocks of that many, one after another, so what is broadcast is bounded. Window group limits keep
-    k rows per query in each task before the shuffle.
+    The result is that of a full scan; whole chunks that can't hold one of a query's k best are skipped (see ``search``;
+    ``report`` counts them). Up to ``most`` queries are sent to all tasks; beyond it they are taken in blocks of about
+    that many, one after another, so what is sent is bounded. Query ids are different and not null.
     """
-    n = queries.count()
-    blocks = -(-n // most) or 1
-    order = Window.partitionBy(query_id).orderBy(F.desc("score"), pos)
-    rows = with_vector(index).withColumn("__v", doubles(F.col("embedding")))
-    rows = rows.withColumn("__n", F.col("norm") if "norm" in index.columns else norm(F.col("__v"))).drop("embedding", "norm")
-    q = queries.select(query_id, doubles(F.col("query")).alias("__q")).withColumn("__qn", norm(F.col("__q")))
-    out = None
-    for b in range(blocks):
-        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)
-        scored = rows.crossJoin(F.broadcast(part)).withColumn("score", cosine(F.col("__v"), F.col("__q"), F.col("__n"), F.col("__qn")))
-        best = scored.drop("__v", "__n", "__q", "__qn").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        out = best if out is None else out.unionByName(best)
-    return out
+    blocks = -(-queries.count() // most) or 1
+    parts = [queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, (nearest(index, part, k, query_id, pos, report) for part in parts))
 
 
 def group_by_source(hits: DataFrame, query: list[str] | None = None, rank: str = "rank", fields: tuple[str, ...] = ("locator", "text", "type")) -> DataFrame:
