@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import numbered
-from .windows import Words, covered, repeated_windows, sliced, with_runs
+from .windows import Words, covered, repeated_windows, sliced, with_copies, with_runs
 
 LENGTH, GRAM, CHUNK = 50, 12, 5 << 19
 #: A failed match is tried again from so many words beyond the word it failed at, to skip the ends between.
@@ -167,6 +167,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Defined results: null text has no words; texts shorter than a window stay whole; null ids come after all
     others; rows with one id aren't earlier than each other; an empty table gives no rows; other columns are ignored.
+    Texts are whole, however long; one that repeats itself is compared by its first period alone.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = numbered(docs, F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
@@ -178,9 +179,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in sliced(batches):
             out = []
-            for row, doc, t, first, last in zip(*(batch[c] for c in ("row_no", "id", "t", "first", "last")), strict=True):
+            for row, doc, t, first, last, copies in zip(*(batch[c] for c in ("row_no", "id", "t", "first", "last", "copies")), strict=True):
                 w = t.encode("utf-8", "surrogatepass").split()
-                spans = covered(first, last, length) if first is not None else []
+                spans = covered(*with_copies(first, last, copies, False), length)
                 kept = [x for p, q in zip([0, *(e for _, e in spans)], [*(b for b, _ in spans), len(w)], strict=True) for x in w[p:q]]
                 out.append((row, doc, b" ".join(kept).decode("utf-8", "surrogatepass"), len(w), len(w) - len(kept)))
             yield pd.DataFrame(out, columns=["row_no", "id", "kept", "n_words", "n_removed"])

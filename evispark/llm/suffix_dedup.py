@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import numbered
-from .windows import _BASE, Bytes, covered, powers, prefix_hashes, repeated_windows, sliced, with_runs
+from .windows import _BASE, Bytes, covered, powers, prefix_hashes, repeated_windows, sliced, with_copies, with_runs
 
 LENGTH, GRAM, CHUNK = 400, 64, 2 << 20
 
@@ -175,6 +175,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Defined results: null text is empty and keeps its no bytes; texts shorter than ``length`` stay whole;
     repeated rows remove each other; an empty table gives no rows; null ids stay null; other columns are ignored.
+    Texts are whole, however long: a task holds one with its hashes (some 100 bytes a byte, at most 4 MB of it at
+    once); one that repeats itself, as a run of one byte does, is compared by its first period alone.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = numbered(docs, F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
@@ -186,9 +188,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in sliced(batches):
             out = []
-            for row, doc, t, first, last, shared in zip(*(batch[c] for c in ("row_no", "id", "t", "first", "last", "n_shared")), strict=True):
+            for row, doc, t, first, last, shared, copies in zip(*(batch[c] for c in ("row_no", "id", "t", "first", "last", "n_shared", "copies")), strict=True):
                 b = t.encode("utf-8", "surrogatepass")
-                spans = covered(first, last, length) if first is not None else []
+                spans = covered(*with_copies(first, last, copies, True), length)
                 kept = b"".join(b[x:y] for x, y in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(b)], strict=True))
                 out.append((row, doc, kept, len(b), len(b) - len(kept), [{"start": x, "end": y} for x, y in spans], 0 if pd.isna(shared) else int(shared)))
             yield pd.DataFrame(out, columns=["row_no", "id", "kept", "n_bytes", "n_removed", "spans", "n_shared"])

@@ -4,7 +4,9 @@ A window is ``length`` consecutive units (bytes or words) of one document. Its *
 least hashed gram; equal windows have equal anchors at equal offsets. So it is enough to compare documents
 around anchors whose gram occurs again:
 
-1. every document's anchors are listed, as numbers; grams that occur once are settled by counting;
+1. every document's anchors are listed, as numbers; grams that occur once are settled by counting. Where a document
+   repeats itself with a period, as a run of one byte does, only the windows of the first period are listed: the
+   others are copies of them, noted as one stretch;
 2. documents with other anchors give, per anchor, its *context*: the units of all windows that have it;
 3. equal contexts are combined. What only some windows of different contexts share is found by a *matcher*
    (suffix sort or FM-index), per shard of whole anchor groups;
@@ -15,6 +17,7 @@ around anchors whose gram occurs again:
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,6 +32,8 @@ from .common import BROADCAST_ROWS, checked_broadcast, join_hot, materialise, se
 SEGMENT = 1 << 22
 #: Different contexts of one anchor that go to a matcher together. Beyond it, ranges of offsets this wide.
 LARGE = 256
+#: Bytes of contexts that are given on at once.
+MADE = 8 << 20
 
 
 def widths(length: int) -> tuple[int, int]:
@@ -79,9 +84,8 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(backward[:n], forward[w - 1 : w - 1 + n])
 
 
-def anchors(units: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(gram hash, anchor, first window, last window) for each run of windows that share an anchor."""
-    out = []
+def anchors(units: np.ndarray, length: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(gram hash, anchor, first window, last window) for each run of windows that share an anchor, segment by segment."""
     for at in range(0, max(1, len(units) - length + 1), SEGMENT):
         part = units[at : at + SEGMENT + length - 1]
         if len(part) < length:
@@ -92,11 +96,86 @@ def anchors(units: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndar
         first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
         last = np.r_[first[1:], len(least)] - 1
         a = least[first].astype(np.int64)
-        out.append((g[a].view(np.int64), a + at, first + at, last + at))
-    if not out:
-        none = np.zeros(0, dtype=np.int64)
-        return none, none, none, none
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        yield g[a].view(np.int64), a + at, first + at, last + at
+
+
+def copied(hashes: np.ndarray, same: Callable[[int, int, int], bool], anchored: tuple, length: int) -> list[tuple[int, int, int]]:
+    """(first, last, period): stretches of windows each of which equals the one a period before, in order and apart.
+
+    Looked for where anchors of one gram follow at one distance, among their windows. ``same(x, y, n)`` compares n
+    units from x with those from y, for what equal hashes propose. What a stretch repeats is never in a stretch itself.
+    """
+    key, a, first, last = anchored
+    step = np.where(key[1:] == key[:-1], a[1:] - a[:-1], 0)
+    cut = np.flatnonzero(np.r_[True, step[1:] != step[:-1], True])[: len(step) + 1]
+    out, free = [], 0  # the first anchor that no stretch has used
+    for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        p, x = int(step[x]), max(x, free)
+        lo, hi = int(first[x]), int(last[y])
+        if p <= 0 or x >= y or hi - lo < p:
+            continue
+        free = y + 1
+        wrong = np.flatnonzero(hashes[lo : hi + length - p] != hashes[lo + p : hi + length])
+        start = np.r_[0, wrong + 1]
+        end = np.r_[wrong, hi + length - p - lo] - length
+        for s, e in zip(start[end >= start].tolist(), end[end >= start].tolist(), strict=True):
+            if same(lo + s, lo + s + p, e - s + length):
+                out.append((lo + s + p, lo + e + p, p))
+    return out
+
+
+def uncopied(anchored: tuple, copies: list[tuple[int, int, int]]) -> tuple:
+    """The anchors with their windows less those in the stretches."""
+    if not copies:
+        return anchored
+    key, a, first, last = anchored
+    starts, ends = (np.array([c[i] for c in copies]) for i in (0, 1))
+    near = np.searchsorted(ends, first)
+    touched = (near < len(ends)) & (starts[np.minimum(near, len(ends) - 1)] <= last)
+    inside = touched & (starts[np.minimum(near, len(ends) - 1)] <= first) & (ends[np.minimum(near, len(ends) - 1)] >= last)
+    pieces = [(i, first[i], last[i]) for i in np.flatnonzero(~touched).tolist()]
+    for i in np.flatnonzero(touched & ~inside).tolist():
+        s, j = int(first[i]), int(near[i])
+        while j < len(ends) and starts[j] <= last[i]:
+            if s < starts[j]:
+                pieces.append((i, s, int(starts[j]) - 1))
+            s, j = int(ends[j]) + 1, j + 1
+        if s <= last[i]:
+            pieces.append((i, s, int(last[i])))
+    pieces.sort()
+    i, s, e = (np.array([x[k] for x in pieces], dtype=np.int64) for k in range(3))
+    return key[i], a[i], s, e
+
+
+def with_copies(first, last, copies, every: bool) -> tuple[list[int], list[int]]:
+    """Runs of windows with those of copies: all windows of a stretch and of what it repeats, or those that repeat a run's.
+
+    ``first``, ``last``: runs of windows that occur again, or null. ``every``: whatever is repeated in the text itself counts.
+    """
+    runs = sorted(zip(first, last, strict=True)) if first is not None else []
+    if copies is None or not len(copies):
+        return [x for x, _ in runs], [y for _, y in runs]
+    if every:
+        more = [(c["first"] - c["period"], c["last"]) for c in copies]
+    else:
+        more, ends = [], []
+        for x, y in runs:  # apart, so that ends are in order
+            if ends and x <= ends[-1][1] + 1:
+                ends[-1][1] = max(ends[-1][1], y)
+            else:
+                ends.append([x, y])
+        reach = [y for _, y in ends]
+        for c in copies:
+            at, stop, p = c["first"] - c["period"], c["last"], c["period"]
+            k = bisect_left(reach, at)
+            while k < len(ends) and ends[k][0] < at + p:
+                x, y = max(ends[k][0], at), min(ends[k][1], at + p - 1)
+                if y - x + 1 == p:
+                    more.append((at, stop))
+                else:
+                    more += [(s, min(s + y - x, stop)) for s in range(x + p, stop + 1, p)]
+                k += 1
+    return [x for x, _ in (*runs, *more)], [y for _, y in (*runs, *more)]
 
 
 class Bytes:
@@ -113,6 +192,9 @@ class Bytes:
     def join(self, units: bytes) -> bytes:
         return units
 
+    def same(self, units: bytes, x: int, y: int, n: int) -> bool:
+        return True  # each byte has a hash of its own
+
 
 class Words:
     """Units are words: runs without ASCII white space."""
@@ -135,6 +217,9 @@ class Words:
     def join(self, units: list[bytes]) -> bytes:
         return b" ".join(units)
 
+    def same(self, units: list[bytes], x: int, y: int, n: int) -> bool:
+        return all(units[x + i] == units[y + i] for i in range(n))
+
 
 def sliced(batches: Iterator[pd.DataFrame], rows: int = 200) -> Iterator[pd.DataFrame]:
     """Batches in slices, so that what is made of one stays small."""
@@ -227,8 +312,8 @@ def _runs(items: DataFrame, units, matcher: Matcher, length: int, earlier: bool,
 def repeated_windows(
     docs: DataFrame, units_type, matcher: Matcher, length: int, gram: int, earlier: bool, chunk: int, large: int = LARGE
 ) -> DataFrame:
-    """(row_no, first, last, n_shared): arrays of the runs of windows that occur again, and the number of the
-    row's anchors whose gram another order has too; per row with any of them.
+    """(row_no, first, last, n_shared, copies): arrays of the runs of windows that occur again, the number of the
+    row's anchors whose gram another order has too, and the stretches of copies (see ``with_copies``); per row with any.
 
     docs: row_no, ord (long; with ``earlier`` only occurrences in rows of a smaller ord count), t (text).
     """
@@ -236,46 +321,60 @@ def repeated_windows(
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         units = units_type()
         for batch in sliced(batches):
-            found, n, rows, orders = [], [], [], []
+            found, n, rows, orders, periods = [], [], [], [], []
             for row, ord_, t in zip(batch["row_no"], batch["ord"], batch["t"], strict=True):
                 u = units.split(t.encode("utf-8", "surrogatepass"))
-                if len(u) >= length:
-                    found.append(anchors(units.hashes(u), length, gram))
+                hashes = units.hashes(u) if len(u) >= length else None
+                for some in anchors(hashes, length, gram) if hashes is not None else ():
+                    copies = copied(hashes, lambda x, y, m, u=u: units.same(u, x, y, m), some, length)
+                    some = uncopied(some, copies)
+                    c0, c1, p = np.array(copies, dtype=np.int64).reshape(-1, 3).T
+                    found.append([np.r_[x, y] for x, y in zip(some, (0 * p, 0 * p, c0, c1), strict=True)])
+                    periods.append(np.r_[0 * some[0], p])
                     n.append(len(found[-1][0]))
                     rows.append(row)
                     orders.append(ord_)
             if found:
                 key, a, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pd.DataFrame({"row_no": np.repeat(rows, n), "ord": np.repeat(orders, n), "key": key, "a": a, "first": first, "last": last})
+                yield pd.DataFrame({"row_no": np.repeat(rows, n), "ord": np.repeat(orders, n), "key": key, "a": a, "first": first, "last": last, "period": np.concatenate(periods)})
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         units = units_type()
+        columns = ["pid", "ord", "key", "ctx", "a", "n_windows"]
         for batch in sliced(batches):
-            out = []
+            out, size = [], 0
             for row, ord_, t, *found in zip(*(batch[c] for c in ("row_no", "ord", "t", "key", "a", "first", "last")), strict=True):
                 u = units.split(t.encode("utf-8", "surrogatepass"))
                 for key, a, first, last in zip(*(x.tolist() for x in found), strict=True):
                     out.append((f"{row} {first}", ord_, key, units.join(u[first : last + length]), a - first, last - first + 1))
-            yield pd.DataFrame(out, columns=["pid", "ord", "key", "ctx", "a", "n_windows"])
+                    size += len(out[-1][3])
+                    if size > MADE:
+                        yield pd.DataFrame(out, columns=columns)
+                        out, size = [], 0
+            yield pd.DataFrame(out, columns=columns)
 
     rows = docs.select("row_no", "ord", "t")
 
     def anchored() -> DataFrame:
-        listing = materialise(rows.mapInPandas(listed, "row_no long, ord long, key long, a int, first int, last int"))
+        every = materialise(rows.mapInPandas(listed, "row_no long, ord long, key long, a int, first int, last int, period int"))
+        listing = every.where("period = 0").drop("period")
         again = listing.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("lo"), F.max("ord").alias("hi"))
         again = materialise(again.where("lo < hi" if earlier else "n > 1").select("key", "n", (F.col("lo") < F.col("hi")).alias("others")))
         met = join_hot(listing, again, "key", "n", listing.count())
-        return met.groupBy("row_no").agg(F.collect_list(F.struct("key", "a", "first", "last")).alias("found"), F.sum(F.col("others").cast("int")).cast("long").alias("n_shared"))
+        met = met.groupBy("row_no").agg(F.collect_list(F.struct("key", "a", "first", "last")).alias("found"), F.sum(F.col("others").cast("int")).cast("long").alias("n_shared"))
+        copies = every.where("period > 0").groupBy("row_no").agg(F.collect_list(F.struct("first", "last", "period")).alias("copies"))
+        return met.join(copies, "row_no", "full")
 
     found = settled(anchored)
-    some = rows.join(checked_broadcast(found.select("row_no"), 1_000_000), "row_no", "left_semi")
-    places = found.select("row_no", *(F.col(f"found.{c}").alias(c) for c in ("key", "a", "first", "last")))
+    met = found.where("found IS NOT NULL")
+    some = rows.join(checked_broadcast(met.select("row_no"), 1_000_000), "row_no", "left_semi")
+    places = met.select("row_no", *(F.col(f"found.{c}").alias(c) for c in ("key", "a", "first", "last")))
     items = some.join(places, "row_no").mapInPandas(contexts, "pid string, ord long, key long, ctx binary, a int, n_windows int")
     runs = _runs(items, units_type(), matcher, length, earlier, chunk, large)
     at = F.split("pid", " ")[1].cast("long")
     runs = runs.select(F.split("pid", " ")[0].cast("long").alias("row_no"), F.struct((F.col("first") + at).alias("first"), (F.col("last") + at).alias("last")).alias("run"))
     runs = runs.groupBy("row_no").agg(F.collect_set("run").alias("runs"))
-    return found.select("row_no", "n_shared").join(runs, "row_no", "left").select("row_no", F.col("runs.first").alias("first"), F.col("runs.last").alias("last"), "n_shared")
+    return found.select("row_no", "n_shared", "copies").join(runs, "row_no", "left").select("row_no", F.col("runs.first").alias("first"), F.col("runs.last").alias("last"), "n_shared", "copies")
 
 
 def with_runs(rows: DataFrame, runs: Callable[[], DataFrame]) -> DataFrame:
