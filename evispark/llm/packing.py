@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, materialise, numbered, rank_within, settled
+from .common import checked_broadcast, fresh, materialise, numbered, rank_within, settled
 from .token_counts import byte_alphabet
 
 CAPACITY = 2048
@@ -280,14 +280,21 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
 
 
 def written_order(docs: DataFrame) -> DataFrame:
-    """``docs``, just read from Parquet files, with ``__position``: 0, 1, ... in the order that they were written in."""
-    of = docs.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__index"))
-    part = F.regexp_extract("__file", r"part-([0-9]+)", 1).cast("long")  # a row per file: few
-    sizes = of.groupBy("__file").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.coalesce(part, F.lit(-1).cast("long")))
-    before = Window.orderBy("part", "__file").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.select("__file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
-    base = checked_broadcast(materialise(base))
-    return of.join(base, "__file").withColumn("__position", F.col("__base") + F.col("__index")).drop("__file", "__index", "__base")
+    """``docs``, just read from Parquet files, with ``__position``: 0, 1, ... in the order that they were written in.
+
+    Other columns stay, whatever their names; one named ``__position`` is replaced. An empty table gives no rows.
+    """
+    meta = docs.metadataColumn("_metadata")
+    docs = docs.drop(*(c for c in docs.columns if c.lower() == "__position"))
+    file, index, base = (fresh(docs, x) for x in ("__file", "__index", "__base"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    of = docs.select(*columns, meta["file_name"].alias(file), meta["row_index"].alias(index))
+    part = F.regexp_extract(file, r"part-([0-9]+)", 1).try_cast("long")  # a row per file: few
+    sizes = of.groupBy(file).agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.coalesce(part, F.lit(-1).cast("long")))
+    before = Window.orderBy("part", file).rowsBetween(Window.unboundedPreceding, -1)
+    places = sizes.select(file, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(base))
+    places = checked_broadcast(materialise(places))
+    return of.join(places, file).select(*columns, (F.col(base) + F.col(index)).alias("__position"))
 
 
 def pack_in_order(docs: DataFrame, position_col: str, tokenizer: str | None = None, capacity: int = CAPACITY, window: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -296,6 +303,9 @@ def pack_in_order(docs: DataFrame, position_col: str, tokenizer: str | None = No
     Each window of documents is best-fit packed by itself, by order among pieces of one size, and its sequences are
     numbered by their first pieces after those of the windows before: the first n windows' documents fill the first
     sequences, whatever n. Schedules are made on the executors, a window each.
+
+    Defined results: as in ``pack``; documents at one place (ties) are packed in any order of their pieces' ranks, a
+    null place is an error of the caller's; other columns are ignored. Texts are whole, however long.
     """
     tokenizer, window = tokenizer or _public(), window or WINDOW
     found = materialise(pieces(docs, tokenizer, capacity, id_col, text_col, F.col(position_col)))

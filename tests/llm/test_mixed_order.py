@@ -62,3 +62,15 @@ def test_written_order(spark, tmp_path):
     spark.range(5000).repartition(7).orderBy("id").write.option("maxRecordsPerFile", 300).parquet(str(tmp_path / "t"))
     back = packing.written_order(spark.read.parquet(str(tmp_path / "t")))
     assert all(x["id"] == x["__position"] for x in back.collect())
+
+
+def test_stages_with_clashing_columns(spark, tmp_path):
+    clash = "doc_id long, text string, lang string, source string, n_chars long, __file string, __index int, __base int, __position long, _metadata string, row_no long, id string"
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(60 + i)), "en", f"s{i % 3}", 9, "f", 1, 2, 77, "m", 5, "i") for i in range(30)]
+    spark.createDataFrame(rows, clash).repartition(3).write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    back = packing.written_order(docs)
+    assert back.columns == [c for c in docs.columns if c != "__position"] + ["__position"]
+    assert sorted(r["__position"] for r in back.collect()) == list(range(30))
+    for f in (lambda d: packing.pack_in_order(packing.written_order(d), "__position"), packing.pack, mixing.mixed):
+        assert {r["doc_id"] for r in f(docs).collect()} == set(range(30))
