@@ -10,7 +10,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from .operators import comparator, validation
-from .plans import generation, jobs, prompts, schema
+from .plans import countries, generation, jobs, prompts, schema
 from .session import get_session
 from .sources import files, registry, sinks
 
@@ -46,7 +46,8 @@ def _wrong(outputs, job_id, gate):
     return head + [r["error"] for r in schema.output_errors(outputs, gate).collect()]
 
 
-def _generated(spark, a, j, who, gate):
+def _generated(spark, a, j, who):
+    gate = _gate(a, j)
     template = files.read_templates(spark, j.prompt_template).first()["template"]
     specs = _specs(spark, j.spec_file)
     asking = generation.Asking(a.pause, a.store)
@@ -68,11 +69,45 @@ def _run(spark, a, j, out, who):
     if a.mode == "stub":
         made = jobs.run_stub(_specs(spark, j.spec_file), j.job_id, out, a.generated_at, **who)
     else:
-        sinks.write_json(_generated(spark, a, j, who, gate), out)
+        sinks.write_json(_generated(spark, a, j, who), out)
         made = spark.read.text(out).withColumnRenamed("value", "json")  # what was answered, not asked anew
     return _wrong(made, j.job_id, gate)
 
 
+def _run_countries(spark, a, listed):
+    """Scans, runs and renders every country folder; a report by country. Whether any failed."""
+    jobs_of = {j.job_id: j for j in listed.collect()}  # the registry: a few rows
+    names = spark.read.option("header", "true").csv(a.names) if a.names else None
+
+    def prepare(iso3):
+        where = f"{a.out}/sources/{iso3}"
+        jobs.scan_sources(spark, f"{a.folder}/{iso3}").write.mode("overwrite").parquet(where)
+        return where
+
+    def make(job_id, country, sources):
+        j, who = jobs_of[job_id], {"country_name": country["country_name"], "country_iso3": country["country_iso3"]}
+        where = f"{a.out}/outputs/{country['country_iso3']}/{job_id}"
+        if a.mode == "stub":
+            jobs.run_stub(_specs(spark, j.spec_file), job_id, where, a.generated_at, **who)
+        else:
+            sinks.write_json(_generated(spark, argparse.Namespace(**vars(a) | {"sources": sources}), j, who), where)
+        return spark.read.text(where).withColumnRenamed("value", "json")
+
+    def render(job_id, iso3, made):
+        jobs.render(made, job_id, f"{a.out}/rendered/{iso3}/{job_id}")
+
+    catalogue = f"{a.out}/catalogue"
+    found = countries.country_folders(spark, a.folder, names)
+    for iso3, job_id, status in countries.run_countries(spark, found, list(jobs_of), prepare, make, lambda j: _gate(a, jobs_of[j]), catalogue, render):
+        print(f"{iso3} {job_id}: {status}")
+    report = countries.summary(countries.latest_runs(countries.read_catalogue(spark, catalogue))).orderBy("country_iso3").collect()
+    for r in report:
+        print(f"{r['country_iso3']}: {'SUCCESS' if r['success'] else 'FAILED'}, {r['jobs']} jobs, {r['failed']} failed, {r['seconds']:.0f} s")
+    if not report:
+        raise FileNotFoundError(f"no country folder under {a.folder}")
+    return any(not r["success"] for r in report)
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="evispark")
     sub = p.add_subparsers(dest="command", required=True)
@@ -85,6 +120,7 @@ def main(argv: list[str] | None = None) -> int:
     llm = (opt("--mode", choices=("stub", "llm"), default="stub"), opt("--provider"), opt("--embedder"), opt("--sources"), opt("--index"), opt("--no-split", action="store_true"), opt("--topk", type=int, default=40), opt("--pause", type=float, default=generation.PAUSE), opt("--store"))
     add("run", reg, job, out, *country, *llm, *gates)
     add("run-all", reg, out, *country, *llm, *gates)
+    add("run-countries", reg, out, opt("--folder", required=True), opt("--names"), *country, *llm, *gates)
     add("render-all", reg, out, opt("--mode", default="stub"))
     add("render", job, opt("--payload", required=True), out, opt("--form", choices=("md", "csv", "xlsx", "docx"), default="md"))
     add("prompt", reg, job, out, *country)
@@ -131,6 +167,8 @@ def main(argv: list[str] | None = None) -> int:
             wrong = _run(spark, a, registry.job(listed, a.job), a.out, who)
             print("\n".join(wrong), file=sys.stderr)
             return 3 if wrong else 0
+        if a.command == "run-countries":
+            return int(_run_countries(spark, a, listed))
         failed = False
         for j in listed.collect():  # the registry: a few rows
             try:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import extraction, stubs, validation
-from ..plans import prompts, schema
+from ..plans import countries, prompts, schema
 from ..sources import sinks
 from .base import Registered, Tables
 
@@ -119,6 +119,21 @@ def status_summary(t: Tables) -> DataFrame:
     return sinks.status_summary(t.orders.select(status.alias("status")))
 
 
+@query("""WITH r AS (SELECT o_orderpriority AS job_id, n_name AS country_iso3, strftime(o_orderdate, '%Y%m') AS run, o_orderstatus <> 'F' AS failed, floor(o_totalprice)::BIGINT % 100 AS seconds
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+l AS (SELECT * FROM r QUALIFY run = max(run) OVER (PARTITION BY job_id, country_iso3)),
+e AS (SELECT country_iso3, job_id, max(failed::INT)::BIGINT AS failed, max(seconds) AS seconds FROM l GROUP BY ALL)
+SELECT country_iso3, count(*) AS jobs, sum(failed)::BIGINT AS failed, sum(seconds)::BIGINT AS seconds, sum(failed) = 0 AS success FROM e GROUP BY country_iso3""")
+def country_runs(t: Tables) -> DataFrame:
+    runs = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    runs = runs.select(
+        F.col("o_orderpriority").alias("job_id"), F.col("n_name").alias("country_iso3"), F.date_format("o_orderdate", "yyyyMM").alias("run"),
+        F.when(F.col("o_orderstatus") == "F", "SUCCESS").otherwise("FAILED").alias("status"), (F.floor("o_totalprice") % 100).alias("seconds"),
+    )
+    found = countries.summary(countries.latest_runs(runs))
+    return found.select("country_iso3", "jobs", "failed", F.col("seconds").cast("long").alias("seconds"), "success")
+
+
 _EXTRACTED = """(SELECT p_brand AS spec_id, pos, CASE WHEN p_partkey % 5 = 0 THEN 'q' || pos ELSE p_partkey::VARCHAR END AS question_id, trim(p_name) AS question
  FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey)::INTEGER AS pos FROM part))"""
 
