@@ -12,6 +12,8 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 #: Fixed names: indicators and peer attributes of the published index, and which way is better.
 INDICATORS = ("GDP", "Population", "Urban Pop", "MMR", "U5M", "NMR", "CPR", "TFR", "PHC")
 PEER_COLUMNS = ("Income group", "Region", "CHP", "Types of CHW")
@@ -85,7 +87,8 @@ def standardise(df: DataFrame, stats: DataFrame, columns: list[str]) -> DataFram
 
 
 def zscores(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds ``z_<column>``: population z-scores that skip nulls; 0 for all rows where there is no spread."""
+    """Adds ``z_<column>``: population z-scores that skip nulls; 0 for all rows where there is no spread. ``df`` is computed once."""
+    df = written(df)
     return standardise(df, column_stats(df, columns), columns)
 
 
@@ -123,7 +126,8 @@ def better_count(df: DataFrame, target: DataFrame, lower: Iterable[str], higher:
 def score(
     df: DataFrame, target: str, columns: list[str], peer_columns: Iterable[str] = (), weights: str | Mapping[str, float] | None = None, name: str = "Country"
 ) -> tuple[DataFrame, DataFrame]:
-    """(scored candidates, target with z columns). z-scores are over the candidates and the target."""
+    """(scored candidates, target with z columns). z-scores are over the candidates and the target. ``df`` is computed once."""
+    df = written(df)
     t = target_row(df, target, name)
     rest = peers(df, t, peer_columns, name)
     stats = column_stats(rest.unionByName(t), columns)

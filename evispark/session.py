@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "evispark", master: str | None = None, **conf: str) -> SparkSession:
@@ -38,6 +40,32 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders that ``written`` made.
+_folders: list[tuple[SparkSession, str]] = []
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df``, written as Parquet to the shared folder and read back: computed once however often it is used.
+
+    A lost executor costs its own tasks, not the plan above. The folder goes when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/t-{uuid.uuid4().hex}"
+    _folders.append((spark, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _clear() -> None:
+    for spark, path in _folders:
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session has ended: the folder's owner clears it
+            return
+
+
 def make_importable(spark: SparkSession) -> None:
     """Lets Python workers on this machine import the package, wherever the driver was started from.
 

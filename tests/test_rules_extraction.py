@@ -111,10 +111,7 @@ def test_prompts(spark):
 
 
 def test_generation():
-    answers, waits = iter(["{}", '{"ok": 1}']), []
-    calls = []
-    provider = lambda p: (calls.append(p), next(answers))[1]
-    assert generation.generate_valid(provider, "P", lambda a: [] if a else ["empty"]) == {"ok": 1} and len(calls) == 2
+    waits = []
 
     def limited(p):
         if len(waits) < 3:
