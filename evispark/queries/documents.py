@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import chunking, rendering, retrieval, selection
+from ..sources import files
+from ..sources.pdf_writer import make_pdf
 from .base import Registered, Tables
 
 query = Registered()
@@ -191,3 +194,27 @@ def flat_citations(t: Tables) -> DataFrame:
 @query(r"SELECT p_partkey, regexp_replace(regexp_replace(lower(trim(p_name)), '[^a-z0-9_\s-]', '', 'g'), '[\s_-]+', '_', 'g') AS slug FROM part")
 def slugify_titles(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", tx.slugify(F.col("p_name")).alias("slug"))
+
+
+_PRINTED = """WITH p AS (SELECT p_brand || '-' || p_partkey // 1000 AS source, *, row_number() OVER (PARTITION BY p_brand, p_partkey // 1000 ORDER BY p_partkey) - 1 AS n FROM part),
+g AS (SELECT source, n // 12 + 1 AS page, n % 12 // 6 + 1 AS k, string_agg('| ' || p_partkey || ' | ' || p_name || ' | ' || p_type || ' |', chr(10) ORDER BY n) AS cells, string_agg(p_partkey || ' ' || p_name || ' ' || p_type, chr(10) ORDER BY n) AS said FROM p GROUP BY ALL)
+SELECT source, CASE WHEN max(k) OVER (PARTITION BY source, page) > 1 THEN 'Table ' || k || ' on p. ' || page ELSE 'Table on p. ' || page END AS locator, 'table' AS type, '| key | name | type |' || chr(10) || '| --- | --- | --- |' || chr(10) || cells AS text FROM g
+UNION ALL SELECT source, 'p. ' || page, 'text', source || ', page ' || page || chr(10) || string_agg('key name type' || chr(10) || said, chr(10) ORDER BY k) FROM g GROUP BY source, page"""
+
+
+@query(_PRINTED)
+def scan_pdf(t: Tables) -> DataFrame:
+    """Parts printed to files of ruled tables, a file per brand and thousand keys, and read again."""
+
+    def printed(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("p_partkey")
+        source, pages = rows["source"].iloc[0], []
+        cells = [["key", "name", "type"], *rows[["p_partkey", "p_name", "p_type"]].astype(str).values.tolist()]
+        for n, i in enumerate(range(1, len(cells), 12), start=1):
+            page = cells[i : i + 12]
+            pages.append([(f"{source}, page {n}", None), *((None, [cells[0], *page[j : j + 6]]) for j in range(0, len(page), 6))])
+        return pd.DataFrame({"path": [f"{source}.pdf"], "content": [make_pdf(pages)]})
+
+    source = F.concat_ws("-", "p_brand", F.floor(F.col("p_partkey") / 1000).cast("string"))
+    made = t.part.select(source.alias("source"), "p_partkey", "p_name", "p_type").groupBy("source").applyInPandas(printed, "path string, content binary")
+    return files.snippets_of(files.read_blocks(made)).select(F.regexp_extract("path", r"(.*)\.pdf$", 1).alias("source"), "locator", "type", "text")

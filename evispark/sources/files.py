@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import read_text, strip
+from ..session import written
+from . import pdf
 from .office import read_xlsx
 
 #: (position, kind 'text' or 'table', text, rows of a table)
@@ -135,44 +137,41 @@ def html_blocks(content: bytes) -> list[Block]:
     return r.out
 
 
-def pdf_pages(content: bytes) -> list[Block]:
-    """Per page its tables, then its text; needs an optional library. ``pos`` is the page from 1."""
-    import pdfplumber
-
-    out: list[Block] = []
-    with pdfplumber.open(io.BytesIO(content)) as pdf:
-        for n, page in enumerate(pdf.pages, start=1):
-            out += [(n, "table", "", [[c or "" for c in row] for row in t]) for t in page.extract_tables()]
-            out.append((n, "text", page.extract_text() or "", []))
-    return out
-
-
-READERS: dict[str, Callable[[bytes], list[Block]]] = {"pdf": pdf_pages, "docx": docx_blocks, "html": html_blocks}
+READERS: dict[str, Callable[[bytes], list[Block]]] = {"docx": docx_blocks, "html": html_blocks}
+_BLOCKS = "path string, kind string, pos int, page int, type string, text string, rows array<array<string>>, error string"
 
 
 def read_blocks(files: DataFrame, readers: dict[str, Callable[[bytes], list[Block]]] | None = None) -> DataFrame:
-    """(path, kind, pos, type, text, rows, error): the blocks of files (path, content), parsed on the executors.
+    """(path, kind, pos, page, type, text, rows, error): the blocks of files (path, content), parsed on the executors.
 
-    ``readers`` maps a file's ending to a parser; own ones can be given. A file that can't be parsed is one row
-    with its ``error``, so the source stays, with no snippets.
+    ``readers`` maps a file's ending to a parser; own ones can be given. Without one for them, PDF files become a row
+    per page, written once, of which ``pdf.page_blocks`` makes lines and tables. A file that can't be parsed is one
+    row with its ``error`` (pages read before stay), so the source stays.
     """
     known = readers or READERS
+    own = "pdf" not in known
+    columns = [c.split()[0] for c in _BLOCKS.split(", ")] + ["body", "known"]
 
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 kind = path.rsplit(".", 1)[-1].lower()
                 try:
+                    if kind == "pdf" and own:
+                        for n, body, names in pdf.read_pages(bytes(content)):
+                            yield pd.DataFrame([(path, kind, None, n, None, None, None, None, body, names)], columns=columns)
+                        continue
                     blocks = known[kind](bytes(content))
-                    out += [(path, kind, i, pos, t, text, rows, None) for i, (pos, t, text, rows) in enumerate(blocks)]
+                    out = [(path, kind, i, pos, t, text, rows, None, None, None) for i, (pos, t, text, rows) in enumerate(blocks)]
                 except Exception as e:
-                    out.append((path, kind, None, None, None, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["path", "kind", "pos", "page", "type", "text", "rows", "error"])
-
-    return files.select("path", "content").mapInPandas(
-        parsed, "path string, kind string, pos int, page int, type string, text string, rows array<array<string>>, error string"
-    )
+                    out = [(path, kind, *[None] * 5, f"{type(e).__name__}: {e}", None, None)]
+                yield pd.DataFrame(out, columns=columns)
+
+    opened = files.select("path", "content").mapInPandas(parsed, f"{_BLOCKS}, body binary, known string")
+    if not own:
+        return opened.drop("body", "known")
+    opened = written(opened)
+    return opened.where("body IS NULL").drop("body", "known").unionByName(pdf.page_blocks(opened.where("body IS NOT NULL")))
 
 
 def scan_directory(spark: SparkSession, path: str, kinds: tuple[str, ...] = ("pdf", "docx")) -> DataFrame:

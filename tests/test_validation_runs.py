@@ -1,8 +1,6 @@
 """Schemas and rules on citations from the command line, repaired answers, JSON forms, documents with pages."""
 
 import json
-import sys
-import types
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,30 +83,6 @@ def test_json_forms(spark, tmp_path):
     assert [(r["text"], r["embedding"], r["model"]) for r in again] == [("x", [0.0, 1.0], "m"), ("y", [1.0, 1.0], "m")]
 
 
-def test_pages_give_tables_then_text(monkeypatch):
-    class Page:
-        def __init__(self, text, tables):
-            self.text, self.tables = text, tables
-
-        def extract_tables(self):
-            return self.tables
-
-        def extract_text(self):
-            return self.text
-
-    class Pdf:
-        pages = [Page("one", [[["a", None], ["b", "c"]]]), Page(None, [])]
-
-        def __enter__(self):
-            return self
-
-        def __exit__(self, *_):
-            return None
-
-    monkeypatch.setitem(sys.modules, "pdfplumber", types.SimpleNamespace(open=lambda _: Pdf()))
-    assert files.pdf_pages(b"") == [(1, "table", "", [["a", ""], ["b", "c"]]), (1, "text", "one", []), (2, "text", "", [])]
-
-
 def test_arrays_of_objects_are_folded(spark):
     df = spark.createDataFrame(
         [("i", 0, 0, []), ("i", 1, 0, [("a", 1), ("a", 1)]), ("i", 2, 0, [("b", None), ("a", 1), ("b", None)]), ("i", 3, 0, None), ("i", 4, 0, [("b", None), ("c", 2)])],
