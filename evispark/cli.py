@@ -123,6 +123,7 @@ def main(argv: list[str] | None = None) -> int:
     add("run-countries", reg, out, opt("--folder", required=True), opt("--names"), *country, *llm, *gates)
     add("render-all", reg, out, opt("--mode", default="stub"))
     add("render", job, opt("--payload", required=True), out, opt("--form", choices=("md", "csv", "xlsx", "docx"), default="md"))
+    add("render-files", job, opt("--payloads", required=True), out, opt("--form", choices=("md", "xlsx", "docx"), default="md"))
     add("prompt", reg, job, out, *country)
     form = opt("--form", choices=("parquet", "json"), default="parquet")
     add("sources-scan", opt("--folder", required=True), out, form)
@@ -156,6 +157,9 @@ def main(argv: list[str] | None = None) -> int:
         if a.command == "render":
             jobs.render(files.read_json_strict(spark, a.payload), a.job, a.out, a.form)
             return 0
+        if a.command == "render-files":
+            jobs.render_files(files.read_json_strict(spark, a.payloads), a.job, a.out, a.form)
+            return 0
         listed = registry.load_registry(spark, a.registry)
         if a.command == "prompt":
             j = registry.job(listed, a.job)

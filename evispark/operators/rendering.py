@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, unix_lines
+from ..sources import office
 
 _CITATION = "struct<source_title:string,locator:string,source_id:string,source_type:string,source_url:string,reference:string,authors:string,doi:string,isbn:string,publisher:string,published_date:string,quote:string>"
 _EVIDENCE = f"struct<quality:string,rationale:string,citations:array<{_CITATION}>>"
@@ -158,6 +162,7 @@ FLAT = {
     "table3_intervention_framework": ("interventions", (*((c, c) for c in ("intervention_id", "lever", "intervention", "mechanism", "implementation_notes", "dependencies", "risks")), *_EV)),
 }
 NARRATIVE = ("phase1_discovery_qa", "country_learning_briefs")
+_TOLD = {"phase1_discovery_qa": ("questions", "question", "answer"), "country_learning_briefs": ("domains", "domain", "summary")}
 
 
 def _cell(x: Column, name: str) -> Column:
@@ -176,23 +181,106 @@ def flat_tables(outputs: DataFrame, job_id: str, json: str = "json") -> dict[str
     if job_id != "benchmark_country_scoring":
         raise KeyError(f"no flat table for job {job_id!r}")
     c = rows.select(F.explode("p.countries").alias("c"))
-    score = lambda at, pre: [
-        _s(F.col(f"{at}.score")).alias(f"{pre}score"), _s(F.col(f"{at}.evidence.quality")).alias(f"{pre}quality"),
-        _s(F.col(f"{at}.evidence.rationale")).alias(f"{pre}rationale"), flat_citations(F.col(f"{at}.evidence.citations")).alias(f"{pre}citations"),
-    ]
-    who = [_s(F.col("c.country_name")).alias("country_name"), _s(F.col("c.iso3")).alias("iso3")]
     d = c.select("c", F.explode("c.dimensions").alias("d"))
-    return {
-        "countries": c.select(*who, *score("c.overall_score", "overall_")),
-        "dimensions": d.select(*who, _s(F.col("d.dimension_id")).alias("dimension_id"), _s(F.col("d.label")).alias("label"), *score("d.score_note", "")),
-    }
+    return {"countries": c.select(*_country_cells(F.col("c"))), "dimensions": d.select(*_dimension_cells(F.col("c"), F.col("d")))}
+
+
+def _score_cells(x: Column, before: str) -> list[Column]:
+    e = x["evidence"]
+    return [
+        _s(x["score"]).alias(f"{before}score"), _s(e["quality"]).alias(f"{before}quality"), _s(e["rationale"]).alias(f"{before}rationale"),
+        flat_citations(e["citations"]).alias(f"{before}citations"),
+    ]
+
+
+def _country_cells(c: Column) -> list[Column]:
+    return [_s(c["country_name"]).alias("country_name"), _s(c["iso3"]).alias("iso3"), *_score_cells(c["overall_score"], "overall_")]
+
+
+def _dimension_cells(c: Column, d: Column) -> list[Column]:
+    named = [_s(d["dimension_id"]).alias("dimension_id"), _s(d["label"]).alias("label")]
+    return [*_country_cells(c)[:2], *named, *_score_cells(d["score_note"], "")]
+
+
+#: Fixed: the headings of the two sheets of benchmarks.
+_SCORES = ("score", "quality", "rationale", "citations")
+COUNTRY_SHEETS = {"countries": ("country_name", "iso3", *(f"overall_{c}" for c in _SCORES)), "dimensions": ("country_name", "iso3", "dimension_id", "label", *_SCORES)}
+
+
+def sheets(outputs: DataFrame, job_id: str, json: str = "json") -> DataFrame:
+    """``outputs`` with ``sheets``, an array of (name, rows), the first row the headings: ``flat_tables`` of each output in its row.
+
+    What has no items gives a sheet of headings only. Jobs without flat tables are a KeyError.
+    """
+    rows = outputs.withColumn("__p", parse_output(F.col(json), job_id))
+    p, nothing = F.col("__p"), F.expr("cast(array() as array<array<string>>)")
+    sheet = lambda name, head, body: F.struct(F.lit(name).alias("name"), F.concat(F.array(F.array(*map(F.lit, head))), F.coalesce(body, nothing)).alias("rows"))
+    if job_id in FLAT:
+        key, columns = FLAT[job_id]
+        at = lambda x, path: x[path] if "." not in path else x[path.split(".")[0]][path.split(".")[1]]
+        body = F.transform(p[key], lambda x: F.array(*(_cell(at(x, path), n) for n, path in columns)))
+        made = [sheet("data", [n for n, _ in columns], body)]
+    elif job_id == "benchmark_country_scoring":
+        each = F.transform(p["countries"], lambda c: F.coalesce(F.transform(c["dimensions"], lambda d: F.array(*_dimension_cells(c, d))), nothing))
+        body = {"countries": F.transform(p["countries"], lambda c: F.array(*_country_cells(c))), "dimensions": F.flatten(each)}
+        made = [sheet(n, head, body[n]) for n, head in COUNTRY_SHEETS.items()]
+    else:
+        raise KeyError(f"no flat table for job {job_id!r}")
+    return rows.withColumn("sheets", F.array(*made)).drop("__p")
+
+
+def narrative(outputs: DataFrame, job_id: str, json: str = "json") -> DataFrame:
+    """``outputs`` with ``paragraphs``, an array of (style, text): what a document says of each output, under the job's name."""
+    if job_id not in NARRATIVE:
+        raise KeyError(f"no document layout for job {job_id!r}")
+    key, head, body = _TOLD[job_id]
+    said = lambda style, text: F.struct(F.lit(style).alias("style"), text.alias("text"))
+
+    def one(x: Column) -> Column:
+        e = x["evidence"]
+        cited = citation_lines(e["citations"])
+        told = [
+            said("Heading1", _s(x[head])), said("Normal", _s(x[body])), said("Normal", F.concat(F.lit("Evidence quality: "), _s(e["quality"]))),
+            said("Normal", F.concat(F.lit("Rationale: "), _s(e["rationale"]))), said("Normal", cited),
+        ]
+        return F.when(cited == "", F.array(*told[:4])).otherwise(F.array(*told))
+
+    rows = outputs.withColumn("__p", parse_output(F.col(json), job_id))
+    told = F.flatten(F.transform(F.col("__p")[key], one))
+    title = F.array(said("Title", F.lit(job_id)))
+    return rows.withColumn("paragraphs", F.when(told.isNull(), title).otherwise(F.concat(title, told))).drop("__p")
+
+
+def files(outputs: DataFrame, job_id: str, form: str, name: str = "name", json: str = "json") -> DataFrame:
+    """(name, content): a workbook (``xlsx``), a document (``docx``) or markdown text (``md``) of each output, made in its task.
+
+    Column ``name`` tells the name without an ending. Widths of a workbook's columns are those of ``column_widths``.
+    """
+    named = F.concat(F.col(name), F.lit(f".{form}")).alias("name")
+    if form == "md":
+        return markdown(outputs, job_id, json).select(named, F.encode("markdown", "UTF-8").alias("content"))
+    if form not in ("xlsx", "docx"):
+        raise ValueError(f"no form {form!r}")
+    made = sheets(outputs, job_id, json).select(named, F.col("sheets").alias("x")) if form == "xlsx" else narrative(outputs, job_id, json).select(named, F.col("paragraphs").alias("x"))
+
+    def built(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"name": batch["name"], "content": [_workbook(x) if form == "xlsx" else office.docx([(p["style"], p["text"]) for p in x]) for x in batch["x"]]})
+
+    return made.mapInPandas(built, "name string, content binary")
+
+
+def _workbook(sheets: list[dict]) -> bytes:
+    tables = {s["name"]: [list(r) for r in s["rows"]] for s in sheets}
+    widths = {n: [min(max(12, max(len(r[c]) for r in rows) + 2), 60) for c in range(len(rows[0]))] for n, rows in tables.items()}
+    return office.xlsx({n: (rows[0], [tuple(r) for r in rows[1:]]) for n, rows in tables.items()}, widths)
 
 
 def narrative_rows(outputs: DataFrame, job_id: str, json: str = "json") -> DataFrame:
     """(pos, heading, body lines…) of the two narrative jobs, for a document writer."""
     if job_id not in NARRATIVE:
         raise KeyError(f"no document layout for job {job_id!r}")
-    key, head, body = ("questions", "question", "answer") if job_id == NARRATIVE[0] else ("domains", "domain", "summary")
+    key, head, body = _TOLD[job_id]
     x = outputs.select(F.posexplode(parse_output(F.col(json), job_id)[key]).alias("pos", "x"))
     return x.select("pos", F.col(f"x.{head}").alias("heading"), F.col(f"x.{body}").alias("body"), "x.evidence.quality", "x.evidence.rationale", citation_lines(F.col("x.evidence.citations")).alias("citations"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import norm
 from ..operators import chunking, merging, rendering, selection, stubs, validation
-from ..sources import files, sinks
+from ..sources import file_sink, files, sinks
 from . import generation, prompts
 from .schema import Gate
 
@@ -28,6 +28,12 @@ def run_stub(specs: DataFrame, job_id: str, out: str, generated_at: str, **count
     return made
 
 
+def render_files(outputs: DataFrame, job_id: str, out: str, form: str = "md") -> None:
+    """Many outputs (path, json) as a file each, named like theirs, made and written by the tasks."""
+    named = outputs.withColumn("name", F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1))
+    file_sink.write_files(rendering.files(named, job_id, form), out)
+
+
 def render(outputs: DataFrame, job_id: str, out: str, form: str = "md") -> None:
     """Markdown text, the flat tables as CSV folders or a workbook, or the narrative as a document."""
     if form == "md":

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import chunking, rendering, retrieval, selection
+from ..session import shared_folder
 from ..sources import files
+from ..sources.file_sink import write_files
+from ..sources.office import read_xlsx
 from ..sources.pdf_writer import make_pdf
 from .base import Registered, Tables
 
@@ -218,3 +224,42 @@ def scan_pdf(t: Tables) -> DataFrame:
     source = F.concat_ws("-", "p_brand", F.floor(F.col("p_partkey") / 1000).cast("string"))
     made = t.part.select(source.alias("source"), "p_partkey", "p_name", "p_type").groupBy("source").applyInPandas(printed, "path string, content binary")
     return files.snippets_of(files.read_blocks(made)).select(F.regexp_extract("path", r"(.*)\.pdf$", 1).alias("source"), "locator", "type", "text")
+
+
+_ENTRIES = "SELECT p_brand || '-' || p_partkey // 1000 AS source, *, row_number() OVER (PARTITION BY p_brand, p_partkey // 1000 ORDER BY p_partkey)::INTEGER AS n FROM part"
+
+
+def _evidence_outputs(t: Tables) -> DataFrame:
+    """An output per brand and thousand keys, an entry per part: some without a mechanism, some without citations."""
+    i = F.col("p_partkey")
+    cited = F.array(F.struct(F.col("p_name").alias("source_title"), F.concat(F.lit("p. "), F.col("p_size").cast("string")).alias("locator")))
+    evidence = F.struct(F.lit("low").alias("quality"), F.lit("a <b> & c").alias("rationale"), F.when(i % 4 == 0, F.slice(cited, 1, 0)).otherwise(cited).alias("citations"))
+    entry = F.struct(i.cast("string").alias("solution_id"), F.col("p_name").alias("solution"), F.when(i % 3 > 0, F.col("p_type")).alias("mechanism"), evidence.alias("evidence"), F.array(F.col("p_type"), F.col("p_brand")).alias("risks"))
+    source = F.concat_ws("-", "p_brand", F.floor(i / 1000).cast("string"))
+    listed = t.part.groupBy(source.alias("name")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", entry.alias("e")))).alias("es"))
+    return listed.select("name", F.to_json(F.struct(F.col("es")["e"].alias("solutions"))).alias("json"))
+
+
+@query(f"""WITH e AS ({_ENTRIES}) SELECT source, 0 AS n, 'solution_id|solution|mechanism|feasibility_resource_constrained|evidence_quality|evidence_rationale|citations|risks|implementation_notes' AS cells FROM e GROUP BY source
+UNION ALL SELECT source, n, concat_ws('|', p_partkey, p_name, CASE WHEN p_partkey % 3 > 0 THEN p_type ELSE '' END, '', 'low', 'a <b> & c', CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_name || ' | p. ' || p_size END, p_type || '; ' || p_brand, '') FROM e""")
+def render_workbooks(t: Tables) -> DataFrame:
+    """Workbooks rendered and written by the tasks, then read again."""
+    folder = f"{shared_folder(t.spark)}/workbooks-{uuid.uuid4().hex}"
+    write_files(rendering.files(_evidence_outputs(t), "rrr_evidence_matrix", "xlsx"), folder)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                rows = read_xlsx(bytes(content))
+                yield pd.DataFrame({"path": path, "n": range(len(rows)), "cells": ["|".join(x or "" for x in r) for r in rows]})
+
+    found = t.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xlsx").load(folder)
+    found = found.select("path", "content").mapInPandas(read, "path string, n int, cells string")
+    name = F.call_function("try_url_decode", F.regexp_extract("path", r"([^/]+)\.xlsx$", 1))  # paths are addresses
+    return found.select(name.alias("source"), "n", "cells")
+
+
+@query(f"""WITH e AS ({_ENTRIES}) SELECT source AS name, n, p_partkey::VARCHAR AS solution_id, CASE WHEN p_partkey % 3 > 0 THEN p_type ELSE '' END AS mechanism, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_name || ' | p. ' || p_size END AS citations, p_type || '; ' || p_brand AS risks FROM e""")
+def flat_sheets(t: Tables) -> DataFrame:
+    rows = rendering.sheets(_evidence_outputs(t), "rrr_evidence_matrix").select("name", F.posexplode(F.col("sheets")[0]["rows"]).alias("n", "r")).where("n > 0")
+    return rows.select("name", "n", *(F.col("r")[i].alias(c) for i, c in ((0, "solution_id"), (2, "mechanism"), (6, "citations"), (7, "risks"))))
