@@ -113,7 +113,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
 WAITING, GAP, PUT, SHRUNK = range(4)
 ROW = "kind int, size long, first long, n long, sequence long, offset long"
 #: Rows that one task sweeps; more are dealt out by ranges of sizes.
-SWEPT = 50_000
+SWEPT = 512
 
 
 def sweep(rows: list[tuple], capacity: int) -> list[tuple]:
@@ -200,8 +200,8 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int
 
 
 def _swept(rows: DataFrame, n_rows: int, capacity: int, at_once: int) -> DataFrame:
-    """A round. A table that one task can hold is swept there until nothing moves; of a larger one the ranges of sizes
-    are swept once, and then what they have left, which is nearest across them.
+    """A round: ranges of sizes, of ``at_once`` rows each, are swept by a task each, then what they have left, which is
+    nearest across them. Where all rows make one range, it is swept until nothing moves.
     """
 
     def by(f: Callable[[list[tuple], int], list[tuple]]) -> Callable:
