@@ -27,13 +27,15 @@ IBAN_LENGTHS = {
     23: "AE|GI|IL|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "PT", 26: "IS|TR", 27: "FR|GR|IT|MC|SM", 28: "AL|AZ|CY|DO|GT|HU|LB|PL|BY|SV",
     29: "BR|PS|QA|UA", 30: "JO|KW|MU", 31: "MT|SC",
 }
+#: Where a word of ASCII starts and ends. (What the pattern for word boundaries takes for a word depends on the JVM's version.)
+_FROM, _TO = "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"
 _GROUPS = "|".join(rf"(?:{c})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf"\x20?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items())
 _KNOWN = "|".join(IBAN_LENGTHS.values())
-IBAN = rf"\b(?:{_GROUPS})\b|" + r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b"
-NATIONAL_ID = r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"
+IBAN = rf"{_FROM}(?:{_GROUPS}){_TO}|{_FROM}" + r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?" + _TO
+NATIONAL_ID = _FROM + "[0-9]{3}-[0-9]{2}-[0-9]{4}" + _TO
 #: Fixed patterns: keys of services by their public prefixes, and long random words, which count after a word that names them.
-API_KEY = r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z]{10,48}|AIza[0-9A-Za-z_]{35}|sk_(?:live|test)_[0-9A-Za-z]{16,64})\b"
-SECRET = r"\b[0-9A-Za-z_]{20,}\b"
+API_KEY = _FROM + "(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z]{10,48}|AIza[0-9A-Za-z_]{35}|sk_(?:live|test)_[0-9A-Za-z]{16,64})" + _TO
+SECRET = _FROM + "[0-9A-Za-z_]{20,}" + _TO
 
 OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,13 +74,20 @@ def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_quality_rules, op4_suffix_array_dedup, op5_token_counts, op6_simhash_near_dedup, op7_best_fit_packing, op8_substring_dedup, op9_mixing, op10_pii, op11_periodic_runs, op12_cross_tokenizer_alignment, op13_chat_formatting)}
 
-#: kind -> (pattern, confirmed, score, context words, threshold), as in ``pii.KINDS``. Matches ``m`` come with the text ``g`` since the one before.
+#: Check digits of an account number ``x`` without blanks: ISO 7064 mod 97-10.
+_MOD_97 = "length(x) BETWEEN 15 AND 34 AND list_reduce([0] || list_transform(string_split(x[5:] || x[:4], ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c::INT ELSE ascii(c) - 55 END), lambda a, y: CASE WHEN y > 9 THEN a * 100 + y ELSE a * 10 + y END % 97) = 1"
+#: Lengths at which a match ``m`` is an account number, longest first: the whole match, or for other countries than those of known lengths its part before a blank.
+_PARTS = (
+    f"list_filter(list_reverse(range(15, length(m) + 1)), lambda n: (n = length(m) OR (m[n + 1] = ' ' AND NOT regexp_matches(m, '^(?:{'|'.join(pii.IBAN_LENGTHS.values())})'))) AND "
+    + _MOD_97.replace("(x", "(replace(m[:n], ' ', '')").replace("x[", "replace(m[:n], ' ', '')[") + ")"
+)
+#: kind -> (pattern, confirmed, score, context words, threshold), as in ``pii.KINDS``. Matches ``m`` come with the text ``g`` since the one before; ``s`` is a match without blanks.
 _PII_SQL = {
     "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true", 0.8, "mail|contact|write|kontakt|correo|courriel", 0),
     "ip": (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", r"regexp_full_match(m, '0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}')", 0.6, "ip|host|server|address|addr", 0),
     "card": (r"[0-9](?:[\x20-]?[0-9])+", "length(d) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 0 THEN d[i]::INT WHEN d[i]::INT > 4 THEN d[i]::INT * 2 - 9 ELSE d[i]::INT * 2 END)) % 10 = 0", 0.7, "card|visa|credit|karte|carte|tarjeta", 0),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "length(d) BETWEEN 10 AND 15", 0.6, "phone|call|tel|mobile|fax", 0),
-    "iban": (r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b", "length(s) BETWEEN 15 AND 34 AND list_reduce([0] || list_transform(string_split(s[5:] || s[:4], ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c::INT ELSE ascii(c) - 55 END), lambda a, x: CASE WHEN x > 9 THEN a * 100 + x ELSE a * 10 + x END % 97) = 1", 0.8, "iban|account|bank|konto|compte|cuenta", 0.6),
+    "iban": (re.sub(r"\(\?<?![^)]*\)", r"\\b", pii.IBAN), f"len({_PARTS}) > 0", 0.8, "iban|account|bank|konto|compte|cuenta", 0.6),
     "national_id": (r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "NOT regexp_matches(m, '^(?:000|666|9[0-9]{2})|-00-|-0000$')", 0.45, "ssn|social|security|id", 0.6),
     "api_key": (r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z]{10,48}|AIza[0-9A-Za-z_]{35}|sk_(?:live|test)_[0-9A-Za-z]{16,64})\b", "true", 0.8, "key|token|secret", 0.6),
     "secret": (r"\b[0-9A-Za-z_]{20,}\b", "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')", 0.45, "token|secret|password|passwd|key|auth|bearer", 0.6),
@@ -86,13 +95,28 @@ _PII_SQL = {
 
 
 def _pii_sql() -> str:
-    found = " UNION ALL ".join(
-        f"SELECT doc_id, {rank} AS rank, '{kind}' AS kind, start, e, score FROM (SELECT *, round({score} + CASE WHEN regexp_matches(lower(right(g, 60)), '(^|[^a-z])(?:{words})') THEN 0.2 ELSE 0.0 END, 2) AS score, "
-        "regexp_replace(m, '[^0-9]', '', 'g') AS d, replace(m, ' ', '') AS s, start + length(m) AS e FROM ("
-        "SELECT doc_id, ms[i] AS m, gs[i] AS g, list_sum(list_transform(gs[:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(ms[:i - 1], lambda x: length(x))), 0)::BIGINT AS start "
-        f"FROM (SELECT doc_id, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gs FROM docs)))) WHERE ({good}) AND score >= {least}"
-        for rank, (kind, (pattern, good, score, words, least)) in enumerate(_PII_SQL.items())
-    )
+    """Spans by kind. Words near a base match stand after the match before. Those near an added one stand anywhere in the
+    60 characters before it, or near the first of a list: a chain of confirmed matches without a letter between.
+    """
+
+    def spans(rank: int, kind: str) -> str:
+        pattern, good, score, words, least = _PII_SQL[kind]
+        named = lambda x: f"regexp_matches(lower(right({x}, 60)), '(^|[^a-z])(?:{words})')"
+        chain = "max(chain) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)"
+        near = named("g") if least == 0 else "bool_or(said) OVER (PARTITION BY doc_id, chain ORDER BY i ROWS UNBOUNDED PRECEDING)"
+        places = (
+            "SELECT *, list_sum(list_transform(gs[:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(ms[:i - 1], lambda x: length(x))), 0)::BIGINT AS start, ms[i] AS m, gs[i] AS g "
+            f"FROM (SELECT doc_id, t, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, t, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gs FROM docs))"
+        )
+        judged = f"SELECT *, {good} AS ok, {named('t[:start]')} AS said FROM (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS d FROM ({places}))"
+        if least:
+            cut = "coalesce(NOT lag(ok) OVER (PARTITION BY doc_id ORDER BY i) OR regexp_matches(g, '\\p{L}'), true)"
+            judged = f"SELECT * REPLACE ({chain} AS chain) FROM (SELECT *, CASE WHEN {cut} THEN i END AS chain FROM ({judged}))"
+        end = f"start + coalesce({_PARTS}[1], length(m))" if kind == "iban" else "start + length(m)"
+        scored = f"SELECT doc_id, start, {end} AS e, ok, round({score} + CASE WHEN {near} THEN 0.2 ELSE 0.0 END, 2) AS score FROM ({judged})"
+        return f"SELECT doc_id, {rank} AS rank, '{kind}' AS kind, start, e, score FROM ({scored}) WHERE ok AND score >= {least}"
+
+    found = " UNION ALL ".join(spans(rank, kind) for rank, kind in enumerate(_PII_SQL))
     counts = ", ".join(f"count(*) FILTER (rank = {i}) AS n_{k}" for i, k in enumerate(list(_PII_SQL)[:4]))
     joined = "string_agg(kind || ':' || start || ':' || e, ',' ORDER BY start, rank)"
     return (
