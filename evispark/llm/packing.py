@@ -103,6 +103,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
                         b = ids[k : k + 4 * capacity]
                         out.append((row, doc, k // (4 * capacity), k // 4, len(b) // 4, zlib.crc32(b)))
                 yield pd.DataFrame(out, columns=["row_no", "id", "piece", "start", "length", "ids_crc32"])
+        made.known.clear()  # a worker that waits for its next task holds no tokenizer
+        made.words.clear()
+        del made
 
     columns = [F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")]
     rows = numbered(docs, *columns) if row_no is None else docs.select(row_no.alias("row_no"), *columns)
@@ -113,7 +116,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
 WAITING, GAP, PUT, SHRUNK = range(4)
 ROW = "kind int, size long, first long, n long, sequence long, offset long"
 #: Rows that one task sweeps; more are dealt out by ranges of sizes.
-SWEPT = 512
+SWEPT = 1024
 
 
 def sweep(rows: list[tuple], capacity: int) -> list[tuple]:
