@@ -1,26 +1,44 @@
-"""Near copies by word shingles: MinHash bands propose pairs, the Jaccard similarity of the shingle sets decides."""
+"""Near copies by SimHash over word shingles: blocks of fingerprint bits, Hamming distance, then the Jaccard similarity.
+
+The steps are those of ``simhash`` with fingerprints, blocks and a distance made for a similarity: two sets of Jaccard
+similarity s have an angle whose cosine is 2 s / (1 + s) or more, and bits of their fingerprints differ with probability
+angle / pi. At 0.8 that is 0.15, too much for blocks by the pigeonhole principle (their few bits would hold everyone in
+one block), so blocks are of bits drawn from the fingerprint, as many as make a missed pair improbable.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import acos, ceil, comb, log2, pi, sqrt
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checked_broadcast, materialise, numbered, settled, without
 from .graph import connected_components
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
-#: A pair at similarity s shares a band with probability 1 - (1 - s ** ROWS) ** BANDS: 0.99993 at 0.8.
-BANDS, ROWS = 24, 5
+#: Fingerprints have so many longs of 64 bits, the first ``SENT`` of which go to the blocks; ``PREFIX`` of these are compared first.
+LANES, SENT, PREFIX = 8, 4, 2
+BITS = 64 * LANES
+#: Were fingerprints random, a block would have about so many.
+BLOCK = 1024
+#: A pair just as similar as asked for shares no block with at most this probability.
+MISSED = 1e-4
+#: Standard deviations by which the distance of a similar pair may exceed its mean.
+BEYOND = 6
+#: Rows that are compared with a whole block at once.
+ROWS = 64
 #: Bits of a set's parity map, as longs.
 PARITY = 16
 _random = np.random.default_rng(SEED)
-FACTORS = _random.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-ADDENDS = _random.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
+FACTORS = _random.integers(0, 1 << 64, LANES, dtype=np.uint64) | np.uint64(1)
+ADDENDS = _random.integers(0, 1 << 64, LANES, dtype=np.uint64)
+#: For each byte its eight bits in the bytes of a long, so that up to 255 are counted in one sum.
+_COUNTED = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
 
 def shingles(text: str, shingle: int = SHINGLE) -> np.ndarray:
@@ -41,12 +59,38 @@ def set_key(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64))
 
 
-def band_values(hashes: np.ndarray) -> np.ndarray:
-    """Per band a hash of its least values, as signed longs."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), 1024):  # bounded memory for very long texts
-        np.minimum(least, (FACTORS[:, None] * hashes[None, at : at + 1024] + ADDENDS[:, None]).min(axis=1), out=least)
-    return np.array([xxhash.xxh64_intdigest(b.tobytes(), SEED) for b in least.reshape(BANDS, ROWS)], dtype=np.uint64).view(np.int64)
+def fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of shingles, as ``LANES`` unsigned longs: per bit the majority over hashes made of ``hashes``."""
+    ones = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(hashes), 255):  # bounded memory for very long texts
+        h = hashes[at : at + 255, None] * FACTORS + ADDENDS
+        h = (h ^ (h >> np.uint64(32))) * FACTORS[0]
+        ones += _COUNTED[(h ^ (h >> np.uint64(29))).view(np.uint8)].sum(axis=0, dtype=np.uint64).view(np.uint8)
+    return np.packbits(2 * ones > len(hashes)).view(np.uint64)
+
+
+def apart(similarity: float = SIMILARITY) -> float:
+    """With which probability a bit of two sets of that similarity differs."""
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
+def farthest(similarity: float = SIMILARITY, bits: int = BITS) -> int:
+    """The Hamming distance of ``bits`` bits that sets of that similarity don't exceed, but for some 1e-9 of them."""
+    p = apart(similarity)
+    return ceil(p * bits + BEYOND * sqrt(p * (1 - p) * bits))
+
+
+def drawn_bits(n: int, similarity: float = SIMILARITY) -> np.ndarray:
+    """Per block key of ``n`` fingerprints the bits that it is made of; each bit is drawn once before any is drawn again."""
+    width, p = min(24, max(2, round(log2(max(n, 1) / BLOCK)))), apart(similarity)
+    chance = [comb(BITS, h) * p**h * (1 - p) ** (BITS - h) for h in range(BITS - width + 1)]
+    share = np.array([comb(BITS - h, width) / comb(BITS, width) for h in range(BITS - width + 1)])
+    keys = 1
+    while np.dot(chance, (1 - share) ** keys) > MISSED:
+        keys += 1
+    random = np.random.default_rng(SEED)
+    order = np.concatenate([random.permutation(BITS)[: BITS // width * width] for _ in range(-(-keys * width // (BITS // width * width)))])
+    return order[: keys * width].reshape(keys, width)
 
 
 def parity(hashes: np.ndarray) -> np.ndarray:
@@ -63,15 +107,11 @@ def _signed(rows: DataFrame) -> DataFrame:
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys, sizes, bands = [], [], []
-            for t in batch["t"]:
-                h = shingles(t)
-                keys.append(set_key(h))
-                sizes.append(len(h))
-                bands.append(band_values(h))
-            yield pd.DataFrame({"row_no": batch["row_no"], "id": batch["id"], "key": keys, "n": sizes, "bands": bands})
+            found = [shingles(t) for t in batch["t"]]
+            columns = {"key": [set_key(h) for h in found], "n": [len(h) for h in found], "fp": [fingerprint(h).tobytes() for h in found]}
+            yield pd.DataFrame({"row_no": batch["row_no"], "id": batch["id"], **columns})
 
-    return rows.mapInPandas(made, f"row_no long, id {kind}, key long, n long, bands array<long>")
+    return rows.mapInPandas(made, f"row_no long, id {kind}, key long, n long, fp binary")
 
 
 def _sets(rows: DataFrame) -> DataFrame:
@@ -79,9 +119,9 @@ def _sets(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 500):
                 found = [shingles(t) for t in batch["t"].iloc[at : at + 500]]
-                yield pd.DataFrame({"key": [set_key(h) for h in found], "s": [h.view(np.int64) for h in found], "odd": [parity(h) for h in found]})
+                yield pd.DataFrame({"key": [set_key(h) for h in found], "s": [h.view(np.int64) for h in found], "odd": [parity(h).tobytes() for h in found]})
 
-    return rows.select("t").mapInPandas(made, "key long, s array<long>, odd array<long>")
+    return rows.select("t").mapInPandas(made, "key long, s array<long>, odd binary")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -91,59 +131,150 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return materialise(pairs.join(b, "b").join(a, "a").where(both / (F.size("sa") + F.size("sb") - both) >= similarity).select("a", "b"))
 
 
-def _fit(n: Column, m: Column, similarity: float) -> Column:
-    """Whether sets of these sizes can have the similarity."""
-    return F.least(n, m) / F.greatest(n, m) >= similarity
+def _in_blocks(rows: DataFrame, bits: np.ndarray, order: str) -> DataFrame:
+    """``rows`` (fp, ...) once in each of their blocks, with the first bits of fp; blocks are whole in a partition and sorted by ``order``."""
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        values = 1 << np.arange(bits.shape[1])
+        for batch in batches:
+            if len(batch):
+                of = np.unpackbits(np.frombuffer(b"".join(batch["fp"]), dtype=np.uint8).reshape(len(batch), -1), axis=1)
+                yield batch.assign(fp=[x[: 8 * SENT] for x in batch["fp"]], block=[*np.stack([of[:, b] @ values for b in bits], axis=1).astype(np.int32)])
+
+    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema]
+    each = rows.mapInPandas(keyed, ", ".join([*columns, "block array<int>"]))
+    each = each.select(F.posexplode("block").alias("drawn", "block"), *rows.columns)
+    return each.repartition("drawn", "block").sortWithinPartitions("drawn", "block", order)
+
+
+def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The blocks of a sorted partition, one by one."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        same = (batch[["drawn", "block"]].to_numpy()[1:] == batch[["drawn", "block"]].to_numpy()[:-1]).all(axis=1)
+        cuts = [0, *(np.flatnonzero(~same) + 1).tolist(), len(batch)]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            part = batch.iloc[i:j]
+            if held and (held[0]["drawn"].iloc[0], held[0]["block"].iloc[0]) != (part["drawn"].iloc[0], part["block"].iloc[0]):
+                yield pd.concat(held, ignore_index=True)
+                held = []
+            held.append(part)
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _maps(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=np.uint64).reshape(len(column), -1)
 
 
-def _close(a: Column, b: Column, n: Column, m: Column, similarity: float) -> Column:
-    """Whether sets of these parity maps and sizes can have the similarity s: they differ in (1 - s) / (1 + s) (n + m) shingles at most."""
-    apart = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(PARITY)), F.lit(0))
-    return apart <= (n + m) * ((1 - similarity) / (1 + similarity)) + 1e-6
+def _near(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Which rows of ``x`` (across) are near which of ``y`` by the first bits of their fingerprints."""
+    differ = sum(np.bitwise_count(x[:, None, i] ^ y[None, :, i]) for i in range(PREFIX))  # at most 128: bytes hold it
+    return differ <= farthest(similarity, 64 * PREFIX)
 
 
-def _candidates(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """All pairs (a, b) of ``rest`` (key, n, root) that may have the similarity and aren't linked; none is missed.
+def leaders(fp: np.ndarray, n: np.ndarray, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Pairs of places in a block: each row with the first that leads it and is near, a leader with the nearest row led by another.
 
-    Of two sets of sizes n <= m and similarity s, the rarest n - 2 s / (1 + s) n + 1 shingles of the smaller and the
-    rarest m - s m + 1 of the larger have one in common. So sets that share a frequent passage only don't meet.
-    Copies of one text that are too far apart do meet, in the square of their number: the join's condition compares
-    their parity maps, so that it gives few pairs but those that have the similarity. Maps of large sets (some
-    2,000 shingles or more) fill up and let more through.
+    So every row that has another near it is in a pair, and there are at most two pairs a row.
     """
-    each = materialise(rest.join(sets.select("key", F.explode("s").alias("h")), "key"))
-    often = each.groupBy("h").agg(F.count(F.lit(1)).alias("often"))
-    place = F.row_number().over(Window.partitionBy("key").orderBy("often", "h"))
-    kept = lambda share: F.col("n") - F.ceil(F.col("n") * share - 1e-6) + 1
-    ranked = each.join(often, "h").withColumn("place", place).where(F.col("place") <= kept(similarity))
-    ranked = materialise(ranked.where("often > 1").withColumn("least", F.col("place") <= kept(2 * similarity / (1 + similarity))))
-    ranked = ranked.join(checked_broadcast(materialise(rest.select("key").join(sets.select("key", "odd"), "key")), 100_000), "key")
-    x = ranked.where("least").select("h", F.col("key").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("odd").alias("oa"))
-    y = ranked.select("h", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("odd").alias("ob"))
-    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    alike = _fit(F.col("na"), F.col("nb"), similarity) & _close(F.col("oa"), F.col("ob"), F.col("na"), F.col("nb"), similarity)
-    return x.join(y, "h").where(smaller & (F.col("ra") != F.col("rb")) & alike).select("a", "b").distinct()
-
-
-def _edges(shared: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Edges over all pairs in one bucket that have the similarity, without those inside what is linked already.
-
-    First everyone is compared with the least and with the greatest of a bucket, which links a group of any size in
-    linear time; those of buckets that still hold different components then go by ``_candidates``.
+    free, out, most = np.ones(len(fp), dtype=bool), [], farthest(similarity, 64 * fp.shape[1])
+    at = 0
+    while at < len(fp):
+        todo = at + np.flatnonzero(free[at : at + 16 * ROWS])[:ROWS]
+        if not len(todo):
+            at += 16 * ROWS
+            continue
+        near = _near(fp[todo], fp, similarity)
+        for i in np.flatnonzero(near.sum(axis=1) > 1).tolist():
+            me = int(todo[i])
+            if free[me]:
+                others = np.flatnonzero(near[i])
+                others = others[(others != me) & (np.minimum(n[others], n[me]) >= similarity * np.maximum(n[others], n[me]) - 1e-6)]
+                far = np.bitwise_count(fp[others] ^ fp[me]).sum(axis=1, dtype=np.int64)
+                others, far = others[far <= most], far[far <= most]
+                new = free[others] & (others > me)
+                out += [(me, int(j)) for j in others[new]]
+                if (led := ~free[others]).any():
+                    out.append((int(others[led][far[led].argmin()]), me))
+                free[others[new]] = False
+        at = int(todo[-1]) + 1
+    return out
+
+
+def unlinked(block: pd.DataFrame, similarity: float = SIMILARITY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of near rows of different components in a block (fp, n, root, perhaps odd) sorted by root; by parity maps too, if there are any."""
+    fp, n, root = _maps(block["fp"]), block["n"].to_numpy(), block["root"].to_numpy()
+    odd = _maps(block["odd"]) if "odd" in block else None
+    after = np.searchsorted(root, root, side="right")  # who may still be of another component
+    for at in range(0, len(fp), ROWS):
+        start = int(after[at])
+        if start == len(fp):
+            return
+        near = _near(fp[at : at + ROWS], fp[start:], similarity) & (root[at : at + ROWS, None] < root[None, start:])
+        i, j = np.nonzero(near)
+        i, j = i + at, j + start
+        fits = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6
+        i, j = i[fits], j[fits]
+        fits = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64) <= farthest(similarity, 64 * fp.shape[1])
+        if odd is not None:  # sets of similarity s differ in (1 - s) / (1 + s) of their sizes' sum at most
+            least = np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1, dtype=np.int64)
+            fits &= least <= (n[i] + n[j]) * ((1 - similarity) / (1 + similarity)) + 1e-6
+        yield i[fits], j[fits]
+
+
+def _led(rows: DataFrame, bits: np.ndarray, similarity: float) -> DataFrame:
+    """Pairs (a, b) of ``rows`` (key, n, fp) by ``leaders`` of every block."""
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for block in _whole(batches):
+            pairs = leaders(_maps(block["fp"]), block["n"].to_numpy(), similarity)
+            key = block["key"].to_numpy()[np.array(pairs, dtype=np.int64).reshape(-1, 2)]
+            yield pd.DataFrame({"a": key.min(axis=1), "b": key.max(axis=1)})
+
+    return _in_blocks(rows, bits, "key").mapInPandas(found, "a long, b long").distinct()
+
+
+def _apart_yet(rows: DataFrame, bits: np.ndarray, similarity: float) -> DataFrame:
+    """Keys of ``rows`` (key, n, fp, root) that have a near one of another component in a block."""
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for block in _whole(batches):
+            some = np.zeros(len(block), dtype=bool)
+            for i, j in unlinked(block, similarity):
+                some[i] = some[j] = True
+            yield pd.DataFrame({"key": block["key"].to_numpy()[some]})
+
+    return _in_blocks(rows, bits, "root").mapInPandas(found, "key long").distinct()
+
+
+def _left(rows: DataFrame, bits: np.ndarray, similarity: float) -> DataFrame:
+    """All pairs (a, b) of ``rows`` (key, n, fp, root, odd) of different components that share a block and may have the similarity."""
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for block in _whole(batches):
+            key = block["key"].to_numpy()
+            for i, j in unlinked(block, similarity):
+                yield pd.DataFrame({"a": np.minimum(key[i], key[j]), "b": np.maximum(key[i], key[j])})
+
+    return _in_blocks(rows, bits, "root").mapInPandas(found, "a long, b long").distinct()
+
+
+def _edges(members: DataFrame, near: DataFrame, sets: DataFrame, bits: np.ndarray, similarity: float) -> DataFrame:
+    """Edges over all pairs in one block that have the similarity, without those inside what is linked already.
+
+    The pairs ``near`` of leaders link a group of any size in linear time; what still has a near row of another
+    component is then compared pair by pair.
     """
-    bucket, me = ["band", "value"], F.struct("key", "n")
-    edges = None
-    for pick in (F.min, F.max):
-        lead = checked_broadcast(materialise(shared.groupBy(*bucket).agg(pick(me).alias("lead"))))
-        pairs = shared.join(lead, bucket).where((F.col("lead")["key"] != F.col("key")) & _fit(F.col("n"), F.col("lead")["n"], similarity))
-        found = _similar(materialise(pairs.select(F.col("lead")["key"].alias("a"), F.col("key").alias("b")).distinct()), sets, similarity)
-        edges = found if edges is None else edges.unionByName(found)
-        linked = connected_components(edges).withColumnRenamed("node", "key")
-        rooted = shared.drop("root").join(linked, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        mixed = rooted.groupBy(*bucket).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(*bucket)
-        shared = materialise(rooted.join(checked_broadcast(materialise(mixed)), bucket, "left_semi"))
-    rest = shared.select("key", "n", "root").distinct()
-    return edges.unionByName(_similar(materialise(_candidates(rest, sets, similarity)), sets, similarity))
+    edges = _similar(near, sets, similarity)
+    linked = connected_components(edges).withColumnRenamed("node", "key")
+    some = checked_broadcast(sets.select("key"), 1_000_000)
+    rooted = materialise(members.join(some, "key", "left_semi").join(linked, "key", "left").withColumn("root", F.coalesce("root", "key")))
+    rest = checked_broadcast(materialise(_apart_yet(rooted, bits, similarity)), 1_000_000)
+    rest = materialise(rooted.join(rest, "key", "left_semi").join(sets.select("key", "odd"), "key"))
+    return edges.unionByName(_similar(materialise(_left(rest, bits, similarity)), sets, similarity))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -156,13 +287,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = numbered(docs, F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     rows = materialise(_signed(texts))
     order = F.struct(F.col("id").isNull().alias("last"), "id", "row_no")
-    distinct = materialise(rows.groupBy("key", "n").agg(F.min(order).alias("least"), F.first("bands").alias("bands")))
-    members = distinct.where("n > 0").select(F.posexplode("bands").alias("band", "value"), "key", "n", F.col("least")["row_no"].alias("row_no"))
-    several = members.groupBy("band", "value").agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    shared = materialise(members.join(checked_broadcast(materialise(several)), ["band", "value"], "left_semi"))
-    wanted = checked_broadcast(materialise(shared.select("row_no").distinct()), 1_000_000)
-    sets = materialise(_sets(texts.join(wanted, "row_no", "left_semi")))
-    linked = settled(lambda: connected_components(_edges(shared.drop("row_no"), sets, similarity))).withColumnRenamed("node", "key")
+    distinct = materialise(rows.groupBy("key", "n").agg(F.min(order).alias("least"), F.first("fp").alias("fp")))
+    members = distinct.where("n > 0").select("key", "n", "fp")
+    bits = drawn_bits(members.count(), similarity)
+    near = materialise(_led(members, bits, similarity))
+    wanted = near.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    wanted = distinct.join(wanted, "key", "left_semi").select(F.col("least")["row_no"].alias("row_no"))
+    sets = materialise(_sets(texts.join(checked_broadcast(materialise(wanted), 1_000_000), "row_no", "left_semi")))
+    linked = settled(lambda: connected_components(_edges(members, near, sets, bits, similarity))).withColumnRenamed("node", "key")
     rooted = distinct.join(linked, "key", "left").select("key", F.coalesce("root", "key").alias("root"), "least")
     least = rooted.groupBy("root").agg(F.min("least").alias("first"))
     stays = rooted.join(least, "root").select("key", F.col("first")["row_no"].alias("stays"))

@@ -91,3 +91,41 @@ def test_near_copy_goes_in_the_stage(spark):
     assert 0.8 < jaccard(sets(clean), sets(" ".join(near))) < 0.9
     assert [x["doc_id"] for x in corpus_pipeline.near_stage(spark, docs, "").collect()] == [1]
     assert near_dedup.keep_one(docs.where("doc_id < 0")).count() == 0
+
+
+def test_pairs_come_from_fingerprints_in_blocks(spark):
+    """Fingerprints differ by the angle of the sets; what blocks propose is what the Hamming distance says."""
+    r = np.random.default_rng(3)
+    fresh = lambda n: r.integers(0, 1 << 64, n, dtype=np.uint64)
+    off = []
+    for n in (18, 90, 900):
+        for _ in range(60):
+            common, own, other = fresh(n * 8 // 9), fresh(n // 9), fresh(n // 9)
+            a, b = (near_dedup.fingerprint(np.r_[common, x]) for x in (own, other))
+            off.append(int(np.bitwise_count(a ^ b).sum()))
+    assert abs(np.mean(off) / near_dedup.BITS - near_dedup.apart(0.8)) < 0.01 and max(off) <= near_dedup.farthest(0.8)
+    fp = np.array([near_dedup.fingerprint(fresh(100))[: near_dedup.SENT] for _ in range(150)])
+    for i in range(1, 150, 3):  # near the one before, some of them
+        fp[i] = fp[i - 1]
+        fp[i].view(np.uint8)[: r.integers(0, 32)] ^= r.integers(0, 256, dtype=np.uint8)
+    distance = lambda x: np.bitwise_count(x[:, None] ^ x[None]).sum(axis=2, dtype=int)
+    first = np.bitwise_count(fp[:, None, : near_dedup.PREFIX] ^ fp[None, :, : near_dedup.PREFIX]).sum(axis=2, dtype=int)
+    near = (distance(fp) <= near_dedup.farthest(bits=64 * near_dedup.SENT)) & (first <= near_dedup.farthest(bits=64 * near_dedup.PREFIX)) & ~np.eye(150, dtype=bool)
+    found = near_dedup.leaders(fp, np.full(150, 100))
+    assert near.any() and all(near[i, j] for i, j in found)
+    assert {x for pair in found for x in pair} == set(np.flatnonzero(near.any(axis=1)).tolist())
+
+
+def test_recall_at_the_similarity(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    texts = []
+    while len(texts) < 600:
+        base = [word() for _ in range(r.randrange(60, 300))]
+        w = list(base)
+        while jaccard(sets(" ".join(base)), sets(" ".join(w))) > 0.83:
+            w[r.randrange(len(w))] = word()
+        if jaccard(sets(" ".join(base)), sets(" ".join(w))) >= 0.8:
+            texts += [" ".join(base), " ".join(w)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(x["doc_id"] for x in near_dedup.keep_one(docs).collect()) == list(range(0, 600, 2))
