@@ -141,6 +141,10 @@ READERS: dict[str, Callable[[bytes], list[Block]]] = {"docx": docx_blocks, "html
 _BLOCKS = "path string, kind string, pos int, page int, type string, text string, rows array<array<string>>, error string"
 
 
+#: Bytes of a PDF file's pages that a task hands on together, and the page that goes beyond.
+PAGES = 4 << 20
+
+
 def read_blocks(files: DataFrame, readers: dict[str, Callable[[bytes], list[Block]]] | None = None) -> DataFrame:
     """(path, kind, pos, page, type, text, rows, error): the blocks of files (path, content), parsed on the executors.
 
@@ -155,16 +159,22 @@ def read_blocks(files: DataFrame, readers: dict[str, Callable[[bytes], list[Bloc
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                kind = path.rsplit(".", 1)[-1].lower()
+                kind, out = path.rsplit(".", 1)[-1].lower(), []
                 try:
                     if kind == "pdf" and own:
+                        out, size = [], 0
                         for n, body, names in pdf.read_pages(bytes(content)):
-                            yield pd.DataFrame([(path, kind, None, n, None, None, None, None, body, names)], columns=columns)
+                            out.append((path, kind, None, n, None, None, None, None, body, names))
+                            size += len(body) + len(names)
+                            if size > PAGES:
+                                yield pd.DataFrame(out, columns=columns)
+                                out, size = [], 0
+                        yield pd.DataFrame(out, columns=columns)
                         continue
                     blocks = known[kind](bytes(content))
                     out = [(path, kind, i, pos, t, text, rows, None, None, None) for i, (pos, t, text, rows) in enumerate(blocks)]
                 except Exception as e:
-                    out = [(path, kind, *[None] * 5, f"{type(e).__name__}: {e}", None, None)]
+                    out = [*out, (path, kind, *[None] * 5, f"{type(e).__name__}: {e}", None, None)]
                 yield pd.DataFrame(out, columns=columns)
 
     opened = files.select("path", "content").mapInPandas(parsed, f"{_BLOCKS}, body binary, known string")

@@ -13,6 +13,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -22,9 +23,10 @@ from ..session import written
 
 _BREAK = rb"\x00\t\n\f\r ()<>\[\]{}/%"
 _TOKEN = re.compile(
-    rb"[\x00\t\n\f\r ]+|%[^\r\n]*|(?P<num>[+-]?(?:\d+\.?\d*|\.\d+))(?![^" + _BREAK + rb"])|/(?P<name>[^" + _BREAK + rb"]*)|(?P<open><<|\[)|(?P<close>>>|\])"
-    rb"|<(?P<hex>[0-9A-Fa-f\s]*)>|(?P<text>\()|(?P<word>[^" + _BREAK + rb"]+)|."
+    rb"[\x00\t\n\f\r ]*(?:%[^\r\n]*|(?P<num>[+-]?(?:\d+\.?\d*|\.\d+))(?![^" + _BREAK + rb"])|/(?P<name>[^" + _BREAK + rb"]*)|(?P<open><<|\[)|(?P<close>>>|\])"
+    rb"|<(?P<hex>[0-9A-Fa-f\s]*)>|(?P<text>\()|(?P<word>[^" + _BREAK + rb"]+)|.)"
 , re.S)
+_PLAIN = re.compile(rb"[^()\\]*\)")
 _ESCAPE = re.compile(rb"\\([0-7]{1,3}|\r\n|.)", re.S)
 _ESCAPED = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"\n": b"", b"\r": b"", b"\r\n": b""}
 _OBJECT, _STREAM = re.compile(rb"(?<!\d)(\d+)\s+\d+\s+obj\b"), re.compile(rb"(?<!end)stream\r?\n")
@@ -43,6 +45,8 @@ class Ref:
 
 def _literal(data: bytes, at: int) -> tuple[bytes, int]:
     """The string that starts behind a parenthesis, and where it ends."""
+    if plain := _PLAIN.match(data, at):
+        return data[at : plain.end() - 1], plain.end()
     depth, i = 1, at
     while depth and i < len(data):
         c = data[i]
@@ -242,24 +246,31 @@ def placed(body: bytes, known: dict, base: list | None = None) -> Iterator[tuple
 
     def moved(by: float) -> None:
         nonlocal text
-        text = _times([1, 0, 0, 1, by, 0], text)
+        text = [*text[:4], by * text[0] + text[4], by * text[1] + text[5]]
+
+    def on_page(x: float, y: float) -> tuple[float, float]:
+        x, y = rise * text[2] + x, rise * text[3] + y
+        return x * m[0] + y * m[2] + m[4], x * m[1] + y * m[3] + m[5]
 
     def shown(said: bytes) -> Iterator[tuple]:
-        nonlocal blank
+        nonlocal blank, text
         word, start, end = "", None, None
-        at = lambda: (lambda t: (t[4], t[5]))(_times(_times([1, 0, 0, 1, 0, rise], text), m))
-        for i in range(0, len(said) - font["size"] + 1, font["size"]):
-            c = int.from_bytes(said[i : i + font["size"]], "big")
-            s, here = font["said"].get(c, "\ufffd" if font["size"] == 2 else ""), at()
-            moved(((font["widths"].get(c, font["usual"]) / 1000) * size + gaps[0] + (gaps[1] if font["size"] == 1 and c == 32 else 0)) * wide)
+        n, says, widths, usual = font["size"], font["said"], font["widths"], font["usual"]
+        none, x, y = "\ufffd" if n == 2 else "", text[4], text[5]
+        for i in range(0, len(said) - n + 1, n):
+            c = said[i] if n == 1 else int.from_bytes(said[i : i + n], "big")
+            s, before = says.get(c, none), (x, y)
+            by = ((widths.get(c, usual) / 1000) * size + gaps[0] + (gaps[1] if n == 1 and c == 32 else 0)) * wide
+            x, y = by * text[0] + x, by * text[1] + y
             if s.isspace():
                 if word:
-                    yield ("w", *start, *end, blank, word)
+                    yield ("w", *on_page(*start), *on_page(*end), blank, word)
                 word, blank = "", True
             elif s:
-                start, end, word = start if word else here, at(), word + s
+                start, end, word = start if word else before, (x, y), word + s
+        text = [*text[:4], x, y]
         if word:
-            yield ("w", *start, *end, blank, word)
+            yield ("w", *on_page(*start), *on_page(*end), blank, word)
             blank = False
 
     for op, x in operations(body):
@@ -319,14 +330,19 @@ def placed(body: bytes, known: dict, base: list | None = None) -> Iterator[tuple
             yield from placed(form["body"].encode("latin-1"), form, _times(form["matrix"], m))
 
 
+#: Marks that a task hands on together, and those of the page that goes beyond.
+MARKS = 5000
 _SHOWN = "path string, page int, n int, kind string, x0 double, y0 double, x1 double, y1 double, spaced boolean, text string, error string"
 
 
 def read_pages(content: bytes) -> Iterator[tuple[int, bytes, str]]:
     """(page from 1, the operators that draw it, the fonts and forms that they name as JSON)."""
     doc = Document(content)
+    said, known = None, ""
     for n, p in enumerate(doc.pages(), start=1):
-        yield n, doc.bytes_of(p.get("Contents")), json.dumps(doc.resources(p.get("Resources")))
+        if repr(p.get("Resources")) != said:  # pages mostly share theirs
+            said, known = repr(p.get("Resources")), json.dumps(doc.resources(p.get("Resources")))
+        yield n, doc.bytes_of(p.get("Contents")), known
 
 
 def page_marks(pages: DataFrame) -> DataFrame:
@@ -337,13 +353,18 @@ def page_marks(pages: DataFrame) -> DataFrame:
             "fonts": {k: f | {p: {int(c): v for c, v in f[p].items()} for p in ("said", "widths")} for k, f in known["fonts"].items()},
             "forms": {k: f | codes(f) for k, f in known["forms"].items()},
         }
+        decoded = lru_cache(16)(lambda known: codes(json.loads(known)))
+        columns, rows = [c.split()[0] for c in _SHOWN.split(", ")], []
         for batch in batches:
             for path, page, body, known in batch[["path", "page", "body", "known"]].itertuples(index=False):
                 try:
-                    rows = [(path, page, n, *mark, None) for n, mark in enumerate(placed(bytes(body), codes(json.loads(known))))]
+                    rows += [(path, page, n, *mark, None) for n, mark in enumerate(list(placed(bytes(body), decoded(known))))]
                 except Exception as e:
-                    rows = [(path, page, 0, "error", None, None, None, None, None, None, f"{type(e).__name__}: {e}")]
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in _SHOWN.split(", ")])
+                    rows.append((path, page, 0, "error", None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+                if len(rows) >= MARKS:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+        yield pd.DataFrame(rows, columns=columns)
 
     return pages.mapInPandas(read, _SHOWN)
 

@@ -66,3 +66,13 @@ def test_no_files(spark):
 def test_scanner_passes_over_images_and_odd_marks():
     found = list(pdf.operations(b"BI /W 1 ID \x00(\xff EI 1 2 Td % remark\n<4 1> Tj [(a\\\n\\101)] TJ"))
     assert found[2:5] == [("Td", [1.0, 2.0]), ("Tj", [b"A"]), ("TJ", [[b"aA"]])]
+
+
+def test_pages_share_their_resources_and_marks_go_on_together(spark, monkeypatch):
+    calls, real = [], pdf.Document.resources
+    monkeypatch.setattr(pdf.Document, "resources", lambda self, *x: calls.append(1) or real(self, *x))
+    assert len({known for _, _, known in pdf.read_pages(make_pdf([[(f"page {n}", None)] for n in range(20)]))}) == 1 and len(calls) == 1
+    monkeypatch.setattr(files, "PAGES", 10_000)
+    got = blocks(spark, make_pdf([[(f"page {n}", None)] for n in range(20)]), b"no file").collect()
+    assert sorted((r["page"], r["text"]) for r in got if r["error"] is None) == [(n + 1, f"page {n}") for n in range(20)]
+    assert [r["path"] for r in got if r["error"]] == ["f1.pdf"]
