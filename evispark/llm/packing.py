@@ -60,6 +60,10 @@ class ChunkTokenizer:
     def _learn(self, chunks: list[bytes]) -> None:
         rest, known, words, plain, split, word = [], self.known, self.words, PLAIN.fullmatch, SPLIT.findall, self._word
         for c in chunks:
+            if c.isalpha():  # ASCII letters only: one word
+                w = c.lower().decode()
+                known[c] = words.get(w) or word(w)
+                continue
             w = c.decode()
             if plain(w) and "<|" not in w:
                 parts = split(w.lower())
@@ -75,7 +79,7 @@ class ChunkTokenizer:
         """Little-endian unsigned 32-bit ids of each text."""
         known = self.known
         split = [t.encode("utf-8").split() for t in texts]
-        self._learn(list({w for words in split for w in words if w not in known}))
+        self._learn(list(set().union(*split).difference(known)))
         for words in split:
             yield b"".join(map(known.__getitem__, words))
         if len(known) > REMEMBERED:

@@ -3,6 +3,7 @@
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -139,3 +140,13 @@ def test_token_counts(spark):
     got = {x["doc_id"]: x for x in token_counts.token_counts(docs_of(spark, texts)).collect()}
     assert [got[i]["n_words"] for i in range(5)] == [0, 0, 2, 1, 1] and got[2]["n_tokens"] == 2 and got[0]["n_tokens"] == 0
     assert token_counts.token_counts(docs_of(spark, [])).count() == 0
+
+
+def test_words_of_letters_skip_the_patterns(monkeypatch):
+    import public_tokenizers
+
+    made = packing.ChunkTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["Words of LETTERS only", "words\tOF letters ONLY words", ""]
+    want = [np.array(made.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    monkeypatch.setattr(packing, "PLAIN", SimpleNamespace(fullmatch=lambda w: pytest.fail(w)))
+    assert list(made.ids(texts)) == want
