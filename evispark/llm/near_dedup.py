@@ -32,6 +32,8 @@ MISSED = 1e-4
 BEYOND = 6
 #: Rows that are compared with a whole block at once.
 ROWS = 64
+#: What is compared whole in one task has so many rows and shingles at most; larger blocks are cut into tiles.
+TILE_ROWS, TILE_SHINGLES = 4096, 2_000_000
 #: Bits of a set's parity map, as longs.
 PARITY = 16
 _random = np.random.default_rng(SEED)
@@ -131,33 +133,36 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return materialise(pairs.join(b, "b").join(a, "a").where(both / (F.size("sa") + F.size("sb") - both) >= similarity).select("a", "b"))
 
 
-def _in_blocks(rows: DataFrame, bits: np.ndarray, order: str) -> DataFrame:
-    """``rows`` (fp, ...) once in each of their blocks, with the first bits of fp; blocks are whole in a partition and sorted by ``order``."""
+def _in_blocks(rows: DataFrame, bits: np.ndarray, order: str, all_blocks: bool = False) -> DataFrame:
+    """``rows`` (fp, ...) once in each of their blocks, with the first bits of fp; blocks are whole in a partition and sorted by ``order``.
+
+    With ``all_blocks``, each row has the list of its blocks too.
+    """
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         values = 1 << np.arange(bits.shape[1])
         for batch in batches:
             if len(batch):
                 of = np.unpackbits(np.frombuffer(b"".join(batch["fp"]), dtype=np.uint8).reshape(len(batch), -1), axis=1)
-                yield batch.assign(fp=[x[: 8 * SENT] for x in batch["fp"]], block=[*np.stack([of[:, b] @ values for b in bits], axis=1).astype(np.int32)])
+                yield batch.assign(fp=[x[: 8 * SENT] for x in batch["fp"]], blocks=[*np.stack([of[:, b] @ values for b in bits], axis=1).astype(np.int32)])
 
     columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema]
-    each = rows.mapInPandas(keyed, ", ".join([*columns, "block array<int>"]))
-    each = each.select(F.posexplode("block").alias("drawn", "block"), *rows.columns)
+    each = rows.mapInPandas(keyed, ", ".join([*columns, "blocks array<int>"]))
+    each = each.select(F.posexplode("blocks").alias("drawn", "block"), *rows.columns, *["blocks"] * all_blocks)
     return each.repartition("drawn", "block").sortWithinPartitions("drawn", "block", order)
 
 
-def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _whole(batches: Iterator[pd.DataFrame], by: tuple[str, ...] = ("drawn", "block")) -> Iterator[pd.DataFrame]:
     """The blocks of a sorted partition, one by one."""
     held: list[pd.DataFrame] = []
     for batch in batches:
         if not len(batch):
             continue
-        same = (batch[["drawn", "block"]].to_numpy()[1:] == batch[["drawn", "block"]].to_numpy()[:-1]).all(axis=1)
-        cuts = [0, *(np.flatnonzero(~same) + 1).tolist(), len(batch)]
+        at = batch[[*by]].to_numpy()
+        cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
         for i, j in zip(cuts, cuts[1:], strict=False):
             part = batch.iloc[i:j]
-            if held and (held[0]["drawn"].iloc[0], held[0]["block"].iloc[0]) != (part["drawn"].iloc[0], part["block"].iloc[0]):
+            if held and any(held[0][c].iloc[0] != part[c].iloc[0] for c in by):
                 yield pd.concat(held, ignore_index=True)
                 held = []
             held.append(part)
@@ -205,9 +210,13 @@ def leaders(fp: np.ndarray, n: np.ndarray, similarity: float = SIMILARITY) -> li
 
 
 def unlinked(block: pd.DataFrame, similarity: float = SIMILARITY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of near rows of different components in a block (fp, n, root, perhaps odd) sorted by root; by parity maps too, if there are any."""
+    """Places of near rows of different components in a block (fp, n, root, perhaps odd and blocks) sorted by root.
+
+    By parity maps too, if there are any. Where the rows have their blocks, pairs are left out that meet in an earlier one.
+    """
     fp, n, root = _maps(block["fp"]), block["n"].to_numpy(), block["root"].to_numpy()
     odd = _maps(block["odd"]) if "odd" in block else None
+    before = np.stack(block["blocks"].to_list())[:, : int(block["drawn"].iloc[0])] if "blocks" in block else None
     after = np.searchsorted(root, root, side="right")  # who may still be of another component
     for at in range(0, len(fp), ROWS):
         start = int(after[at])
@@ -222,7 +231,42 @@ def unlinked(block: pd.DataFrame, similarity: float = SIMILARITY) -> Iterator[tu
         if odd is not None:  # sets of similarity s differ in (1 - s) / (1 + s) of their sizes' sum at most
             least = np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1, dtype=np.int64)
             fits &= least <= (n[i] + n[j]) * ((1 - similarity) / (1 + similarity)) + 1e-6
-        yield i[fits], j[fits]
+        i, j = i[fits], j[fits]
+        if before is not None:
+            new = np.ones(len(i), dtype=bool)
+            for at_once in range(0, len(i), 16 * BLOCK):
+                some = slice(at_once, at_once + 16 * BLOCK)
+                new[some] = (before[i[some]] != before[j[some]]).all(axis=1)
+            i, j = i[new], j[new]
+        yield i, j
+
+
+def joining(block: pd.DataFrame, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Places of rows of a block as in ``unlinked``, with their sets ``s``, that have the similarity and join two components.
+
+    Every pair that ``unlinked`` has is in one component by what is returned and by root, or was compared whole and
+    lacks the similarity; so there are fewer pairs than rows, however many have the similarity.
+    """
+    n, of = block["n"].to_numpy(), np.unique(block["root"], return_inverse=True)[1]
+    shingle = np.unique(np.concatenate(block["s"].to_list()), return_inverse=True)[1]
+    ends = np.cumsum(n)
+    sets = [shingle[i:j] for i, j in zip((ends - n).tolist(), ends.tolist(), strict=True)]
+    mine, out = np.zeros(len(shingle), dtype=bool), []
+    for i, j in unlinked(block, similarity):
+        starts = np.flatnonzero(np.diff(i, prepend=-1))
+        for x, others in zip(i[starts].tolist(), np.split(j, starts[1:]), strict=True) if len(i) else ():
+            mine[sets[x]] = True
+            for at in range(0, len(others), ROWS):
+                y = others[at : at + ROWS]
+                if not len(y := y[of[y] != of[x]]):
+                    continue
+                both = np.add.reduceat(mine[np.concatenate([sets[k] for k in y])], np.cumsum(n[y]) - n[y], dtype=np.int64)
+                for k in y[both / (n[x] + n[y] - both) >= similarity].tolist():
+                    if of[k] != of[x]:
+                        out.append((x, k))
+                        of[of == of[k]] = of[x]
+            mine[sets[x]] = False
+    return out
 
 
 def _led(rows: DataFrame, bits: np.ndarray, similarity: float) -> DataFrame:
@@ -250,23 +294,47 @@ def _apart_yet(rows: DataFrame, bits: np.ndarray, similarity: float) -> DataFram
     return _in_blocks(rows, bits, "root").mapInPandas(found, "key long").distinct()
 
 
-def _left(rows: DataFrame, bits: np.ndarray, similarity: float) -> DataFrame:
-    """All pairs (a, b) of ``rows`` (key, n, fp, root, odd) of different components that share a block and may have the similarity."""
+def _met(rows: DataFrame, bits: np.ndarray, similarity: float) -> DataFrame:
+    """``rows`` (key, n, fp, root, odd) in those of their blocks in which they first meet one of another component that may have the similarity."""
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block in _whole(batches):
-            key = block["key"].to_numpy()
+            some = np.zeros(len(block), dtype=bool)
             for i, j in unlinked(block, similarity):
-                yield pd.DataFrame({"a": np.minimum(key[i], key[j]), "b": np.maximum(key[i], key[j])})
+                some[i] = some[j] = True
+            yield block[some]
+
+    each = _in_blocks(rows, bits, "root", all_blocks=True)
+    return each.mapInPandas(found, each.schema)
+
+
+def _tiled(rows: DataFrame, tile_rows: int, tile_shingles: int) -> DataFrame:
+    """``rows`` of blocks with ``tile``: those of a large block are dealt into parts, and any two parts share a tile."""
+    of = F.greatest(F.count(F.lit(1)) / tile_rows, F.sum("n") / tile_shingles)
+    parts = materialise(rows.groupBy("drawn", "block").agg(F.ceil(of).cast("int").alias("parts")))
+    rows = rows.join(checked_broadcast(parts), ["drawn", "block"]).withColumn("part", F.pmod(F.xxhash64("key"), "parts").cast("int"))
+    tile = lambda x: F.least("part", x).cast("long") * F.col("parts") + F.greatest("part", x)
+    return rows.withColumn("tile", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), tile))).drop("part", "parts")
+
+
+def _joined(met: DataFrame, sets: DataFrame, similarity: float, tile_rows: int = TILE_ROWS, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
+    """Edges (a, b) by ``joining`` of every tile of ``met`` (see ``_met``): fewer than it has rows, whatever a group's size."""
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for block in _whole(batches, ("drawn", "block", "tile")):
+            key = block["key"].to_numpy()[np.array(joining(block, similarity), dtype=np.int64).reshape(-1, 2)]
+            yield pd.DataFrame({"a": key.min(axis=1), "b": key.max(axis=1)})
 
-    return _in_blocks(rows, bits, "root").mapInPandas(found, "a long, b long").distinct()
+    rows = _tiled(met, tile_rows, tile_shingles).join(sets.select("key", "s"), "key").repartition("drawn", "block", "tile")
+    return rows.sortWithinPartitions("drawn", "block", "tile", "root").mapInPandas(found, "a long, b long").distinct()
 
 
 def _edges(members: DataFrame, near: DataFrame, sets: DataFrame, bits: np.ndarray, similarity: float) -> DataFrame:
     """Edges over all pairs in one block that have the similarity, without those inside what is linked already.
 
     The pairs ``near`` of leaders link a group of any size in linear time; what still has a near row of another
-    component is then compared pair by pair.
+    component is then compared pair by pair, with the whole sets, in the block where a pair first meets. Only edges
+    that join components leave a block.
     """
     edges = _similar(near, sets, similarity)
     linked = connected_components(edges).withColumnRenamed("node", "key")
@@ -274,7 +342,7 @@ def _edges(members: DataFrame, near: DataFrame, sets: DataFrame, bits: np.ndarra
     rooted = materialise(members.join(some, "key", "left_semi").join(linked, "key", "left").withColumn("root", F.coalesce("root", "key")))
     rest = checked_broadcast(materialise(_apart_yet(rooted, bits, similarity)), 1_000_000)
     rest = materialise(rooted.join(rest, "key", "left_semi").join(sets.select("key", "odd"), "key"))
-    return edges.unionByName(_similar(materialise(_left(rest, bits, similarity)), sets, similarity))
+    return edges.unionByName(materialise(_joined(materialise(_met(rest, bits, similarity)), sets, similarity)))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

@@ -129,3 +129,58 @@ def test_recall_at_the_similarity(spark):
             texts += [" ".join(base), " ".join(w)]
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
     assert sorted(x["doc_id"] for x in near_dedup.keep_one(docs).collect()) == list(range(0, 600, 2))
+
+
+def crowd(n, seed, words, changes):
+    """Copies of a text, each changed in places of its own, so that far more pairs are near than leaders link."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    base, texts = [word() for _ in range(words)], []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(r.choice(changes)):
+            w[r.randrange(len(w))] = word()
+        texts.append(" ".join(w))
+    return texts
+
+
+def components(texts):
+    shingled, root = [sets(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and jaccard(shingled[i], shingled[j]) >= 0.8:
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if x == hi else x for x in root]
+    return root
+
+
+def test_no_table_grows_with_the_square_of_a_group(spark, monkeypatch):
+    texts, written = crowd(400, 8, 400, (4, 5)), []
+    root = components(texts)
+
+    def materialise(df, f=near_dedup.materialise):
+        written.append((out := f(df)).count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialise", materialise)
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(x["doc_id"] for x in near_dedup.keep_one(docs).collect()) == sorted(set(root))
+    assert max(written) < 10 * len(texts)
+
+
+def test_tiles_of_a_block_have_all_its_pairs(spark):
+    texts = crowd(200, 9, 120, (1, 2, 3))
+    found = [near_dedup.shingles(t) for t in texts]
+    rows = [(i, len(h), bytearray(near_dedup.fingerprint(h).tobytes()), i, bytearray(near_dedup.parity(h).tobytes()), h.view(np.int64).tolist()) for i, h in enumerate(found)]
+    rows = spark.createDataFrame(rows, "key long, n long, fp binary, root long, odd binary, s array<long>")
+    met = near_dedup.materialise(near_dedup._met(rows.drop("s"), near_dedup.drawn_bits(len(texts)), near_dedup.SIMILARITY))
+    want = components(texts)
+    assert 1 < len(set(want)) < len(texts)
+    for tile_rows, tile_shingles in ((near_dedup.TILE_ROWS, near_dedup.TILE_SHINGLES), (20, near_dedup.TILE_SHINGLES), (1000, 2000)):
+        tiled = near_dedup._tiled(met, tile_rows, tile_shingles)
+        assert (tiled.count() > met.count()) == (tile_rows < 1000 or tile_shingles == 2000)
+        root = list(range(len(texts)))
+        for a, b in near_dedup._joined(met, rows, near_dedup.SIMILARITY, tile_rows, tile_shingles).collect():
+            lo, hi = sorted((root[a], root[b]))
+            root = [lo if x == hi else x for x in root]
+        assert root == want
