@@ -19,6 +19,8 @@ SAMPLE = 20_000
 #: A word enters the lexicon if that many different texts have it, most of them toxic, so many standard
 #: deviations above chance; and the most words a lexicon has.
 LEAST_TEXTS, LEAST_Z, MOST_WORDS = 6, 5.0, 1_000
+#: Texts whose words are listed at once.
+STEP = 200
 #: How near, in words, a second person counts as aimed at.
 NEAR = 6
 #: Fixed list: words that address the reader, in the languages of the corpus.
@@ -183,6 +185,22 @@ class Model:
         return np.clip(np.interp(margin, self.at, self.value) * 0.999 + 0.001 / (1 + np.exp(-margin)), 0, 1)
 
 
+def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(w, y, sign) of rows (t, y): each word or stem of each text, with the text's smallest hash of three words; ``STEP`` texts at a time.
+
+    What different steps have in common repeats, so only distinct rows may be counted.
+    """
+    for batch in (b.iloc[at : at + STEP] for b in batches for at in range(0, len(b), STEP)):
+        found: dict[tuple[bytes, int, int], int] = {}
+        for t, y in zip(batch["t"], batch["y"], strict=True):
+            w = words_of(t)
+            sign = min((xxhash.xxh3_64_intdigest(b" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))), default=0) >> 1
+            w += [b"^" + x[:_STEM] for x in w if len(x) > _STEM]
+            for x in {x for x in w if len(x) > 2 and x.lstrip(b"^").decode("utf-8", "ignore").isalpha()}:
+                found[x, y, sign] = 1
+        yield pd.DataFrame([(x, y, sign) for x, y, sign in found], columns=["w", "y", "sign"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """Fits on labelled rows of ``docs``, at most ``sample`` of them.
 
@@ -201,17 +219,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     rows = materialise(rows.join(F.broadcast(materialise(chosen)), "id"))  # at most ``sample`` rows
 
-    def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found: dict[tuple[bytes, int, int], int] = {}
-            for t, y in zip(batch["t"], batch["y"], strict=True):
-                w = words_of(t)
-                sign = min((xxhash.xxh3_64_intdigest(b" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))), default=0) >> 1
-                w += [b"^" + x[:_STEM] for x in w if len(x) > _STEM]
-                for x in {x for x in w if len(x) > 2 and x.lstrip(b"^").decode("utf-8", "ignore").isalpha()}:
-                    found[x, y, sign] = 1
-            yield pd.DataFrame([(x, y, sign) for x, y, sign in found], columns=["w", "y", "sign"])
-
     by_word = rows.mapInPandas(signed, "w binary, y int, sign long").groupBy("w", "y").agg(F.approx_count_distinct("sign", 0.02).alias("n"))
     both = by_word.groupBy("w").agg(F.sum(F.when(F.col("y") > 0, F.col("n")).otherwise(0)).alias("a"), F.sum("n").alias("n"))
     seen = rows.groupBy("y").agg(F.countDistinct(F.md5("t")).alias("n")).collect()

@@ -66,3 +66,21 @@ def test_boosting_fits_an_interaction():
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
     f = toxicity.Boosted().fit(x[:1000], y[:1000]).margin(x[1000:])
     assert ((f > 0) == (y[1000:] > 0)).mean() > 0.95
+
+
+def test_words_are_listed_some_texts_at_a_time():
+    """Before, a task held the words of its 10,000 texts at once."""
+    import tracemalloc
+
+    import pandas as pd
+
+    texts, labels = corpus(600)
+    rows = pd.DataFrame({"t": [f"{t} {' '.join(f'w{chr(97 + i % 26)}' + chr(97 + k % 26) * (1 + k // 26) for k in range(200))}" for i, t in enumerate(texts)], "y": labels}).sample(4000, replace=True, random_state=1)
+    words = lambda frames: {x for f in frames for x in f.itertuples(index=False, name=None)}
+    few = rows.iloc[:500]
+    assert words(toxicity.signed([few])) == words(toxicity.signed(few.iloc[i : i + 1] for i in range(len(few))))
+    tracemalloc.start()
+    n = sum(len(f) for f in toxicity.signed([rows]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 400_000 and peak < 60_000_000
