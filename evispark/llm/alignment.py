@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 from .common import materialise, settled, spread
 from .token_counts import byte_alphabet
 
-#: Characters of text that make a batch; longer documents are cut up at ends of words.
+#: Characters of text that make a batch.
 BATCH = 4_000_000
+#: Characters of a batch that are worked on at once; longer documents are cut up at ends of words.
+STEP = 400_000
 #: Segments whose ids a worker remembers before it forgets them all.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Groups with more links than this are counted by their distinct ids.
 WIDE = 4096
 #: No token of either kind goes over a space or line feed that follows anything but white space.
@@ -222,16 +224,11 @@ def _unpacked(x: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32).astype(np.int64)
 
 
-def _batches(texts: Iterable[str | None]) -> Iterator[list[list[list[str]]]]:
-    """Documents as lists of pieces, each a list of segments, in batches of about ``BATCH`` characters."""
+def _batches(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
+    """Documents in batches of about ``BATCH`` characters."""
     held, n = [], 0
     for t in texts:
-        parts = segments(" " + t) if t else []
-        if t and len(t) > BATCH:
-            step = max(1, len(parts) * BATCH // len(t))
-            held.append([parts[k : k + step] for k in range(0, len(parts), step)])
-        else:
-            held.append([parts])
+        held.append(t)
         n += len(t or "")
         if n >= BATCH:
             yield held
@@ -240,25 +237,37 @@ def _batches(texts: Iterable[str | None]) -> Iterator[list[list[list[str]]]]:
         yield held
 
 
+def _steps(documents: Iterable[str | None]) -> Iterator[list[tuple[int, list[str]]]]:
+    """Pieces of documents, as their document's place and segments, about ``STEP`` characters at a time."""
+    size, held, n = min(STEP, BATCH), [], 0
+    for d, t in enumerate(documents):
+        parts = segments(" " + t) if t else []
+        step = max(1, len(parts) * size // max(size, len(t or "")))
+        for k in range(0, len(parts), step):
+            held.append((d, parts[k : k + step]))
+            n += sum(map(len, held[-1][1]))
+            if n >= size:
+                yield held
+                held, n = [], 0
+    if held:
+        yield held
+
+
 class Batch:
     """What a batch of documents gives: counts and digests of each, and the links that each holds."""
 
-    def __init__(self, aligner: Aligner, documents: list[list[list[str]]]) -> None:
+    def __init__(self, aligner: Aligner, documents: list[str | None]) -> None:
         n = len(documents)
         self.counts = np.zeros((4, n), np.int64)  # tokens of both kinds, groups, links
         digests: list = [None] * n
+        gone = np.zeros(n, bool)  # documents with a piece whose bytes aren't the text's
         keys, size_b = [], len(aligner.lengths[1])
         size = len(aligner.lengths[0]) * size_b
-        flat = [(d, piece) for d, pieces in enumerate(documents) for piece in pieces]
-        while flat:
-            room, take = BATCH, 0
-            while take < len(flat) and (take == 0 or room > 0):
-                room -= sum(map(len, flat[take][1]))
-                take += 1
-            now, flat = flat[:take], flat[take:]
+        for now in _steps(documents):
             t = aligner.tokens([piece for _, piece in now])
             g = aligner.groups(t)
             of = np.array([d for d, _ in now])
+            gone[of[t.n_a == 0]] = True
             np.add.at(self.counts, (slice(None), of), np.stack((t.n_a, t.n_b, g.per_document, np.zeros(len(now), np.int64))))
             for d, listing in zip(of.tolist(), aligner.listings(t, g), strict=True):
                 if listing:
@@ -269,13 +278,16 @@ class Batch:
             document, a, b, times = aligner.links(t, g)
             keys.append((of[document] * size + a * size_b + b, times))
         found, self.times = summed(*(np.concatenate(x) for x in zip(*keys, strict=True))) if len(keys) > 1 else keys[0] if keys else (np.empty(0, np.int64),) * 2
+        self.counts[:, gone] = 0
         document, pair = np.divmod(found, size)
+        if gone.any():
+            document, pair, self.times = (x[~gone[document]] for x in (document, pair, self.times))
         pairs, self.pair = np.unique(pair, return_inverse=True)
         self.a, self.b = np.divmod(pairs, size_b)
         self.holders = np.bincount(self.pair, minlength=len(pairs))
         self.n_held = np.bincount(document, minlength=n)
         self.counts[3] = np.bincount(document, self.times, n).astype(np.int64)
-        self.digests = [x.hexdigest() if x else "" for x in digests]
+        self.digests = [x.hexdigest() if x and not out else "" for x, out in zip(digests, gone.tolist(), strict=True)]
 
 
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")

@@ -109,3 +109,35 @@ def test_packed_numbers_come_back():
 
     for x in ([], [0], [5, 3, 2**32 - 1, 0, 7]):
         assert al._unpacked(al._packed(np.array(x, np.int64)), len(x)).tolist() == x
+
+
+def test_a_batch_is_worked_on_in_steps(monkeypatch):
+    """What a worker holds at once doesn't grow with the batch; before, a batch of 4,000,000 characters was one step."""
+    rnd = random.Random(3)
+    own = [" ".join("".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(400)) for _ in range(500)]
+    own.append(" ".join(own[:300]))  # a long one
+    steps, tokens = [], al.Aligner.tokens
+
+    def seen(self, documents):
+        steps.append(sum(len(s) for parts in documents for s in parts))
+        out = tokens(self, documents)
+        assert len(self.known[0]) < al.REMEMBERED + steps[-1]
+        return out
+
+    monkeypatch.setattr(al.Aligner, "tokens", seen)
+    aligner = al.Aligner(*PATHS)
+    (batch,) = [al.Batch(aligner, documents) for documents in al._batches(own)]
+    assert sum(steps) == sum(len(t) + 1 for t in own) > 2_000_000 and max(steps) < 1_000_000
+    assert batch.counts[3, -1] > 0.99 * batch.counts[3, :300].sum()
+
+
+def test_a_long_document_is_left_out_as_a_whole(tokenizers, monkeypatch):
+    monkeypatch.setattr(al, "BATCH", 300)
+    own = ["plain words " * 60, "plain words " * 60 + "▁ more", "plain words"]
+    assert [bool(groups(tokenizers, t)) for t in own] == [True, False, True]
+    aligner, got = al.Aligner(*PATHS), []
+    for documents in al._batches(own):
+        b = al.Batch(aligner, documents)
+        got += zip(b.counts.sum(axis=0).tolist(), b.n_held.tolist(), b.digests, strict=True)
+        assert sum(b.times) == sum(b.counts[3]) and sum(b.n_held) == len(b.times)
+    assert got[0][0] > 0 and got[1] == (0, 0, "") and got[2][0] > 0
